@@ -36,15 +36,20 @@ def cache_key(parts: Sequence[Column], separator: str = "||") -> Column:
     return F.substring(F.sha2(F.concat_ws(separator, *parts), 256), 1, 32)
 
 
+def strip(text: Column) -> Column:
+    """Trim all white space, line breaks included."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def strip_fences(text: Column) -> Column:
     """Drop a leading ```json or ``` and a trailing ```."""
-    body = F.regexp_replace(F.trim(text), r"^(```json)?(```)?", "")
-    return F.trim(F.regexp_replace(body, r"```$", ""))
+    body = F.regexp_replace(strip(text), r"^(```json)?(```)?", "")
+    return strip(F.regexp_replace(body, r"```$", ""))
 
 
 def first_code_block(text: Column) -> Column:
     """Body of the first fenced block, else the text itself."""
-    text = F.trim(text)
+    text = strip(text)
     block = F.regexp_extract(text, r"(?s)```(?:\w+)?\n(.*?)```", 1)
     return F.when(text.rlike(r"(?s)```(?:\w+)?\n(.*?)```"), block).otherwise(text)
 

@@ -231,3 +231,60 @@ def evict_oldest(
         return cache
     victims = cache.select(stamp, unique).orderBy(stamp, unique).limit(evict).select(unique)
     return cache.join(F.broadcast(victims), unique, "left_anti")
+
+
+def trim_groups(df: DataFrame, keys: Sequence[str], order: str, value: str, edge: int = 3) -> DataFrame:
+    """Per group the first and last ``edge`` values with a note of what lies
+    between. Only 2 * edge rows per group are ever gathered."""
+    ends = top_per_key(df, keys, [order], edge).drop("rank").unionByName(
+        top_per_key(df, keys, [F.desc(order)], edge).drop("rank")
+    ).select(*keys, order, value).distinct()
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    kept = ends.groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("_kept")
+    ).join(sizes, list(keys))
+    middle = F.array(F.concat(F.lit("... ("), (F.col("_n") - 2 * edge).cast("string"), F.lit(" nodes) ...")))
+    steps = F.when(
+        F.col("_n") > 2 * edge,
+        F.concat(F.slice("_kept", 1, edge), middle, F.slice("_kept", -edge, edge)),
+    ).otherwise(F.col("_kept"))
+    return kept.select(*keys, steps.alias("steps"), F.col("_n").alias("n_steps"))
+
+
+def within_budget(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, budget: int,
+    group_limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Rows whose running length stays inside the budget, with that length."""
+    sized = df.withColumn("_len", F.length(text).cast("bigint"))
+    run = scan_ordered(sized, keys, order, {"used": ("sum", "_len")}, group_limit)
+    return run.where(F.col("used") <= budget).drop("_len")
+
+
+def function_bounds(functions: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Line range of each function: up to the next function's start, the last
+    one five lines past its longest known line.
+
+    functions: (file_path, fn_id, line, ord, max_line).
+    """
+    run = scan_ordered(functions, ["file_path"], ["line", "ord"], {"_next": ("lead", "line")}, group_limit)
+    last = F.greatest(F.col("line"), F.coalesce("max_line", F.lit(0))) + 5
+    return run.withColumn("start", F.col("line")).withColumn(
+        "end", F.coalesce(F.col("_next") - 1, last)
+    ).drop("_next")
+
+
+def transcript_lines(
+    turns: DataFrame, keys: Sequence[str], order: Sequence[str], role: str, text: str,
+    group_limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Transcript as ordered lines with their character offset.
+
+    A transcript of any length stays a set of rows; text[offset:] of the whole
+    transcript starts with the line.
+    """
+    speaker = F.when(F.col(role) == "assistant", "Assistant").otherwise("User")
+    lines = turns.withColumn("line", F.concat(speaker, F.lit(": "), F.col(text), F.lit("\n\n")))
+    lines = lines.withColumn("_len", F.length("line").cast("bigint"))
+    run = scan_ordered(lines, keys, order, {"_end": ("sum", "_len")}, group_limit)
+    return run.withColumn("offset", F.col("_end") - F.col("_len")).drop("_end", "_len")

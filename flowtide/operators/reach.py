@@ -136,6 +136,7 @@ def taint_paths(
     functions: DataFrame | None = None,
     mode: str = "fallback",
     max_depth: int = K.REACH_DEPTH,
+    source_tags: list[str] = K.SOURCE_TAGS,
 ) -> DataFrame:
     """Source-to-sink paths, one per (source node, sink node, file).
 
@@ -144,7 +145,7 @@ def taint_paths(
     """
     from flowtide.operators.provenance import tag_sources
 
-    sources = tag_sources(tags)
+    sources = tag_sources(tags, source_tags)
     gates = tags.where(F.col("kind") == K.GATE_TAG).select("node_id").distinct()
     start = sinks.select(
         F.concat("file_path", F.lit("::"), "node_id").alias("sink_id"),
@@ -207,9 +208,12 @@ def _path_facts(found: DataFrame, tags: DataFrame, gates: DataFrame) -> DataFram
     )
 
 
-def paths_between(edges: DataFrame, pairs: DataFrame, max_depth: int = K.CALL_PATH_DEPTH) -> DataFrame:
+def paths_between(edges: DataFrame, pairs: DataFrame | None = None, max_depth: int = K.CALL_PATH_DEPTH) -> DataFrame:
     """All simple paths per (from_fn, to_fn) pair, of up to max_depth + 1 vertices.
 
+    Without pairs every vertex is a target, and every vertex that can reach it
+    a start.
+
     A path is extended only to vertices from which the target can still be
     reached in the steps that are left; this drops dead ends, never results.
     """
@@ -218,14 +222,20 @@ def paths_between(edges: DataFrame, pairs: DataFrame, max_depth: int = K.CALL_PA
         F.lit("").alias("src_scope"), F.col("caller_fn_id").alias("src"),
         F.lit("").alias("dst_scope"), F.col("callee_fn_id").alias("dst"),
     )
-    targets = pairs.select(
+    if pairs is None:
+        ends = edges.select("caller_fn_id").union(edges.select("callee_fn_id")).toDF("to_fn")
+    else:
+        ends = pairs.select("to_fn")
+    targets = ends.distinct().select(
         F.col("to_fn").alias("sink_id"), F.lit("").alias("scope"), F.col("to_fn").alias("node")
-    ).distinct()
+    )
     distance = cut(
         backward_reach(targets, steps, max_depth, with_path=False).select(
             F.col("sink_id").alias("to_fn"), F.col("node").alias("callee_fn_id"), F.col("depth").alias("left")
         )
     )
+    if pairs is None:
+        pairs = distance.select(F.col("callee_fn_id").alias("from_fn"), "to_fn")
     start = cut(pairs.select("from_fn", "to_fn", F.array("from_fn").alias("path")).distinct())
     done = [start.where("from_fn = to_fn")]
     frontier = start.where("from_fn <> to_fn")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowtide.functions import constants as K
 from flowtide.functions import paths
 from flowtide.functions.match import any_of
+from flowtide.operators.tables import one_row
 
 
 def _relative(root: str) -> Column:
@@ -96,7 +97,7 @@ def detect_frameworks(files: DataFrame, deps: DataFrame, checks=K.FRAMEWORK_CHEC
         aggregates.append(F.bool_or(any_of(tests)).alias(f"c{number}"))
         wanted = [F.col("name").contains(d.lower()) for d in test.get("dep", [])]
         dep_aggregates.append(F.bool_or(any_of(wanted)).alias(f"d{number}"))
-    row = files.agg(*aggregates).join(deps.agg(*dep_aggregates))
+    row = one_row(files.agg(*aggregates), deps.agg(*dep_aggregates))
     found = F.array(*[
         F.struct(
             F.lit(i).alias("number"), F.lit(name).alias("framework"),
@@ -144,7 +145,7 @@ def manifest(files: DataFrame, deps: DataFrame, name: str, source_url: str, clon
     frameworks = detect_frameworks(files, deps).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("number", "framework"))), lambda x: x.framework).alias("frameworks")
     )
-    return languages.join(frameworks).select(
+    return one_row(languages, frameworks).select(
         F.lit(name).alias("name"), F.lit(source_url).alias("source_url"), F.lit(clone_path).alias("clone_path"),
         "languages", "frameworks", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("detected_at"),
     )
