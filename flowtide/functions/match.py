@@ -5,15 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def any_of(tests: Sequence[Column]) -> Column:
-    result = F.lit(False)
-    for test in tests:
-        result = result | test
-    return result
+    """OR of the tests, as a balanced tree so that long lists stay shallow."""
+    tests = list(tests)
+    if not tests:
+        return F.lit(False)
+    while len(tests) > 1:
+        pairs = zip(tests[::2], tests[1::2])
+        tests = [a | b for a, b in pairs] + tests[len(tests) - len(tests) % 2 :]
+    return tests[0]
 
 
 def contains_any(text: Column, parts: Sequence[str]) -> Column:
@@ -78,6 +82,20 @@ def matches_any_glob(text: Column, globs: Sequence[str]) -> Column:
     return any_of(tests)
 
 
+def once(value: Column) -> Column:
+    """Compute a value a single time per row.
+
+    The optimizer copies a projected expression into every later use, filters
+    included. The output of a generator is never copied. One per select.
+    """
+    return F.explode(F.array(value))
+
+
+def keep_classified(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a classification and drop the rows where it is NULL."""
+    return df.withColumn(name, once(value)).where(F.col(name).isNotNull())
+
+
 def first_match(cases: Sequence[tuple[Column, object]], default=None) -> Column:
     """The value of the first true test, as an ordered CASE."""
     chain = None

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtide.functions.match import once
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -22,6 +24,16 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a file that comes in fewer splits than there are cores.
+
+    Tables of any size worth the name have more splits and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df if splits >= cores else df.repartition(cores)
+
+
 def sql_list(values) -> str:
     return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + "]"
 
@@ -73,7 +85,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     """(p_partkey, file_path) of every part, with p_name, p_size, p_brand."""
     part = read(spark, folder, "part")
     return part.select(
-        "p_partkey", file_path(F.col("p_name"), F.col("p_partkey"), F.col("p_size")).alias("file_path"),
+        "p_partkey", once(file_path(F.col("p_name"), F.col("p_partkey"), F.col("p_size"))).alias("file_path"),
         "p_name", "p_size", "p_brand", "p_type",
     )
 
@@ -130,8 +142,9 @@ SQL_SINK_TYPE = "case sink " + " ".join(
 def raw_flows(spark: SparkSession, folder: str) -> DataFrame:
     """One flow per line item whose call target is sensitive, without ids."""
     from flowtide.functions import calls
+    from flowtide.functions.match import keep_classified
 
-    lines = read(spark, folder, "lineitem")
+    lines = spread(read(spark, folder, "lineitem"))
     parts = files(spark, folder).select(F.col("p_partkey").alias("l_partkey"), F.col("file_path").alias("file"))
     flows = lines.select(
         *LINE_ORDER, pick(SOURCES, F.col("l_suppkey")).alias("source"),
@@ -139,7 +152,8 @@ def raw_flows(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_returnflag") == "R").alias("validated"),
         F.when(F.col("l_linestatus") == "O", F.array(F.lit("OP_COERCION")))
         .otherwise(F.array().cast("array<string>")).alias("operations"),
-    ).withColumn("sink_type", calls.sink_type(F.col("sink"))).where("sink_type is not null")
+    )
+    flows = keep_classified(flows, "sink_type", calls.sink_type(F.col("sink")))
     labels = F.array("source", F.col("l_suppkey").cast("string"), F.col("sink"))
     return flows.join(parts, "l_partkey").select(
         *LINE_ORDER, "source", "sink", "sink_type", "validated", "operations", "file",

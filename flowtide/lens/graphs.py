@@ -145,7 +145,7 @@ def two_stage_reach(spark, sf):
 def transitions(spark, sf):
     """Distinct event type -> next event type of the same user."""
     events = read(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
-    following = scan_ordered(events, ["user_id"], ["ts", "event_id"], {"next_type": ("lead", "event_type")})
+    following = scan_ordered(events, ["user_id"], ["ts", "event_id"], {"next_type": ("lead", "event_type")}, stored=True)
     return following.where("next_type is not null").select(
         C("event_type").alias("caller_fn_id"), C("next_type").alias("callee_fn_id")
     ).distinct()

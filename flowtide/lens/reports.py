@@ -13,7 +13,7 @@ from flowtide.lens.common import (
 from flowtide.lens.resolution import SQL_NODES, call_edges, part_functions, part_nodes
 from flowtide.operators import dependency, security
 from flowtide.plans import report, rules
-from flowtide.session import new_table_path
+from flowtide.session import cut, new_table_path
 from flowtide.sources import repository
 
 C = F.col
@@ -134,7 +134,7 @@ def repository_catalog(spark, sf):
 
 def security_graph(spark, sf):
     """Numbered flows, and customers as routes that an urgent order protects."""
-    flows = numbered_flows(spark, sf)
+    flows = cut(numbered_flows(spark, sf), "flows")
     customers = read(spark, sf, "customer")
     urgent = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
     open_routes = customers.join(urgent, C("c_custkey") == C("o_custkey"), "left_anti").select(

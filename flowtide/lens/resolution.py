@@ -277,7 +277,7 @@ def line_ranges(spark, sf):
 @query("character_budget", """
 select conv_id, turn, used from (select conv_id, turn, sum(length(text)) over (partition by conv_id order by turn)::bigint as used from conversations) where used <= 1200""")
 def character_budget(spark, sf):
-    return ordered.within_budget(read(spark, sf, "conversations"), ["conv_id"], ["turn"], "text", 1200).select(
+    return ordered.within_budget(read(spark, sf, "conversations"), ["conv_id"], ["turn"], "text", 1200, stored=True).select(
         "conv_id", "turn", "used"
     )
 
@@ -297,7 +297,7 @@ def launch_schedule(spark, sf):
 with l as (select conv_id, turn, case role when 'assistant' then 'Assistant' else 'User' end || ': ' || text || chr(10) || chr(10) as line from conversations)
 select conv_id, turn, md5(line) as digest, (sum(length(line)) over (partition by conv_id order by turn) - length(line))::bigint as "offset" from l""")
 def transcripts(spark, sf):
-    lines = ordered.transcript_lines(read(spark, sf, "conversations"), ["conv_id"], ["turn"], "role", "text")
+    lines = ordered.transcript_lines(read(spark, sf, "conversations"), ["conv_id"], ["turn"], "role", "text", stored=True)
     return lines.select("conv_id", "turn", F.md5("line").alias("digest"), "offset")
 
 

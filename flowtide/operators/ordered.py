@@ -36,13 +36,19 @@ def scan_ordered(
     order: Sequence[str],
     outputs: dict[str, tuple[str, str | None]],
     group_limit: int = GROUP_LIMIT,
+    stored: bool = False,
 ) -> DataFrame:
     """Add ordered columns per group.
 
+    The input is read more than once (group sizes, range bounds, the scan), so
+    it is written first unless it is ``stored`` already, i.e. a table scan.
+
     outputs maps a new column to (kind, column) with kind one of row_number,
     sum, max (running, inclusive) and lead (next row's value). The order
     columns must make the order total within a group.
     """
+    if not stored:
+        df = cut(df, "ordered")
     if largest_group(df, keys) <= group_limit:
         return _plain(df, keys, order, outputs)
     return OrderedRuns(df, keys, order).scan(outputs)
@@ -253,11 +259,11 @@ def trim_groups(df: DataFrame, keys: Sequence[str], order: str, value: str, edge
 
 def within_budget(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, budget: int,
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int = GROUP_LIMIT, stored: bool = False,
 ) -> DataFrame:
     """Rows whose running length stays inside the budget, with that length."""
     sized = df.withColumn("_len", F.length(text).cast("bigint"))
-    run = scan_ordered(sized, keys, order, {"used": ("sum", "_len")}, group_limit)
+    run = scan_ordered(sized, keys, order, {"used": ("sum", "_len")}, group_limit, stored)
     return run.where(F.col("used") <= budget).drop("_len")
 
 
@@ -276,7 +282,7 @@ def function_bounds(functions: DataFrame, group_limit: int = GROUP_LIMIT) -> Dat
 
 def transcript_lines(
     turns: DataFrame, keys: Sequence[str], order: Sequence[str], role: str, text: str,
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int = GROUP_LIMIT, stored: bool = False,
 ) -> DataFrame:
     """Transcript as ordered lines with their character offset.
 
@@ -286,5 +292,5 @@ def transcript_lines(
     speaker = F.when(F.col(role) == "assistant", "Assistant").otherwise("User")
     lines = turns.withColumn("line", F.concat(speaker, F.lit(": "), F.col(text), F.lit("\n\n")))
     lines = lines.withColumn("_len", F.length("line").cast("bigint"))
-    run = scan_ordered(lines, keys, order, {"_end": ("sum", "_len")}, group_limit)
+    run = scan_ordered(lines, keys, order, {"_end": ("sum", "_len")}, group_limit, stored)
     return run.withColumn("offset", F.col("_end") - F.col("_len")).drop("_end", "_len")

@@ -18,6 +18,8 @@ from flowtide.functions import constants as K
 from flowtide.functions.ids import node_id
 from flowtide.session import cut, cut_bucketed, forget
 
+BUCKET_ROWS = 5_000_000
+
 
 def flow_steps(edges: DataFrame) -> DataFrame:
     """Distinct edges as steps src -> dst inside one scope (file).
@@ -85,11 +87,15 @@ def backward_reach(
     gates is visited again when a way without gates turns up later, so
     gated = false exactly if some way of at most max_depth steps has no gate.
     """
-    if "dst_gate" not in steps.columns:
+    gateless = "dst_gate" not in steps.columns
+    if gateless:
         steps = steps.withColumn("dst_gate", F.lit(False))
-    # Written once, bucketed by the join key: no round shuffles the steps.
-    spark = steps.sparkSession
-    steps, table = cut_bucketed(steps, ["dst_scope", "dst"], "steps")
+    spark, table = steps.sparkSession, None
+    steps = cut(steps, "steps")
+    if steps.count() > BUCKET_ROWS:
+        # A large step table is bucketed by the join key once, so that no
+        # round shuffles it again. The count comes from the file footers.
+        steps, table = cut_bucketed(steps, ["dst_scope", "dst"], "steps")
     first = F.array("node") if with_path else F.lit(None).cast("array<string>")
     frontier = cut(
         sinks.select(
@@ -121,8 +127,11 @@ def backward_reach(
         if frontier.isEmpty():
             break
         rounds.append(frontier)
-    forget(spark, table)
+    if table:
+        forget(spark, table)
     ways = reduce(DataFrame.unionByName, rounds)
+    if gateless:
+        return ways  # every pair was found in one round only
     return ways.groupBy("sink_id", "scope", "node").agg(
         F.min(F.struct("gated", "depth", "path")).alias("w")
     ).select("sink_id", "scope", "node", "w.*")

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from flowtide.functions import calls, text
 from flowtide.functions import constants as K
+from flowtide.functions.match import contains_any, once
 from flowtide.operators.ordered import first_per_key
+from flowtide.session import cut
 
 VERDICT = (
     "id string, vulnerable boolean, vulnerability_type string, severity string,"
@@ -23,17 +25,26 @@ VERDICT = (
 )
 
 
+LISTED_CHANGES = 2000
+
+
 def touching(findings: DataFrame, changed: DataFrame, file: str = "file") -> DataFrame:
     """Findings whose file path contains a changed path; no change keeps all.
 
-    "Contains" is turned into an equi join: each distinct file path is cut into
+    Up to LISTED_CHANGES paths become a literal list in a filter. For more,
+    "contains" is turned into an equi join: each distinct file path is cut into
     its substrings of the lengths that changed paths have. Path lengths are
     bounded, and so is the number of pieces per path.
     """
     changed = changed.select(F.col("changed_path").alias("piece")).where("piece <> ''").distinct()
+    changed = cut(changed, "changed")
+    if changed.count() <= LISTED_CHANGES:
+        listed = [r["piece"] for r in changed.collect()]
+        if not listed:
+            return findings
+        kept = findings.withColumn("_path", once(F.col(file)))
+        return kept.where(contains_any(F.col("_path"), listed)).drop("_path")
     lengths = [r["n"] for r in changed.select(F.length("piece").alias("n")).distinct().collect()]
-    if not lengths:
-        return findings
     path = F.col(file)
 
     def pieces_of(n: int) -> Column:
@@ -41,8 +52,8 @@ def touching(findings: DataFrame, changed: DataFrame, file: str = "file") -> Dat
         pieces = F.transform(starts, lambda i: path.substr(i, F.lit(n)))
         return F.when(F.length(path) >= n, pieces).otherwise(F.array().cast("array<string>"))
 
-    cut = F.flatten(F.array(*[pieces_of(n) for n in sorted(lengths)]))
-    pieces = findings.select(path).distinct().withColumn("piece", F.explode(F.array_distinct(cut)))
+    every = F.flatten(F.array(*[pieces_of(n) for n in sorted(lengths)]))
+    pieces = findings.select(path).distinct().withColumn("piece", F.explode(F.array_distinct(every)))
     hit = pieces.join(changed, "piece", "left_semi").select(file).distinct()
     return findings.join(hit, file, "left_semi")
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowtide.schema import CALL_RESOLUTION, EDGE, IR_NODE, TAG
 from flowtide.sources.js_text import make_id, read_module
 
+BATCH_ROWS = 5000
 FIELDS = [field.split()[0] for field in IR_NODE.split(",")]
 
 
@@ -122,38 +125,42 @@ class NodeRows:
                     self.expression(part, row, "path", place, {**shared, "in_path": True})
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=FIELDS)
+def _flatten(documents: DataFrame, columns: list[str], read: Callable[..., dict]) -> DataFrame:
+    """Rows of one module per input row, in Arrow batches of some thousand rows."""
+    spark = documents.sparkSession
+    schema = to_arrow_schema(spark.createDataFrame([], IR_NODE).schema)
 
-
-def nodes_from_source(files: DataFrame) -> DataFrame:
-    """Node table of source texts. files: (file_path, language, text).
-
-    Each file is read by itself inside a task, in Arrow batches; a file that
-    cannot be read gives no rows.
-    """
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
-            for path, language, text in zip(batch["file_path"], batch["language"], batch["text"]):
+            for values in zip(*(batch.column(c).to_pylist() for c in columns)):
                 try:
-                    rows = NodeRows(read_module(text, path, language)).rows
+                    rows.extend(NodeRows(read(*values)).rows)
                 except (RecursionError, ValueError, IndexError, KeyError):
+                    continue  # an unreadable text gives no rows
+                if len(rows) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
                     rows = []
-                yield _frame(rows)
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("file_path", "language", "text").mapInPandas(read, IR_NODE)
+    # Reading text costs far more than moving it: use all cores even if the
+    # input comes in few splits.
+    wanted = spark.sparkContext.defaultParallelism
+    source = documents.select(*columns)
+    if source.rdd.getNumPartitions() < wanted:
+        source = source.repartition(wanted)
+    return source.mapInArrow(run, IR_NODE)
+
+
+def nodes_from_source(files: DataFrame) -> DataFrame:
+    """Node table of source texts. files: (file_path, language, text)."""
+    return _flatten(files, ["text", "file_path", "language"], read_module)
 
 
 def nodes_from_documents(documents: DataFrame) -> DataFrame:
     """Node table of IR documents. documents: one JSON text per row in ``value``."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text in batch["value"]:
-                yield _frame(NodeRows(json.loads(text)).rows)
-
-    return documents.select("value").mapInPandas(read, IR_NODE)
+    return _flatten(documents, ["value"], json.loads)
 
 
 def read_ir_documents(spark: SparkSession, path: str) -> DataFrame:
