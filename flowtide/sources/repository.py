@@ -13,13 +13,12 @@ from flowtide.functions.match import any_of
 from flowtide.operators.tables import one_row
 
 
-def _relative(root: str) -> Column:
+def relative_path(uri: Column, root: str) -> Column:
     """Path below root, from the file URI of a scan."""
-    uri = F.url_decode(F.regexp_replace(F.col("_path"), r"%(?![0-9A-Fa-f]{2})|\+", "%2B"))
     base = root.rstrip("/").removeprefix("file:")
-    return F.regexp_replace(uri, r"^[A-Za-z0-9]+:(//)?", "").substr(
-        F.lit(len(base) + 2), F.lit(2**31 - 1)
-    )
+    plain = F.url_decode(F.regexp_replace(uri, r"%(?![0-9A-Fa-f]{2})|\+", "%2B"))
+    plain = F.regexp_replace(plain, r"^file:/+", "/")
+    return plain.substr(F.locate(base + "/", plain) + len(base) + 1, F.lit(2**31 - 1))
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -28,7 +27,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
         .select(F.col("path").alias("_path"), "length")
     )
-    return files.select(_relative(root).alias("file_path"), "length")
+    return files.select(relative_path(F.col("_path"), root).alias("file_path"), "length")
 
 
 def read_texts(spark: SparkSession, root: str, names: str | None = None) -> DataFrame:
@@ -37,7 +36,7 @@ def read_texts(spark: SparkSession, root: str, names: str | None = None) -> Data
     if names:
         reader = reader.option("pathGlobFilter", names)
     files = reader.load(root).select(F.col("path").alias("_path"), "content")
-    return files.select(_relative(root).alias("file_path"), F.decode("content", "UTF-8").alias("text"))
+    return files.select(relative_path(F.col("_path"), root).alias("file_path"), F.decode("content", "UTF-8").alias("text"))
 
 
 def scan_texts(spark: SparkSession, root: str) -> DataFrame:

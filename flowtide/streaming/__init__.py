@@ -1,0 +1 @@
+"""Incremental analysis of a growing folder of sources."""
