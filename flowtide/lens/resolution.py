@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowtide.functions import ids, text
 from flowtide.functions import constants as K
 from flowtide.lens.common import (
-    LINE_ORDER, SQL_FILES, SQL_FLOWS, SQL_LINE_ORDER, SQL_NUMBERED, files, numbered_flows, query, raw_flows, read,
+    LINE_ORDER, SQL_FILES, SQL_FLOWS, SQL_LINE_ORDER, SQL_NUMBERED, files, numbered_flows, query, raw_flows, read, spread,
 )
 from flowtide.operators import dependency, labels, ordered, provenance, resolve, review, security
 from flowtide.sources.ir_documents import nodes_from_source
@@ -398,7 +398,7 @@ select page_id::varchar as page_id, 'IRAssign' as kind, target, count(*) as node
 union all select page_id::varchar, 'IRCall', target, count(*) from c group by all""")
 def script_statements(spark, sf):
     script = F.regexp_extract("html", r"<script>(.*?)</script>", 1)
-    sources = read(spark, sf, "pages").select(
+    sources = spread(read(spark, sf, "pages")).select(
         C("page_id").cast("string").alias("file_path"), F.lit("JavaScript").alias("language"),
         F.concat(F.lit("function page() {"), script, F.lit("}")).alias("text"),
     )

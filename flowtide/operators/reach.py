@@ -18,7 +18,9 @@ from flowtide.functions import constants as K
 from flowtide.functions.ids import node_id
 from flowtide.session import cut, cut_bucketed, forget
 
-BUCKET_ROWS = 5_000_000
+# Steps from which on the table is bucketed; incoming steps from which on a node
+# is split; and the largest number of nodes that can be split.
+BUCKET_ROWS, HOT_ROWS, HOT_SHARE = 5_000_000, 1_000_000, 1_000
 
 
 def flow_steps(edges: DataFrame) -> DataFrame:
@@ -74,6 +76,56 @@ def mark_gates(steps: DataFrame, gates: DataFrame) -> DataFrame:
     ).drop("_gate")
 
 
+class StepStore:
+    """The written step table, joined with one frontier after the other.
+
+    A small table is left to AQE. A large one is bucketed by the join key once,
+    so that no round shuffles it again. Bucketing puts a target node into one
+    file, so nodes with very many incoming steps are first split into parts:
+    HOT_SHARE bounds how many such nodes there can be, hence the size of the
+    broadcast list, and the frontier visits every part of a split node.
+    """
+
+    def __init__(self, steps: DataFrame, bucket_rows: int | None = None, hot_rows: int = HOT_ROWS):
+        self.spark, self.table, self.hot = steps.sparkSession, None, None
+        self.steps = cut(steps, "steps").withColumn("part", F.lit(0))
+        rows = self.steps.count()  # from the file footers
+        if rows <= (BUCKET_ROWS if bucket_rows is None else bucket_rows):
+            return
+        limit = max(hot_rows, rows // HOT_SHARE)
+        sizes = self.steps.groupBy("dst_scope", "dst").agg(F.count(F.lit(1)).alias("n"))
+        hot = sizes.where(F.col("n") > limit).select(
+            "dst_scope", "dst", F.ceil(F.col("n") / limit).cast("int").alias("parts")
+        )
+        self.hot = cut(hot, "hot")
+        place = F.pmod(F.xxhash64("src_scope", "src"), F.col("parts")).cast("int")
+        split = (
+            self.steps.drop("part").join(F.broadcast(self.hot), ["dst_scope", "dst"], "left")
+            .withColumn("part", F.coalesce(place, F.lit(0))).drop("parts")
+        )
+        self.steps, self.table = cut_bucketed(split, ["dst_scope", "dst", "part"], "steps")
+
+    def moves(self, frontier: DataFrame) -> DataFrame:
+        """frontier (aliased f) joined with the steps (aliased s) that end in it."""
+        if self.hot is None:
+            frontier = frontier.withColumn("part", F.lit(0))
+        else:
+            hot = self.hot.withColumnsRenamed({"dst_scope": "scope", "dst": "node"})
+            visited = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+            frontier = (
+                frontier.join(F.broadcast(hot), ["scope", "node"], "left")
+                .withColumn("part", visited).drop("parts")
+            )
+        same = [
+            F.col("f.scope") == F.col("s.dst_scope"), F.col("f.node") == F.col("s.dst"), F.col("f.part") == F.col("s.part")
+        ]
+        return frontier.alias("f").join(self.steps.alias("s"), same)
+
+    def close(self) -> None:
+        if self.table:
+            forget(self.spark, self.table)
+
+
 def backward_reach(
     sinks: DataFrame, steps: DataFrame, max_depth: int = K.REACH_DEPTH, with_path: bool = True
 ) -> DataFrame:
@@ -90,12 +142,7 @@ def backward_reach(
     gateless = "dst_gate" not in steps.columns
     if gateless:
         steps = steps.withColumn("dst_gate", F.lit(False))
-    spark, table = steps.sparkSession, None
-    steps = cut(steps, "steps")
-    if steps.count() > BUCKET_ROWS:
-        # A large step table is bucketed by the join key once, so that no
-        # round shuffles it again. The count comes from the file footers.
-        steps, table = cut_bucketed(steps, ["dst_scope", "dst"], "steps")
+    store = StepStore(steps)
     first = F.array("node") if with_path else F.lit(None).cast("array<string>")
     frontier = cut(
         sinks.select(
@@ -105,11 +152,7 @@ def backward_reach(
     )
     rounds = [frontier]
     for depth in range(1, max_depth + 1):
-        here = frontier.alias("f")
-        moves = here.join(
-            steps.alias("s"),
-            (F.col("f.scope") == F.col("s.dst_scope")) & (F.col("f.node") == F.col("s.dst")),
-        )
+        moves = store.moves(frontier)
         way = F.concat(F.col("f.path"), F.array("s.src")) if with_path else F.col("f.path")
         found = moves.select(
             "f.sink_id", F.col("s.src_scope").alias("scope"), F.col("s.src").alias("node"),
@@ -127,8 +170,7 @@ def backward_reach(
         if frontier.isEmpty():
             break
         rounds.append(frontier)
-    if table:
-        forget(spark, table)
+    store.close()
     ways = reduce(DataFrame.unionByName, rounds)
     if gateless:
         return ways  # every pair was found in one round only

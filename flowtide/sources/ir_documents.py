@@ -143,13 +143,7 @@ def _flatten(documents: DataFrame, columns: list[str], read: Callable[..., dict]
                     rows = []
         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    # Reading text costs far more than moving it: use all cores even if the
-    # input comes in few splits.
-    wanted = spark.sparkContext.defaultParallelism
-    source = documents.select(*columns)
-    if source.rdd.getNumPartitions() < wanted:
-        source = source.repartition(wanted)
-    return source.mapInArrow(run, IR_NODE)
+    return documents.select(*columns).mapInArrow(run, IR_NODE)
 
 
 def nodes_from_source(files: DataFrame) -> DataFrame:

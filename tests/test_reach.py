@@ -150,3 +150,21 @@ def test_call_graph_accessors(spark):
     none = spark.createDataFrame([], "fn_id string")
     summary = resolve.graph_summary(none, graph.where("false")).first()
     assert summary.summary == "CallGraph: 0 functions, 0 call edges"
+
+
+@pytest.mark.parametrize("hot_rows", [1, 10_000])
+def test_bucketed_and_split_steps_give_the_same_moves(spark, hot_rows):
+    """A node that takes a third of all steps is split into parts."""
+    rng = random.Random(11)
+    rows = {("", f"a{rng.randrange(400)}", "", "hot" if i % 3 == 0 else f"b{rng.randrange(50)}") for i in range(600)}
+    steps = spark.createDataFrame(sorted(rows), "src_scope string, src string, dst_scope string, dst string")
+    frontier = spark.createDataFrame([("k", "", "hot"), ("k", "", "b1"), ("q", "", "hot")], "sink_id string, scope string, node string")
+    plain = reach.StepStore(steps)
+    split = reach.StepStore(steps, bucket_rows=0, hot_rows=hot_rows)
+    assert (split.hot.count() > 0) == (hot_rows == 1)
+
+    def moves(store):
+        return sorted(tuple(r) for r in store.moves(frontier).select("f.sink_id", "f.node", "s.src").collect())
+
+    assert moves(split) == moves(plain)
+    split.close()
