@@ -11,7 +11,7 @@ from flowtide.lens.common import (
     SQL_FILES, SQL_FLOWS, SQL_NUMBERED, files, numbered_flows, pick, query, raw_flows, read, sql_any, sql_in, sql_pick,
 )
 from flowtide.lens.resolution import SQL_NODES, call_edges, part_functions, part_nodes
-from flowtide.operators import dependency, security
+from flowtide.operators import dependency, ordered, security
 from flowtide.plans import report, rules
 from flowtide.session import cut, new_table_path
 from flowtide.sources import repository
@@ -274,3 +274,66 @@ def flow_reports(spark, sf):
 with {SQL_FILES} select {_DEPTH} as depth, count(*) as files from files group by 1""")
 def files_by_depth(spark, sf):
     return files(spark, sf).groupBy(paths.path_depth(C("file_path")).cast("bigint").alias("depth")).agg(F.count("*").alias("files"))
+
+
+@query("taint_dot", f"""
+with {SQL_NUMBERED}, l as (select file as file_path, unnest(['"VAR_' || l_suppkey || '" -> "CALL_' || l_partkey || '" [label="call' || case when validated then ' [SANITIZED]' else '' end || '"];',
+  '"CALL_' || l_partkey || '" -> "ODD" [label="node"];']) as line from numbered)
+select distinct file_path, line from l""")
+def taint_dot(spark, sf):
+    call = F.concat(F.lit("CALL_"), C("l_partkey").cast("string"))
+    taint = raw_flows(spark, sf).select(
+        C("file").alias("file_path"), C("source").alias("source_tag"), C("sink").alias("sink_target"),
+        F.array(F.concat(F.lit("VAR_"), C("l_suppkey").cast("string")), call, F.lit("ODD")).alias("path_node_ids"),
+        F.when(C("validated"), F.array(call)).otherwise(F.array().cast("array<string>")).alias("sanitizer_node_ids"),
+    )
+    return report.taint_dot(taint)
+
+
+@query("security_dot", f"""
+with {SQL_NUMBERED}, op as (select 'Customer' || c_custkey as route from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')),
+l as (
+ select 2 as part, '"auth_unprotected_' || route || '" [label="UNPROTECTED ' || route || '", fillcolor="#ffcdd2"];' as line from op
+ union all select distinct 3, '"db_' || source || '_' || sink || '" [label="' || case when validated then '[V] ' else '[U] ' end || source || ' -> ' || sink || '", fillcolor="' || case when validated then '#c8e6c9' else '#ffcc80' end || '"];'
+   from numbered where sink_type = 'SINK_DATABASE'
+ union all select distinct 4, '"net_' || sink || '" [label="' || case when length(sink || ' (' || file || ')') > 50 then substr(sink || ' (' || file || ')', 1, 47) || '...' else sink || ' (' || file || ')' end || '", fillcolor="#ffe0b2"];'
+   from numbered where sink_type = 'SINK_NETWORK' and not {_CLIENT}
+ union all select 5, '"' || id || '_source" [label="SOURCE ' || source || '", fillcolor="#ffebee"];' from numbered
+ union all select 5, '"' || id || '_sink" [label="' || case when length(t) > 50 then substr(t, 1, 47) || '...' else t end || '", fillcolor="' || case when validated then '#c8e6c9' else '#fff3e0' end || '"];'
+   from (select *, 'SINK ' || sink || ' (' || sink_type || ')' || case when validated then ' [SANITIZED]' else '' end as t from numbered)
+ union all select 6, '"' || id || '_source" -> "' || id || '_' || l_suppkey || '";' from numbered
+ union all select 6, '"' || id || '_' || l_suppkey || '" -> "' || id || '_sink";' from numbered)
+select part, line from l""")
+def security_dot(spark, sf):
+    return report.security_dot(security_graph(spark, sf))
+
+
+@query("repair_proposals", """
+with f as (select distinct lang || '-' || doc_id as file, ['sql-injection-via-concat', 'path-traversal', 'missing-authentication'][doc_id % 3 + 1] as rule from documents),
+t as (select lang || '-' || doc_id as file, case when doc_id in (select doc_id from labels) then 'x.query("a" + b); ' || text end as body from documents)
+select file, rule, case when body is null then 'FAILED' when rule = 'sql-injection-via-concat' then 'SUCCESS' else 'SKIPPED' end as status,
+  case when body is not null and rule = 'sql-injection-via-concat' then md5('x.query(/* FIXME: use a parameterized query */ ' || substr(body, 9)) end as digest
+from f join t using (file)""")
+def repair_proposals(spark, sf):
+    docs = read(spark, sf, "documents")
+    file = F.concat("lang", F.lit("-"), C("doc_id").cast("string"))
+    found = docs.select(file.alias("file"), pick(["sql-injection-via-concat", "path-traversal", "missing-authentication"], C("doc_id")).alias("rule"))
+    texts = docs.join(read(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select(
+        file.alias("file_path"), F.concat(F.lit('x.query("a" + b); '), "text").alias("text")
+    )
+    return report.repair_proposals(found, texts).select("file", "rule", "status", F.md5("patch").alias("digest"))
+
+
+@query("function_context", """
+with d as (select doc_id, string_split(text, chr(10)) as lines from documents),
+b as (select doc_id, toxic + 2 as s, toxic + 5 as e from labels)
+select doc_id, md5(coalesce(array_to_string(lines[s:e], chr(10)), '')) as digest from d join b using (doc_id) where doc_id not in (select doc_id from labels where quality = 0)""")
+def function_context(spark, sf):
+    key = C("doc_id").cast("string")
+    labels = read(spark, sf, "labels")
+    bounds = labels.select(
+        key.alias("file_path"), key.alias("fn_id"), key.alias("name"), (C("toxic") + 2).alias("start"), (C("toxic") + 5).alias("end")
+    )
+    texts = read(spark, sf, "documents").select(key.alias("file_path"), "text")
+    found = ordered.function_context(bounds, texts, labels.where("quality <> 0").select(key.alias("fn_id")))
+    return found.select(C("fn_id").cast("bigint").alias("doc_id"), F.md5("code").alias("digest"))

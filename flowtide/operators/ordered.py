@@ -294,3 +294,17 @@ def transcript_lines(
     lines = lines.withColumn("_len", F.length("line").cast("bigint"))
     run = scan_ordered(lines, keys, order, {"_end": ("sum", "_len")}, group_limit, stored)
     return run.withColumn("offset", F.col("_end") - F.col("_len")).drop("_end", "_len")
+
+
+def function_context(bounds: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Source lines of the wanted functions.
+
+    bounds: (file_path, fn_id, name, start, end). texts: (file_path, text).
+    wanted: (fn_id). The text is cut inside the row; lines are never exploded.
+    """
+    from flowtide.functions.text import line_range
+
+    picked = bounds.join(wanted.select("fn_id").distinct(), "fn_id", "left_semi")
+    return picked.join(texts, "file_path").withColumn(
+        "code", line_range(F.col("text"), F.col("start"), F.col("end"))
+    ).drop("text")

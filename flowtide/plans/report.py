@@ -165,3 +165,90 @@ def flow_report_lines(flows: DataFrame, steps: DataFrame) -> DataFrame:
         "id", (F.col("part") + F.greatest(F.col("_after"), F.lit(2))).alias("part"), "line"
     )
     return opening.unionByName(middle).unionByName(closing)
+
+
+def security_dot(graph) -> DataFrame:
+    """(part, line): DOT statements of routes, operations and flows."""
+    c = F.col
+
+    def node(key: Column, label: Column, fill: Column | str) -> Column:
+        fill = F.lit(fill) if isinstance(fill, str) else fill
+        return F.concat(
+            _quoted(dot_label(key, 50)), F.lit(" [label="), _quoted(dot_label(label, 50)),
+            F.lit(', fillcolor="'), fill, F.lit('"];'),
+        )
+
+    def text(*parts) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    green, red, orange = "#c8e6c9", "#ffcdd2", "#fff3e0"
+    safe = graph.protected.select(node(text("auth_protected_", c("route")), text("PROTECTED ", c("route")), green).alias("line"))
+    unsafe = graph.unprotected.select(node(text("auth_unprotected_", c("route")), text("UNPROTECTED ", c("route")), red).alias("line"))
+    mark = F.when(c("validated"), "[V] ").otherwise("[U] ")
+    database = graph.database.select(
+        node(text("db_", c("source"), "_", c("operation")), text(mark, c("source"), " -> ", c("operation")),
+             F.when(c("validated"), green).otherwise("#ffcc80")).alias("line")
+    ).distinct()
+    network = graph.network.select(
+        node(text("net_", c("function")), text(c("function"), " (", c("file"), ")"), "#ffe0b2").alias("line")
+    ).distinct()
+    flows = graph.flows
+    source, sink = text(c("id"), "_source"), text(c("id"), "_sink")
+    ends = flows.select(F.explode(F.array(
+        node(source, text("SOURCE ", c("source")), "#ffebee"),
+        node(sink, text("SINK ", c("sink"), " (", c("sink_type"), ")", F.when(c("validated"), " [SANITIZED]").otherwise("")),
+             F.when(c("validated"), green).otherwise(orange)),
+    )).alias("line"))
+    # Steps between both ends: each step is linked with the one before it.
+    inner = F.slice("path_labels", 2, F.greatest(F.size("path_labels") - 2, F.lit(0)))
+    chain = F.concat(F.array(source), F.transform(inner, lambda s: F.concat(c("id"), F.lit("_"), s)), F.array(sink))
+    links = flows.select(chain.alias("chain")).select(
+        F.posexplode(F.arrays_zip(F.slice("chain", 1, F.size("chain") - 1).alias("a"), F.slice("chain", 2, F.size("chain") - 1).alias("b")))
+        .alias("pos", "x")
+    ).select(text(_quoted(dot_label(c("x.a"), 50)), " -> ", _quoted(dot_label(c("x.b"), 50)), ";").alias("line"))
+    parts = [safe, unsafe, database, network, ends, links]
+    frames = [p.select(F.lit(i).alias("part"), "line") for i, p in enumerate(parts, 1)]
+    result = frames[0]
+    for frame in frames[1:]:
+        result = result.unionByName(frame)
+    return result
+
+
+NODE_KIND = {
+    "ACCESS": "access", "ASSIGN": "assign", "VAR": "var", "CALL": "call", "CALLE": "expr", "RET": "return",
+    "BRANCH": "branch", "LIT": "literal",
+}
+
+
+def taint_dot(taint: DataFrame) -> DataFrame:
+    """(file_path, line): DOT edges of every taint path, step by step, the
+    steps labelled by node kind, gates marked."""
+    node = F.col("node")
+    kind = F.coalesce(paths.lookup(F.split_part(node, F.lit("_"), F.lit(1)), NODE_KIND), F.lit("node"))
+    gate = F.when(F.array_contains("sanitizer_node_ids", node), " [SANITIZED]").otherwise("")
+    steps = taint.select(
+        "file_path", "source_tag", "sink_target", "sanitizer_node_ids",
+        F.posexplode(F.arrays_zip(
+            F.slice("path_node_ids", 1, F.greatest(F.size("path_node_ids") - 1, F.lit(0))).alias("before"),
+            F.slice("path_node_ids", 2, F.greatest(F.size("path_node_ids") - 1, F.lit(0))).alias("node"),
+        )).alias("pos", "x"),
+    ).select("*", "x.before", "x.node")
+    line = F.concat(
+        _quoted(dot_label(F.col("before"))), F.lit(" -> "), _quoted(dot_label(node)), F.lit(' [label="'), kind, gate, F.lit('"];')
+    )
+    return steps.select("file_path", line.alias("line")).distinct()
+
+
+def repair_proposals(findings: DataFrame, texts: DataFrame) -> DataFrame:
+    """(file, rule, status, patch): one proposal per file and rule.
+
+    texts: (file_path, text). Files that are missing fail, files without a
+    matching pattern are skipped; nothing is written back.
+    """
+    from flowtide.functions.text import proposed_patch
+
+    wanted = findings.where("file <> ''").select("file", "rule").distinct()
+    sources = texts.select(F.col("file_path").alias("file"), "text")
+    patch = proposed_patch(F.col("rule"), F.col("text"))
+    status = F.when(F.col("text").isNull(), "FAILED").when(F.col("patch").isNotNull(), "SUCCESS").otherwise("SKIPPED")
+    return wanted.join(sources, "file", "left").withColumn("patch", patch).withColumn("status", status).drop("text")
