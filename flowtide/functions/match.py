@@ -37,6 +37,22 @@ def java_quote(text: str) -> str:
     return re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", text)
 
 
+def words_pattern(words: Sequence[str]) -> str:
+    """One regular expression that finds any of the words, with common
+    beginnings shared, so that its cost does not grow with their number."""
+
+    def branch(tails: list[str]) -> str:
+        if "" in tails:
+            return ""  # a shorter word already matched here
+        groups: dict[str, list[str]] = {}
+        for tail in tails:
+            groups.setdefault(tail[0], []).append(tail[1:])
+        parts = [java_quote(first) + branch(rest) for first, rest in sorted(groups.items())]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return branch(list(words))
+
+
 def glob_to_regex(glob: str) -> str:
     """The anchored regular expression of a shell glob with * ? and [..]."""
     out, i = [], 0

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from flowtide.session import cut
 
-GROUP_LIMIT = 1_000_000
+GROUP_LIMIT = 200_000
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from flowtide.functions import calls, text
 from flowtide.functions import constants as K
-from flowtide.functions.match import contains_any, once
+from flowtide.functions.match import words_pattern
 from flowtide.operators.ordered import first_per_key
+from flowtide.operators.tables import one_row
 from flowtide.session import cut
 
 VERDICT = (
@@ -31,7 +32,7 @@ LISTED_CHANGES = 2000
 def touching(findings: DataFrame, changed: DataFrame, file: str = "file") -> DataFrame:
     """Findings whose file path contains a changed path; no change keeps all.
 
-    Up to LISTED_CHANGES paths become a literal list in a filter. For more,
+    Up to LISTED_CHANGES paths become one pattern in a filter. For more,
     "contains" is turned into an equi join: each distinct file path is cut into
     its substrings of the lengths that changed paths have. Path lengths are
     bounded, and so is the number of pieces per path.
@@ -42,8 +43,7 @@ def touching(findings: DataFrame, changed: DataFrame, file: str = "file") -> Dat
         listed = [r["piece"] for r in changed.collect()]
         if not listed:
             return findings
-        kept = findings.withColumn("_path", once(F.col(file)))
-        return kept.where(contains_any(F.col("_path"), listed)).drop("_path")
+        return findings.where(F.col(file).rlike("(?s)" + words_pattern(listed)))
     lengths = [r["n"] for r in changed.select(F.length("piece").alias("n")).distinct().collect()]
     path = F.col(file)
 
@@ -137,6 +137,46 @@ def _converse(client, report: str, read_code) -> dict:
         return _verdict({"description": "Agent exceeded turn limit and failed to return valid JSON."}, facts)
 
 
+def report_texts(lines: DataFrame) -> DataFrame:
+    """(id, report): the report lines of each flow as one text. A flow has at
+    most 21 steps, so one report is bounded."""
+    text_of = F.transform(F.sort_array(F.collect_list(F.struct("part", "line"))), lambda x: x.line)
+    return lines.groupBy("id").agg(F.array_join(text_of, "\n").alias("report"))
+
+
+def review_findings(verdicts: DataFrame, flows: DataFrame) -> DataFrame:
+    """Findings of the flows that the reviewer calls vulnerable."""
+    bad = verdicts.where("vulnerable").join(
+        flows.select("id", "source", "sink", F.col("path_labels").alias("path"), "file", "line"), "id"
+    )
+    return bad.select(
+        F.replace(F.lower("vulnerability_type"), F.lit(" "), F.lit("-")).alias("rule"), "severity",
+        F.col("vulnerability_type").alias("title"), F.col("id").alias("flow_id"),
+        F.concat("description", F.lit("\n\nTrace:\n"), "trace").alias("description"),
+        "source", "sink", "path", "file", "line", "recommendation",
+    )
+
+
+def routes_needing_login(answers: DataFrame) -> DataFrame:
+    """(route) from review answers {"needs_auth": [..], "unsure": [..]}; the
+    unsure ones count where nothing needs a login. answers: (response)."""
+    parsed = F.from_json(
+        text.strip_fences(F.col("response")), "needs_auth array<string>, unsure array<string>"
+    )
+    needs = F.when(F.size(F.coalesce(parsed.needs_auth, F.array())) > 0, parsed.needs_auth).otherwise(parsed.unsure)
+    return answers.select(F.explode(needs).alias("route")).distinct()
+
+
+def discovery(deps: DataFrame, files: DataFrame, limit: int = 100) -> DataFrame:
+    """One JSON row that introduces a repository: declared names and up to
+    ``limit`` file paths."""
+    names = deps.where("file in ('package.json', 'requirements.txt')").select("name").distinct()
+    names = names.orderBy("name").limit(limit).agg(F.sort_array(F.collect_list("name")).alias("dependencies"))
+    shown = files.select("file_path").orderBy("file_path").limit(limit)
+    shown = shown.agg(F.sort_array(F.collect_list("file_path")).alias("files"))
+    return one_row(names, shown).select(F.to_json(F.struct("dependencies", "files")).alias("discovery"))
+
+
 def unique_facts(facts: DataFrame, order: str) -> DataFrame:
     """Each fact once, at its first place."""
     return facts.where("fact <> ''").groupBy("fact").agg(F.min(order).alias(order))

@@ -137,3 +137,10 @@ def test_settings():
 @pytest.mark.parametrize("word, flag", [("ON", True), ("enabled", True), ("0", False)])
 def test_flags(spark, word, flag):
     assert value(spark, settings.as_flag(F.lit(word))) is flag
+
+
+def test_words_pattern_is_a_substring_test(spark):
+    words = ["src/a.js", "src/ab", "src/a", "x+y", "c(1)", "src/b"]
+    inputs = ["p/src/a.jsx", "src/c", "1x+yz", "xxy", "c(1)", "c1", "src/b", ""]
+    got = values(spark, inputs, lambda c: c.rlike(match.words_pattern(words)))
+    assert got == {x: any(w in x for w in words) for x in inputs}

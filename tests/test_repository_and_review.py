@@ -150,3 +150,27 @@ def test_custom_rule_and_broken_rule(spark):
     graph = rules.SecurityGraph(flows, *[None] * 4)
     rows = rules.run_rules(graph, [broken, good]).collect()
     assert [(r.rule, r.severity, r.flow_id) for r in rows] == [("mine", "low", "flow-0")]
+
+
+def test_engine_review_replaces_flow_rules(spark):
+    files = spark.createDataFrame([("src/app.js", APP), ("src/api/r/route.js", "function GET(q) { return 1; }")], "file_path string, text string")
+    engine = Engine.from_sources(files)
+    answer = json.dumps(BAD)
+
+    def make():
+        client = type("Client", (), {})()
+        client.complete = lambda prompt: answer if "FLOW REPORT" in prompt and "Sink: db.query" in prompt else "{}"
+        return client
+
+    rows = engine.reviewed(make, workers=2).collect()
+    assert sorted((r.rule, r.origin) for r in rows) == [("missing-authentication", "rule"), ("sql-injection", "review")]
+    none = spark.createDataFrame([('```json\n{"needs_auth": [], "unsure": ["/other"]}\n```',)], "response string")
+    routes = review.routes_needing_login(none)
+    assert [r.rule for r in engine.reviewed(make, workers=2, routes=routes).collect()] == ["sql-injection"]
+
+
+def test_discovery(spark):
+    deps = spark.createDataFrame([("package.json", "express"), ("go.mod", "text")], "file string, name string")
+    files = spark.createDataFrame([(f"f{i:03}.js",) for i in range(120)], "file_path string")
+    row = json.loads(review.discovery(deps, files).first().discovery)
+    assert row["dependencies"] == ["express"] and len(row["files"]) == 100
