@@ -263,9 +263,9 @@ with {SQL_NUMBERED}, l as (select id, unnest(list_filter(['FLOW REPORT (step-by-
   unnest(case when coerced then [0, 1, 2, 4, 5, 6, 7] else [0, 1, 2, 4, 5, 6] end) as part from numbered)
 select id, part, line from l""")
 def flow_reports(spark, sf):
-    flows = numbered_flows(spark, sf).withColumn(
+    flows = cut(numbered_flows(spark, sf).withColumn(
         "expressions", F.array("source", C("l_suppkey").cast("string"), C("sink"))
-    )
+    ), "flows")
     steps = flows.select("id", F.posexplode("expressions").alias("pos", "step"))
     return report.flow_report_lines(flows, steps)
 

@@ -287,7 +287,9 @@ with e as (select event_id, event_type, epoch_us(ts) as arrived, row_number() ov
 s as (select *, max(arrived - n * 600000000) over (partition by event_type order by n) as top from e)
 select event_id, event_type, top + n * 600000000 as start_us from s""")
 def launch_schedule(spark, sf):
-    events = read(spark, sf, "events").withColumn("at", F.unix_micros(C("ts").cast("timestamp")))
+    events = read(spark, sf, "events").withColumn(
+        "at", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    )
     return ordered.launch_schedule(
         events, ["event_type"], ["ts", "event_id"], "at", F.lit(600_000_000).cast("bigint"), "start_us"
     ).select("event_id", "event_type", "start_us")

@@ -151,26 +151,28 @@ def backward_reach(
         ).distinct()
     )
     rounds = [frontier]
-    for depth in range(1, max_depth + 1):
-        moves = store.moves(frontier)
-        way = F.concat(F.col("f.path"), F.array("s.src")) if with_path else F.col("f.path")
-        found = moves.select(
-            "f.sink_id", F.col("s.src_scope").alias("scope"), F.col("s.src").alias("node"),
-            F.struct(
-                (F.col("f.gated") | F.col("s.dst_gate")).alias("gated"), way.alias("path")
-            ).alias("w"),
-        )
-        best = found.groupBy("sink_id", "scope", "node").agg(F.min("w").alias("w")).select(
-            "sink_id", "scope", "node", "w.gated", F.lit(depth).alias("depth"), "w.path"
-        )
-        known = reduce(DataFrame.unionByName, [r.select("sink_id", "scope", "node", "gated") for r in rounds])
-        same = [F.col(f"b.{c}") == F.col(f"k.{c}") for c in ("sink_id", "scope", "node")]
-        beaten = same + [F.col("k.gated") <= F.col("b.gated")]
-        frontier = cut(best.alias("b").join(known.alias("k"), beaten, "left_anti"))
-        if frontier.isEmpty():
-            break
-        rounds.append(frontier)
-    store.close()
+    try:
+        for depth in range(1, max_depth + 1):
+            moves = store.moves(frontier)
+            way = F.concat(F.col("f.path"), F.array("s.src")) if with_path else F.col("f.path")
+            found = moves.select(
+                "f.sink_id", F.col("s.src_scope").alias("scope"), F.col("s.src").alias("node"),
+                F.struct(
+                    (F.col("f.gated") | F.col("s.dst_gate")).alias("gated"), way.alias("path")
+                ).alias("w"),
+            )
+            best = found.groupBy("sink_id", "scope", "node").agg(F.min("w").alias("w")).select(
+                "sink_id", "scope", "node", "w.gated", F.lit(depth).alias("depth"), "w.path"
+            )
+            known = reduce(DataFrame.unionByName, [r.select("sink_id", "scope", "node", "gated") for r in rounds])
+            same = [F.col(f"b.{c}") == F.col(f"k.{c}") for c in ("sink_id", "scope", "node")]
+            beaten = same + [F.col("k.gated") <= F.col("b.gated")]
+            frontier = cut(best.alias("b").join(known.alias("k"), beaten, "left_anti"))
+            if frontier.isEmpty():
+                break
+            rounds.append(frontier)
+    finally:
+        store.close()
     ways = reduce(DataFrame.unionByName, rounds)
     if gateless:
         return ways  # every pair was found in one round only

@@ -9,6 +9,7 @@ from flowtide.functions import findings as texts
 from flowtide.functions import paths
 from flowtide.functions.text import dot_label, trim_path, truncate
 from flowtide.operators.ordered import GROUP_LIMIT, scan_ordered, top_per_key
+from flowtide.session import cut
 
 
 def simple_findings(findings: DataFrame) -> DataFrame:
@@ -30,6 +31,7 @@ def grouped_findings(findings: DataFrame, order: str, limit: int = 6) -> DataFra
     Places are reduced to one row per (rule, place) before anything is listed,
     and at most ``limit`` of them are gathered.
     """
+    findings = cut(findings.select("rule", "title", "severity", "places", order), "findings")
     heads = findings.groupBy("rule").agg(
         F.count(F.lit(1)).alias("findings"),
         F.min_by(F.struct("title", "severity"), order).alias("first"),
