@@ -8,8 +8,7 @@ from flowtide.functions import calls, findings, ids, paths, text
 from flowtide.functions import constants as K
 from flowtide.functions.match import java_quote
 from flowtide.lens.common import (
-    FOLDERS, SOURCES, SQL_FILES, SQL_FLOWS, SQL_TARGET, TARGETS, files, pick, query, raw_flows, read,
-    sql_any, sql_in, sql_pick, target_of,
+    SOURCES, SQL_FILES, SQL_TARGET, files, pick, query, read, sql_any, sql_in, sql_pick, target_of,
 )
 from flowtide.operators.provenance import call_text
 from flowtide.sources import repository
@@ -408,6 +407,3 @@ def switch_words(spark, sf):
 
     word = pick(["true", "ON ", "no", "1", "0.5", "enabled", "x"], C("event_id"))
     return read(spark, sf, "events").select("event_id", as_flag(word).alias("flag"), as_number(word).alias("number"))
-
-
-__all__ = ["FOLDERS", "SQL_FLOWS", "TARGETS", "raw_flows"]

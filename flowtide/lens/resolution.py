@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from flowtide.functions import ids, text
 from flowtide.functions import constants as K
+from flowtide.lens.classify import _L, SQL_ROLE
 from flowtide.lens.common import (
-    LINE_ORDER, SQL_FILES, SQL_FLOWS, SQL_LINE_ORDER, SQL_NUMBERED, files, numbered_flows, query, raw_flows, read, spread,
+    LINE_ORDER, SQL_FILES, SQL_LINE_ORDER, SQL_NUMBERED, files, numbered_flows, query, read, spread, sql_any,
 )
 from flowtide.operators import dependency, labels, ordered, provenance, resolve, review, security
 from flowtide.sources.ir_documents import nodes_from_source
@@ -38,8 +39,6 @@ def part_calls(spark, sf):
 
 
 _DIR = "regexp_replace(file_path, '/?[^/]*$', '')"
-from flowtide.lens.classify import SQL_ROLE  # noqa: E402
-
 SQL_FUNCTIONS = f"""{SQL_FILES},
 fn as (select file_path, 'FUNC_' || p_partkey as fn_id, lower(replace(p_brand, '#', '')) || list_last(string_split(p_name, ' ')) as name,
   p_partkey as ord, {_DIR} as dir, {SQL_ROLE} as role, p_size as line from files)"""
@@ -119,9 +118,6 @@ def dependency_edges(spark, sf):
     return dependency.dependency_edges(part_functions(spark, sf), call_edges(spark, sf))
 
 
-from flowtide.lens.classify import _L  # noqa: E402
-from flowtide.lens.common import sql_any  # noqa: E402
-
 SQL_LAYER = (
     f"case when {sql_any(_L, K.BACKEND_PARTS)} then 'backend' when {sql_any(_L, K.FRONTEND_PARTS)} then 'frontend' else 'shared' end"
 )
@@ -442,6 +438,3 @@ def verdict_override(spark, sf):
 @query("unique_facts", "select props as fact, min(event_id) as event_id from events group by 1")
 def unique_facts(spark, sf):
     return review.unique_facts(read(spark, sf, "events").select(C("props").alias("fact"), "event_id"), "event_id")
-
-
-__all__ = ["SQL_FLOWS", "raw_flows"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowtide.schema import CALL_RESOLUTION, EDGE, IR_NODE, TAG
-from flowtide.sources.js_text import make_id, read_module
+from flowtide.sources.js_text import read_module
 
 BATCH_ROWS = 5000
 FIELDS = [field.split()[0] for field in IR_NODE.split(",")]
@@ -248,9 +248,3 @@ def _literal(value, value_type):
     if value_type == "number":
         return float(value) if "." in value else int(value)
     return value
-
-
-__all__ = [
-    "documents_from_nodes", "edge_json", "layer_from_documents", "make_id", "nodes_from_documents",
-    "nodes_from_source", "read_ir_documents",
-]
