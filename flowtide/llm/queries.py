@@ -67,3 +67,15 @@ def best_fit_packing(spark, folder):
     from flowtide.llm.packing import pack_documents
 
     return pack_documents(read(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), keep_ids=False)
+
+
+@query("op10_bpe_encode_decode")
+def bpe_encode_decode(spark, folder):
+    from pyspark.sql import functions as F
+
+    from flowtide.llm.bpe import encode_documents
+
+    out = encode_documents(read(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
+    return out.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
