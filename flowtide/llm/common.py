@@ -7,9 +7,11 @@ input, whatever they are called, therefore never clash with working columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +36,11 @@ def texts_of(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
     return docs.select(*columns)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once per row inside the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def bytes_column(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

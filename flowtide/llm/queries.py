@@ -79,3 +79,36 @@ def bpe_encode_decode(spark, folder):
     return out.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+#: Rules of the query: (verdict, host, path).
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@query("op2_url_filter", """
+    WITH rules(verdict, host, path) AS (VALUES """ + ", ".join(map(str, URL_RULES)) + """),
+    split AS (
+        SELECT page_id,
+            coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+            coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
+            row_number() OVER () AS nth
+        FROM pages
+    ), best AS (
+        SELECT nth, arg_max(struct_pack(rule := r.host || r.path, verdict := r.verdict),
+            length(r.host || r.path) * 100000 + length(r.host)) AS fit
+        FROM split s JOIN rules r
+            ON (s.host = r.host OR suffix(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
+        GROUP BY nth
+    )
+    SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.verdict, 'allow') AS verdict
+    FROM split LEFT JOIN best USING (nth)
+""")
+def url_filter(spark, folder):
+    from flowtide.llm.urls import judge_urls
+
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return judge_urls(read(spark, folder, "pages"), rules)
