@@ -7,10 +7,11 @@ input, whatever they are called, therefore never clash with working columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,5 +48,12 @@ def bytes_column(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return column.cast(kind).to_pylist()
 
 
-def numpy_column(column: pa.Array, kind) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).astype(kind, copy=False)
+def slices(batches: Iterator[pa.RecordBatch], n_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about n_bytes of text, so that working arrays stay small."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // n_bytes
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)

@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowtide.llm.common import bytes_column, texts_of
+from flowtide.llm.common import bytes_column, slices, texts_of
 
 WINDOW = 35
 MER = 3
 BUCKET_BYTES = 8 << 20  # of packed strings
 HOT_RUNS = 16_384  # entries of the dealing hint at most: 128 KB
+SLICE_BYTES = 6 << 20  # of text that a task handles at a time
 CHUNK = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
@@ -133,7 +134,7 @@ class Batch:
 def _survey(size: int, mer: int):
     """Bytes of text, and the word runs that own many windows, per batch."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, SLICE_BYTES):
             texts = bytes_column(batch.column("text"))
             b = Batch(texts, size, mer)
             runs, counts = [], []
@@ -162,7 +163,7 @@ def _ship(size: int, mer: int, buckets: int, hot: np.ndarray):
     """Rows of two kinds: packed strings for a bucket, and spans that repeat inside the batch."""
     def run(batches):
         packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in slices(batches, SLICE_BYTES):
             texts = bytes_column(batch.column("text"))
             keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist()))
             distinct: dict[tuple, int] = {}
@@ -309,7 +310,7 @@ _KEEP = [
 
 def _strip(with_text: bool):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, SLICE_BYTES):
             counts, removed, digests, kept_texts = [], [], [], []
             spans = batch.column("spans").to_pylist()
             for text, marks in zip(bytes_column(batch.column("text")), spans):
