@@ -112,3 +112,10 @@ def url_filter(spark, folder):
 
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     return judge_urls(read(spark, folder, "pages"), rules)
+
+
+@query("op4_nearest_neighbours")
+def nearest_neighbours(spark, folder):
+    from flowtide.llm.vectors import nearest
+
+    return nearest(read(spark, folder, "embeddings"))
