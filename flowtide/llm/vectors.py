@@ -258,9 +258,9 @@ def nearest(rows: DataFrame, query_step: int = QUERY_STEP, k: int = NEAREST, bea
     distinct = cut(asked.groupBy("v").agg(F.min("vec_id").alias("query")), "queries")
     blocks = max(1, -(-distinct.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")
-    shards = index.select("dim", "shard")
+    shards = index.select(F.col("dim").alias("dim"), F.col("shard").alias("shard"))
     sent = distinct.select("query", "v", F.size("v").alias("dim"), block).join(shards, "dim")
-    tables = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
+    tables = index.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     found = tables.groupBy("dim", "shard", "block").cogroup(sent.groupBy("dim", "shard", "block")) \
         .applyInArrow(_search(k, beam), "query long, vec_id long, score double")
     order = [F.desc("score"), "vec_id"]
