@@ -119,3 +119,57 @@ def nearest_neighbours(spark, folder):
     from flowtide.llm.vectors import nearest
 
     return nearest(read(spark, folder, "embeddings"))
+
+
+@query("op7_chat_formatting", r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
+    ), placed AS (
+        SELECT *, row_number() OVER w AS pos,
+            string_agg(md5(role || chr(31) || body), '') OVER (w ROWS UNBOUNDED PRECEDING) AS prefix
+        FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body)
+    ), whole AS (
+        SELECT conv_id, max(pos) AS n, arg_max(prefix, pos) AS content FROM placed GROUP BY conv_id
+    ), inner_prefixes AS (
+        SELECT DISTINCT prefix FROM placed JOIN whole USING (conv_id) WHERE pos < n
+    ), kept AS (
+        SELECT min(conv_id) AS conv_id, any_value(n) AS n FROM whole
+        WHERE content NOT IN (SELECT prefix FROM inner_prefixes) GROUP BY content
+    )
+    SELECT conv_id, (pos - 1) // 256 AS part, any_value(n) AS n_turns,
+        string_agg('<|im_start|>' || role || chr(10) || body || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+    FROM placed JOIN kept USING (conv_id) GROUP BY conv_id, part
+""")
+def chat_formatting(spark, folder):
+    from flowtide.llm.chat import format_chats
+
+    return format_chats(read(spark, folder, "conversations"))
+
+
+@query("op8_line_dedup", r"""
+    WITH docs AS (
+        SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS uid, string_split(coalesce(text, ''), chr(10)) AS lines
+        FROM documents
+    ), lines AS (
+        SELECT doc_id, uid, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM docs
+    ), cuts AS (
+        SELECT *, substr(md5(coalesce(md5(lag(line) OVER w), '') || md5(line)), 1, 1) IN ('0', '1', '2', '3') AS ends
+        FROM lines WINDOW w AS (PARTITION BY uid ORDER BY i)
+    ), numbered AS (
+        SELECT *, coalesce(sum(ends::INT) OVER (
+            PARTITION BY uid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no
+        FROM cuts
+    ), chunks AS (
+        SELECT doc_id, uid, no, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk
+        FROM numbered GROUP BY doc_id, uid, no
+    ), judged AS (
+        SELECT *, n > 1 AND row_number() OVER (PARTITION BY chunk, n > 1 ORDER BY doc_id, uid, no) > 1 AS gone FROM chunks
+    )
+    SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed,
+        coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text
+    FROM judged GROUP BY doc_id, uid
+""")
+def line_dedup(spark, folder):
+    from flowtide.llm.lines import dedup_lines
+
+    return dedup_lines(read(spark, folder, "documents"))
