@@ -151,7 +151,8 @@ def link_back(points, square, graph, batch, kept, degree, relax) -> None:
         place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         new[np.repeat(np.arange(len(some)), counts), place] = source[first[a]:first[a] + counts.sum()]
         old = graph[some]
-        lists = np.concatenate((np.where(old == n, -1, old), new), axis=1)
+        lists = np.sort(np.concatenate((np.where(old == n, -1, old), new), axis=1), axis=1)
+        lists[:, 1:][lists[:, 1:] == lists[:, :-1]] = -1  # points of one batch may choose each other
         full = (lists >= 0).sum(axis=1) > degree
         fits = -np.sort(-lists[~full], axis=1)[:, :degree]
         graph[some[~full]] = np.where(fits < 0, n, fits)
