@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")) \
         .where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # The smallest hashes; most other rows fall out before the sort, so few meet in one task.
-    top = -(2**63) + int(min(1.0, 2 * rows / max(1, usable.count())) * (2**64 - 1))
+    top = -(2**63) + min(2**64 - 1, 2**64 * 2 * rows // max(1, usable.count()))
     sample = usable.where(F.xxhash64("doc_id") <= top).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     # The sample has at most ``rows`` rows of 12 bytes, which bounds the broadcast.
     found = texts_of(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id") \
