@@ -308,14 +308,9 @@ SAFE_SINKS = [
 SAFE_SINK_TYPES = ["log", "print", "debug"]
 SAFE_SOURCE_PREFIXES = ["os.environ.get", "os.getenv", "env(", "config("]
 
-REACH_DEPTH = 20
 CALL_PATH_DEPTH = 10
-CODE_BUDGET = 6000
 EXCERPT_CHARS, EXCERPT_CONTEXT, EXCERPT_HEAD = 4000, 15, 20
 BODY_CHARS, BODY_MARKER = 1000, "... [TRUNCATED]"
 CACHE_LIMIT, CACHE_EVICT = 500, 100
-RETRY_BASE, RETRY_CAP, RETRY_MAX = 1.0, 30.0, 3
-AGENT_TURNS = 5
-RECONCILE_MIN = 3
-PROVIDER_RPM = {"groq": 30, "gemini": 60, "nvidia": 50}
+RETRY_BASE, RETRY_CAP = 1.0, 30.0
 TRUE_WORDS = ["true", "1", "yes", "on", "enable", "enabled"]

@@ -123,8 +123,9 @@ def is_ir_candidate(path: Column, language: Column, role: Column, strict: bool =
     return test
 
 
-def is_scanned(path: Column, depth: int = K.PARSE_DEPTH) -> Column:
-    """Inside the depth limit and below no pruned folder."""
+def is_scanned(path: Column, depth: int | None = None) -> Column:
+    """Below no pruned folder, and inside the depth limit if one is given."""
     folders = F.slice(F.split(path, "/"), 1, F.greatest(path_depth(path), F.lit(1)))
     pruned = F.arrays_overlap(folders, F.array(*[F.lit(d) for d in K.PRUNED_DIRECTORIES]))
-    return (path_depth(path) <= depth) & ((path_depth(path) == 0) | ~pruned)
+    kept = (path_depth(path) == 0) | ~pruned
+    return kept if depth is None else kept & (path_depth(path) <= depth)

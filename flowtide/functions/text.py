@@ -11,16 +11,25 @@ from flowtide.functions import constants as K
 from flowtide.functions.match import contains_any
 
 
+def bind(value: Column, use) -> Column:
+    """use(value), with the value computed once per row inside the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def truncate(text: Column, limit: int, marker: str = "", keep: int | None = None) -> Column:
     """The text, or its first keep (default limit) characters plus a marker."""
     short = F.concat(F.substring(text, 1, limit if keep is None else keep), F.lit(marker))
     return F.when(F.length(text) > limit, short).otherwise(text)
 
 
+def dot_id(text: Column) -> Column:
+    """Whole text, safe inside a quoted DOT identifier."""
+    return F.translate(F.replace(text, F.lit("\r"), F.lit("")), '\\:"\n', "/-' ")
+
+
 def dot_label(text: Column, limit: int = 60) -> Column:
-    """Text that is safe inside a DOT identifier or label."""
-    clean = F.translate(F.replace(text, F.lit("\r"), F.lit("")), '\\:"\n', "/-' ")
-    return truncate(clean, limit, "...", limit - 3)
+    """As dot_id, shortened for display."""
+    return truncate(dot_id(text), limit, "...", limit - 3)
 
 
 def trim_path(steps: Column, edge: int = 3) -> Column:
@@ -144,7 +153,6 @@ def excerpt(
     neither a shuffle nor a pairing of lines is needed.
     """
     words = [w if isinstance(w, Column) else F.lit(w) for w in keywords]
-    lines = line_array(text)
 
     def is_hit(line):
         hit = F.lit(False)
@@ -152,47 +160,45 @@ def excerpt(
             hit = hit | (line.contains(word) & (word != "") & (word != "?"))
         return hit
 
-    numbers = F.transform(lines, lambda line, i: F.when(is_hit(line), i + 1))
-    hits = F.array_compact(numbers)
-    around = F.transform(
-        hits,
-        lambda h: F.sequence(
-            F.greatest(h - context, F.lit(1)), F.least(h + context, F.size(lines))
-        ),
-    )
-    kept = F.array_sort(F.array_distinct(F.flatten(around)))
-    block = F.array_join(
-        F.transform(kept, lambda n: F.regexp_replace(F.element_at(lines, n), r"\s+$", "")), "\n"
-    )
-    block = truncate(block, limit, "\n# ... (truncated)")
-    return F.when(F.size(hits) > 0, block).otherwise(
-        F.array_join(F.slice(lines, 1, head), "\n")
-    )
+    def shown(held):
+        hits = F.array_compact(F.transform(held, lambda line, i: F.when(is_hit(line), i + 1)))
+        return bind(hits, lambda found: F.when(F.size(found) > 0, block(held, found)).otherwise(
+            F.array_join(F.slice(held, 1, head), "\n")))
+
+    def block(held, found):
+        # Each hit adds the lines that the hit before it has not shown yet.
+        around = F.transform(found, lambda h, i: F.slice(
+            held,
+            F.greatest(h - context, F.coalesce(F.get(found, i - 1), F.lit(-context)) + context + 1, F.lit(1)),
+            F.greatest(
+                F.least(h + context, F.size(held))
+                - F.greatest(h - context, F.coalesce(F.get(found, i - 1), F.lit(-context)) + context + 1, F.lit(1)) + 1,
+                F.lit(0))))
+        lines_kept = F.transform(F.flatten(around), lambda line: F.regexp_replace(line, r"\s+$", ""))
+        return truncate(F.array_join(lines_kept, "\n"), limit, "\n# ... (truncated)")
+
+    return bind(line_array(text), shown)
 
 
 def proposed_patch(rule: Column, content: Column) -> Column:
     """Rewritten file text for a finding, NULL where no pattern applies.
 
-    A proposal only: source files are never written.
+    A query text that is glued together gets a note before the statement, a sent
+    file is reduced to its base name, and a request is preceded by a note on
+    its host. Every pattern stays inside one statement on one line. A proposal
+    only: source files are never written.
     """
-    rule = F.lower(rule)
-    query = (
-        r"(?s)(\.query\s*\(\s*)"
-        r"(['\"`].*?['\"`]\s*\+\s*[\w\.]+|['\"`].*?\$\{[\w\.]+\}.*?['\"`])"
-    )
-    sql = F.regexp_replace(content, query, "$1/* FIXME: use a parameterized query */ $2")
-    send = F.replace(content, F.lit("res.sendFile("), F.lit("res.sendFile(path.basename("))
-    has_import = contains_any(content, ["import path", "require('path')"])
-    send = F.when(has_import, send).otherwise(F.concat(F.lit("import path from 'path';\n"), send))
-    guard = F.concat(F.lit("// SSRF-GUARD: verify that the URL host is allowed\n"), content)
+    kind = F.lower(rule)
+    glued = r"""([\w.]+\.query\()(?=[^;\n]*(?:["'`]\s*\+|\+\s*["'`]|\$\{))"""
+    sent = r"res\.sendFile\(([^()\n]*)\)"
+    called = r"(?m)^(\s*)(?=[^\n]*\bfetch\()"
+    based = F.regexp_replace(content, sent, r"res.sendFile(require('path').basename($1))")
     return (
-        F.when(rule.contains("sql"), F.when(content.rlike(query), sql))
-        .when(
-            rule.contains("path"),
-            F.when(content.contains("res.sendFile") & ~content.contains("path.basename"), send),
-        )
+        F.when(kind.contains("sql"), F.when(content.rlike(glued), F.regexp_replace(content, glued, "/* bind values as parameters */ $1")))
+        .when(kind.contains("path"), F.when(content.rlike(sent) & ~content.contains(".basename("), based))
         .when(
-            rule.contains("ssrf") | rule.contains("network"),
-            F.when(content.contains("fetch(") & ~content.contains("SSRF-GUARD"), guard),
+            kind.contains("ssrf") | kind.contains("network"),
+            F.when(content.rlike(called) & ~content.contains("// check the host"),
+                   F.regexp_replace(content, called, "$1// check the host against a fixed list\n$1")),
         )
     )

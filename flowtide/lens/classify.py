@@ -371,7 +371,7 @@ with {SQL_FILES} select p_partkey, len(string_split(file_path, '/')) - 1 as dept
 def scanned_files(spark, sf):
     path = C("file_path")
     return files(spark, sf).select(
-        "p_partkey", paths.path_depth(path).cast("bigint").alias("depth"), paths.is_scanned(path).alias("scanned")
+        "p_partkey", paths.path_depth(path).cast("bigint").alias("depth"), paths.is_scanned(path, K.PARSE_DEPTH).alias("scanned")
     )
 
 
@@ -388,14 +388,17 @@ def path_texts(spark, sf):
 
 
 @query("proposed_patches", """
-with t as (select doc_id, 'a.query("select " + id); ' || text as body, ['sql-injection', 'path-traversal', 'ssrf'][doc_id % 3 + 1] as rule from documents)
-select doc_id, rule, case when rule = 'sql-injection' then 'a.query(/* FIXME: use a parameterized query */ "select " + id); ' || text_of end is not null as patched from
-  (select *, substr(body, 26) as text_of from t)""")
+with t as (select doc_id, ['sql-injection', 'path-traversal', 'ssrf'][doc_id % 3 + 1] as rule,
+  'a.query("select " + id);' || chr(10) || 'res.sendFile(x);' || chr(10) || ' fetch(u);' || chr(10) || replace(replace(text, 'fetch(', ''), '.basename(', '') as body from documents)
+select doc_id, rule, md5(case rule when 'sql-injection' then '/* bind values as parameters */ ' || body
+  when 'path-traversal' then replace(body, 'res.sendFile(x);', 'res.sendFile(require(''path'').basename(x));')
+  else replace(body, ' fetch(u);', ' // check the host against a fixed list' || chr(10) || ' fetch(u);') end) as digest from t""")
 def proposed_patches(spark, sf):
-    body = F.concat(F.lit('a.query("select " + id); '), "text")
+    clean = F.replace(F.replace("text", F.lit("fetch("), F.lit("")), F.lit(".basename("), F.lit(""))
+    body = F.concat(F.lit('a.query("select " + id);\nres.sendFile(x);\n fetch(u);\n'), clean)
     rule = pick(["sql-injection", "path-traversal", "ssrf"], C("doc_id"))
     return read(spark, sf, "documents").select(
-        "doc_id", rule.alias("rule"), text.proposed_patch(rule, body).isNotNull().alias("patched")
+        "doc_id", rule.alias("rule"), F.md5(text.proposed_patch(rule, body)).alias("digest")
     )
 
 

@@ -162,12 +162,14 @@ def transition_degrees(spark, sf):
 
 
 @query("simple_paths", f"""
-with recursive {SQL_TRANSITIONS}, v as (select a as n from e union select b from e),
-p as (select v1.n as s, v2.n as t, [v1.n] as path from v v1, v v2
+with recursive {SQL_TRANSITIONS},
+p as (select a as s, b as t, [a] as path from e
   union all select s, t, list_append(path, b) from p join e on e.a = list_last(path) where not list_contains(path, b) and list_last(path) <> t and len(path) <= 10)
 select s as from_fn, t as to_fn, array_to_string(path, ' > ') as path from p where list_last(path) = t""")
 def simple_paths(spark, sf):
-    return reach.paths_between(transitions(spark, sf)).select("from_fn", "to_fn", F.array_join("path", " > ").alias("path"))
+    steps = transitions(spark, sf)
+    pairs = steps.select(C("caller_fn_id").alias("from_fn"), C("callee_fn_id").alias("to_fn"))
+    return reach.paths_between(steps, pairs).select("from_fn", "to_fn", F.array_join("path", " > ").alias("path"))
 
 
 def page_links(spark, sf):

@@ -10,7 +10,7 @@ from flowtide.lens.classify import EXT_RE, SQL_LAST, _case_map
 from flowtide.lens.common import (
     SQL_FILES, SQL_FLOWS, SQL_NUMBERED, files, numbered_flows, pick, query, raw_flows, read, sql_any, sql_in, sql_pick,
 )
-from flowtide.lens.resolution import SQL_NODES, call_edges, part_functions, part_nodes
+from flowtide.lens.resolution import SQL_EDGES, SQL_NODES, SQL_RESOLUTION, call_edges, part_functions, part_nodes
 from flowtide.operators import dependency, ordered, security
 from flowtide.plans import report, rules
 from flowtide.session import cut, new_table_path
@@ -77,7 +77,7 @@ _DEPTH = "len(string_split(file_path, '/')) - 1"
 
 
 @query("project_languages", f"""
-with {SQL_FILES}, c as (select {_case_map(_EXT, K.PROJECT_LANGUAGE_BY_EXTENSION)} as language from files where {_DEPTH} <= 4),
+with {SQL_FILES}, c as (select {_case_map(_EXT, K.PROJECT_LANGUAGE_BY_EXTENSION)} as language from files ),
 d as (select language from c where language is not null group by 1 having count(*) >= 3
   union select 'Terraform' from files where {_DEPTH} = 0 and suffix(file_path, '.tf'))
 select language, coalesce(nullif(list_position({K.LANGUAGE_PRIORITY}, language), 0), 10)::bigint as rank from d""")
@@ -90,8 +90,8 @@ CHECKS = [*K.FRAMEWORK_CHECKS, ("Ring", {"dep": ["ring"]}), ("Blue", {"dep": ["b
 
 @query("frameworks", f"""
 with {SQL_FILES}, c as (
-  select 4 as number, 'React' as framework where exists (select 1 from files where {_DEPTH} <= 3 and (suffix(file_path, 'jsx') or suffix(file_path, 'tsx')))
-  union all select 5, 'Vue.js' where exists (select 1 from files where {_DEPTH} <= 3 and suffix(file_path, 'vue'))
+  select 4 as number, 'React' as framework where exists (select 1 from files where (suffix(file_path, 'jsx') or suffix(file_path, 'tsx')))
+  union all select 5, 'Vue.js' where exists (select 1 from files where suffix(file_path, 'vue'))
   union all select {len(K.FRAMEWORK_CHECKS)}, 'Ring' where exists (select 1 from part where contains(p_name, 'ring'))
   union all select {len(K.FRAMEWORK_CHECKS) + 1}, 'Blue' where exists (select 1 from part where contains(p_name, 'blue b')))
 select * from c""")
@@ -105,11 +105,11 @@ _TRIM = "case when element = 'call' then substr(text, 1, 80) else trim(text) end
 
 
 @query("source_elements", f"""
-with s as (select page_id, unnest(string_split(regexp_extract(html, '<script>(.*?)</script>', 1), chr(10))) as line from pages),
+with s as (select page_id, unnest(string_split(array_to_string(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), chr(10)), chr(10))) as line from pages),
 e as ({" union all ".join(f"select page_id, '{k}' as element, unnest(regexp_extract_all(line, '{p}')) as text from s" for k, p in _PATTERNS.items())})
 select element, {_TRIM} as text, count(*) as found from e group by all""")
 def source_elements(spark, sf):
-    script = F.regexp_extract("html", r"<script>(.*?)</script>", 1)
+    script = F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), 1), "\n")
     texts = read(spark, sf, "pages").select(
         F.concat(F.lit("page-"), C("page_id").cast("string"), F.lit(".js")).alias("file_path"), script.alias("text")
     )
@@ -141,26 +141,30 @@ def security_graph(spark, sf):
         F.concat(F.lit("Customer"), C("c_custkey").cast("string")).alias("route"), C("c_mktsegment").alias("file"),
         C("c_name").alias("fnid"),
     )
+    safe_routes = customers.join(urgent, C("c_custkey") == C("o_custkey"), "left_semi").select(
+        F.concat(F.lit("Customer"), C("c_custkey").cast("string")).alias("route"), C("c_name").alias("route_fnid"),
+        C("c_mktsegment").alias("file"), F.lit("checkToken").alias("auth"),
+    )
     return security.SecurityGraph(
-        flows, open_routes.limit(0), open_routes, security.database_operations(flows), security.network_operations(flows)
+        flows, safe_routes, open_routes, security.database_operations(flows), security.network_operations(flows)
     )
 
 
 SQL_FINDINGS = f"""{SQL_NUMBERED},
 opened as (select 'Customer' || c_custkey as route, c_mktsegment as file from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')),
 findings as (
- select 'unvalidated-source-to-sink' as rule, 'high' as severity, 'Data flows from ' || source || ' to ' || sink || ' without validation' as description,
+ select 'unvalidated-source-to-sink' as rule, 'high' as severity, source || ' arrives at ' || sink || ' and nothing checks it on the way' as description,
    id as flow_id, source, sink, file, line, null as route from numbered where not validated
- union all select 'missing-authentication', 'high', 'Route ' || route || ' has no authentication middleware', null, null, null, file, null, route from opened
- union all select 'database-write-without-validation', 'medium', 'Database write ''' || sink || ''' has no input validation in its data-flow path', null, source, null, null, null, null
+ union all select 'missing-authentication', 'high', route || ' is served to callers who have not logged in', null, null, null, file, null, route from opened
+ union all select 'database-write-without-validation', 'medium', sink || ' stores a value that no step before it has checked', null, source, null, null, null, null
    from numbered where sink_type = 'SINK_DATABASE' and not validated and {_WRITE}
- union all select 'exposed-network-request', 'medium', 'Function ' || sink || ' makes external request: ' || sink, null, null, null, file, 0, null
+ union all select 'exposed-network-request', 'medium', sink || ' calls another host through ' || sink, null, null, null, file, 0, null
    from numbered where sink_type = 'SINK_NETWORK' and not {_CLIENT}
- union all select 'sql-injection-via-concat', 'high', 'Untrusted input reaches SQL sink ''' || sink || ''' via string concatenation/formatting', null, source, sink, null, null, null
+ union all select 'sql-injection-via-concat', 'high', 'The text of the query at ' || sink || ' is put together with input', null, source, sink, null, null, null
    from numbered where sink_type = 'SINK_DATABASE' and not validated and {sql_any('lower(sink)', K.CONCAT_PARTS)}
- union all select 'path-traversal', 'high', 'Untrusted input reaches file operation ''' || sink || ''' via path construction/concatenation', null, source, sink, null, null, null
+ union all select 'path-traversal', 'high', 'The file that ' || sink || ' opens is named with input', null, source, sink, null, null, null
    from numbered where sink_type = 'SINK_FILE' and not validated and {sql_any('lower(sink)', K.PATH_PARTS)}
- union all select 'ssrf-dynamic-url', 'medium', 'Untrusted input flows into network request sink ''' || sink || '''', null, source, sink, null, null, null
+ union all select 'ssrf-dynamic-url', 'medium', sink || ' sends a request whose address input can choose', null, source, sink, null, null, null
    from numbered where sink_type = 'SINK_NETWORK' and not validated and not {_CLIENT})"""
 
 
@@ -227,17 +231,21 @@ def findings_by_file(spark, sf):
 
 
 @query("markdown_lines", f"""
-with {SQL_FLOW_FINDINGS}, l as (select number, unnest(list_filter(['### #' || number || '. ' || title || ' (' || upper(severity) || ')', '- **Rule**: `' || rule || '`',
-  '- **Location**: `' || file || ':' || line || '`', '- **Description**: From ' || source,
-  case when validated then '- **Data-Flow Taint Trace**: `' || source || ' -> ' || sink || '`' end, '- **Recommendation**: Check it', ''], lambda x: x is not null)) as line,
+with {SQL_FLOW_FINDINGS}, l as (select number, unnest(list_filter(['### ' || number || ' ' || title, '* severity ' || severity || ', rule `' || rule || '`',
+  '* at `' || file || ':' || line || '`', '* what: From ' || source,
+  case when validated then '* way: `' || source || ' -> ' || sink || '`' end, '* advice: Check it', ''], lambda x: x is not null)) as line,
   unnest(range(case when validated then 7 else 6 end)) as part from ff)
 select number, part::int as part, line from l""")
 def markdown_lines(spark, sf):
     return report.markdown_findings(flow_findings(spark, sf), "number")
 
 
+def _dot_id(x: str) -> str:
+    return f"""translate(replace({x}, chr(13), ''), '\\:"' || chr(10), '/-'' ')"""
+
+
 def _dot(x: str) -> str:
-    clean = f"""translate(replace({x}, chr(13), ''), '\\:"' || chr(10), '/-'' ')"""
+    clean = _dot_id(x)
     return f"case when length({clean}) > 60 then substr({clean}, 1, 57) || '...' else {clean} end"
 
 
@@ -245,29 +253,28 @@ _COLORS = " ".join(f"when '{k}' then '{v}'" for k, v in report.ROLE_COLORS.items
 
 
 @query("dependency_dot", f"""
-with {SQL_NODES},
-n as (select 1 as part, '"' || {_dot('id')} || '" [label="' || {_dot('label')} || '", ' ||
-  case when type = 'file' then 'fillcolor="#e1f5fe", shape=folder' else 'fillcolor="' || case security_role {_COLORS} end || '"' end || '];' as line from nodes),
-c as (select 2 as part, '"' || {_dot("'file:' || file_path")} || '" -> "' || {_dot("'fn:' || file_path || '::' || name")} || '" [label="' || {_dot('name')} || '", color="#1565c0", style=dashed];' as line from fn)
-select * from n union all select * from c""")
+with {SQL_NODES}, {SQL_RESOLUTION}, {SQL_EDGES},
+n as (select 1 as part, '"' || {_dot_id('id')} || '" [label="' || {_dot('label')} || '", ' ||
+  case when type = 'file' then 'fillcolor="azure", shape=folder' else 'fillcolor="' || case security_role {_COLORS} end || '"' end || '];' as line from nodes),
+shown as (select *, 'fn:' || file_path || '::' || name as key from fn),
+k as (select 2 as part, '"' || {_dot_id('a.key')} || '" -> "' || {_dot_id('b.key')} || '" [label="' || {_dot('b.name')} || '", color="orangered"];' as line
+  from call_edges e join shown a on a.fn_id = e.caller_fn_id join shown b on b.fn_id = e.callee_fn_id),
+c as (select 2 as part, '"' || {_dot_id("'file:' || file_path")} || '" -> "' || {_dot_id("'fn:' || file_path || '::' || name")} || '" [label="' || {_dot('name')} || '", color="steelblue", style=dashed];' as line from fn)
+select * from n union all select * from c union all select * from k""")
 def dependency_dot(spark, sf):
-    contains = dependency.dependency_edges(part_functions(spark, sf), call_edges(spark, sf)).where("type = 'contains'")
-    return report.dependency_dot(part_nodes(spark, sf), contains)
+    edges = dependency.dependency_edges(part_functions(spark, sf), call_edges(spark, sf))
+    return report.dependency_dot(part_nodes(spark, sf), edges)
 
 
 @query("flow_reports", f"""
-with {SQL_NUMBERED}, l as (select id, unnest(list_filter(['FLOW REPORT (step-by-step trace from source to sink):', '  Source: ' || source, '  Step 1: ' || l_suppkey,
-  '  Sink: ' || sink || ' (' || sink_type || ')', '  Security operations detected: ' || case when coerced then 'OP_COERCION' else 'none' end,
-  '  Auth: no explicit authentication call on this path',
-  case when coerced then '  Note: input goes through type coercion (prevents NoSQL operator injection)' end], lambda x: x is not null)) as line,
-  unnest(case when coerced then [0, 1, 2, 4, 5, 6, 7] else [0, 1, 2, 4, 5, 6] end) as part from numbered)
-select id, part, line from l""")
+with {SQL_NUMBERED}, l as (select id, unnest(list_filter(['from ' || source, '1. ' || l_suppkey, 'to ' || sink || ' [' || sink_type || ']',
+  'operations on the way: ' || case when coerced then 'OP_COERCION' else '-' end, 'login checked on the way: no',
+  case when coerced then 'types are converted on the way' end], lambda x: x is not null)) as line,
+  unnest(range(case when coerced then 6 else 5 end)) as part from numbered)
+select id, part::int as part, line from l""")
 def flow_reports(spark, sf):
-    flows = cut(numbered_flows(spark, sf).withColumn(
-        "expressions", F.array("source", C("l_suppkey").cast("string"), C("sink"))
-    ), "flows")
-    steps = flows.select("id", F.posexplode("expressions").alias("pos", "step"))
-    return report.flow_report_lines(flows, steps)
+    labels = F.array(C("source"), C("l_suppkey").cast("string"), C("sink"))
+    return report.flow_report_lines(numbered_flows(spark, sf).withColumn("path_labels", labels))
 
 
 @query("files_by_depth", f"""
@@ -292,14 +299,16 @@ def taint_dot(spark, sf):
 
 @query("security_dot", f"""
 with {SQL_NUMBERED}, op as (select 'Customer' || c_custkey as route from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')),
+sr as (select 'Customer' || c_custkey as route from customer where c_custkey in (select o_custkey from orders where o_orderpriority = '1-URGENT')),
 l as (
- select 2 as part, '"auth_unprotected_' || route || '" [label="UNPROTECTED ' || route || '", fillcolor="#ffcdd2"];' as line from op
- union all select distinct 3, '"db_' || source || '_' || sink || '" [label="' || case when validated then '[V] ' else '[U] ' end || source || ' -> ' || sink || '", fillcolor="' || case when validated then '#c8e6c9' else '#ffcc80' end || '"];'
+ select 1 as part, '"auth_protected_' || route || '" [label="PROTECTED ' || route || '", fillcolor="palegreen"];' as line from sr
+ union all select 2 as part, '"auth_unprotected_' || route || '" [label="UNPROTECTED ' || route || '", fillcolor="salmon"];' as line from op
+ union all select distinct 3, '"db_' || source || '_' || sink || '" [label="' || case when validated then '[V] ' else '[U] ' end || source || ' -> ' || sink || '", fillcolor="' || case when validated then 'palegreen' else 'orange' end || '"];'
    from numbered where sink_type = 'SINK_DATABASE'
- union all select distinct 4, '"net_' || sink || '" [label="' || case when length(sink || ' (' || file || ')') > 50 then substr(sink || ' (' || file || ')', 1, 47) || '...' else sink || ' (' || file || ')' end || '", fillcolor="#ffe0b2"];'
+ union all select distinct 4, '"net_' || sink || '" [label="' || case when length(sink || ' (' || file || ')') > 50 then substr(sink || ' (' || file || ')', 1, 47) || '...' else sink || ' (' || file || ')' end || '", fillcolor="wheat"];'
    from numbered where sink_type = 'SINK_NETWORK' and not {_CLIENT}
- union all select 5, '"' || id || '_source" [label="SOURCE ' || source || '", fillcolor="#ffebee"];' from numbered
- union all select 5, '"' || id || '_sink" [label="' || case when length(t) > 50 then substr(t, 1, 47) || '...' else t end || '", fillcolor="' || case when validated then '#c8e6c9' else '#fff3e0' end || '"];'
+ union all select 5, '"' || id || '_source" [label="SOURCE ' || source || '", fillcolor="lightpink"];' from numbered
+ union all select 5, '"' || id || '_sink" [label="' || case when length(t) > 50 then substr(t, 1, 47) || '...' else t end || '", fillcolor="' || case when validated then 'palegreen' else 'moccasin' end || '"];'
    from (select *, 'SINK ' || sink || ' (' || sink_type || ')' || case when validated then ' [SANITIZED]' else '' end as t from numbered)
  union all select 6, '"' || id || '_source" -> "' || id || '_' || l_suppkey || '";' from numbered
  union all select 6, '"' || id || '_' || l_suppkey || '" -> "' || id || '_sink";' from numbered)
@@ -312,7 +321,7 @@ def security_dot(spark, sf):
 with f as (select distinct lang || '-' || doc_id as file, ['sql-injection-via-concat', 'path-traversal', 'missing-authentication'][doc_id % 3 + 1] as rule from documents),
 t as (select lang || '-' || doc_id as file, case when doc_id in (select doc_id from labels) then 'x.query("a" + b); ' || text end as body from documents)
 select file, rule, case when body is null then 'FAILED' when rule = 'sql-injection-via-concat' then 'SUCCESS' else 'SKIPPED' end as status,
-  case when body is not null and rule = 'sql-injection-via-concat' then md5('x.query(/* FIXME: use a parameterized query */ ' || substr(body, 9)) end as digest
+  case when body is not null and rule = 'sql-injection-via-concat' then md5('/* bind values as parameters */ ' || body) end as digest
 from f join t using (file)""")
 def repair_proposals(spark, sf):
     docs = read(spark, sf, "documents")

@@ -8,10 +8,10 @@ from flowtide.functions import ids, text
 from flowtide.functions import constants as K
 from flowtide.lens.classify import _L, SQL_ROLE
 from flowtide.lens.common import (
-    LINE_ORDER, SQL_FILES, SQL_LINE_ORDER, SQL_NUMBERED, files, numbered_flows, query, read, spread, sql_any,
+    LINE_ORDER, SQL_FILES, SQL_LINE_ORDER, SQL_NUMBERED, files, numbered_flows, query, read, sql_any,
 )
 from flowtide.operators import dependency, labels, ordered, provenance, resolve, review, security
-from flowtide.sources.ir_documents import nodes_from_source
+from flowtide.sources.ir_documents import failures_of, nodes_from_source, parsed_documents
 
 C = F.col
 
@@ -42,8 +42,7 @@ _DIR = "regexp_replace(file_path, '/?[^/]*$', '')"
 SQL_FUNCTIONS = f"""{SQL_FILES},
 fn as (select file_path, 'FUNC_' || p_partkey as fn_id, lower(replace(p_brand, '#', '')) || list_last(string_split(p_name, ' ')) as name,
   p_partkey as ord, {_DIR} as dir, {SQL_ROLE} as role, p_size as line from files)"""
-SQL_RESOLVED = f"""{SQL_FUNCTIONS},
-calls as (select distinct c.file_path, c.dir, c.role, t.name as target from (select distinct l_partkey, l_suppkey from lineitem) l
+SQL_RESOLUTION = """calls as (select distinct c.file_path, c.dir, c.role, t.name as target from (select distinct l_partkey, l_suppkey from lineitem) l
   join fn c on c.ord = l.l_partkey join fn t on t.ord = l.l_suppkey),
 file_fn as (select file_path, name, max_by(fn_id, ord) as fn_id from fn group by all),
 dir_fn as (select dir, name, min_by(fn_id, row(file_path, ord)) as fn_id, count(*) as n from fn group by dir, name),
@@ -55,6 +54,7 @@ resolved as (select c.file_path, 'CALL_' || substr(md5('::::' || c.target), 1, 7
   from calls c left join file_fn f on f.file_path = c.file_path and f.name = c.target
   left join dir_fn d on d.dir = c.dir and d.name = c.target left join role_fn r on r.role = c.role and r.name = c.target
   where coalesce(f.fn_id, d.fn_id, r.fn_id) is not null)"""
+SQL_RESOLVED = f"{SQL_FUNCTIONS},\n{SQL_RESOLUTION}"
 
 
 @query("ranked_resolution", f"with {SQL_RESOLVED} select file_path, call_id, resolved_fn_id, n_candidates::bigint as n_candidates, confidence from resolved")
@@ -84,10 +84,10 @@ def resolved_calls(spark, sf):
     return resolve.resolve_calls(calls, part_functions(spark, sf)), owner
 
 
-SQL_CALL_EDGES = f"""{SQL_RESOLVED},
-owner as (select 'CALL_' || substr(md5('::::' || c.target), 1, 7) as call_id, max_by(f.fn_id, row(f.file_path, f.fn_id)) as fn_id
+SQL_EDGES = """owner as (select 'CALL_' || substr(md5('::::' || c.target), 1, 7) as call_id, max_by(f.fn_id, row(f.file_path, f.fn_id)) as fn_id
   from calls c join fn f on f.file_path = c.file_path group by 1),
 call_edges as (select distinct o.fn_id as caller_fn_id, r.resolved_fn_id as callee_fn_id from resolved r join owner o on o.call_id = r.call_id)"""
+SQL_CALL_EDGES = f"{SQL_RESOLVED},\n{SQL_EDGES}"
 
 
 @query("call_edges", f"with {SQL_CALL_EDGES} select * from call_edges")
@@ -170,8 +170,7 @@ from lineitem group by all""")
 def last_owner(spark, sf):
     lines = read(spark, sf, "lineitem")
     keys = ["l_partkey", "l_linenumber"]
-    last = ordered.last_value_per_key(lines, keys, "l_orderkey", LINE_ORDER, "last_order")
-    return last.join(ordered.first_value_per_key(lines, keys, "l_orderkey", LINE_ORDER, "first_order"), keys)
+    return ordered.ends_per_key(lines, keys, "l_orderkey", LINE_ORDER, "first_order", "last_order")
 
 
 @query("first_wins", """
@@ -204,8 +203,10 @@ def flows_to_review(spark, sf):
 
 
 @query("route_protection", """
-with e as (select o_custkey, min(case when o_orderpriority = '1-URGENT' then 'auth' end) as auth from orders group by 1)
-select 'Customer' || c_custkey as route, e.auth is not null as protected from customer left join e on o_custkey = c_custkey""")
+with named as (select distinct o_custkey as k from orders where o_orderpriority = '1-URGENT'),
+held as (select distinct o_custkey as k from orders join lineitem on l_orderkey = o_orderkey where l_returnflag = 'R' and l_linenumber = 7)
+select 'Customer' || c_custkey as route, case when c_custkey in (select k from named) then 'checkToken' when c_custkey in (select k from held) then 'auth (inline)' end as auth
+from customer""")
 def route_protection(spark, sf):
     key = F.concat(F.lit("FUNC_"), C("c_custkey").cast("string"))
     routes = read(spark, sf, "customer").select(
@@ -220,10 +221,16 @@ def route_protection(spark, sf):
     edges = orders.select(
         F.concat(F.lit("FUNC_"), C("o_custkey").cast("string")).alias("caller_fn_id"), order_fn.alias("callee_fn_id")
     )
-    no_tags = orders.where("false").select(F.lit("OP_AUTH").alias("kind"), F.lit("").alias("node_id"))
-    no_owner = orders.where("false").select(F.lit("").alias("node_id"), F.lit("").alias("fn_id"))
-    safe, unsafe = security.protect_routes(routes, security.auth_evidence(functions, edges, no_tags, no_owner))
-    return safe.select("route", F.lit(True).alias("protected")).unionByName(unsafe.select("route", F.lit(False).alias("protected")))
+    node = F.concat(F.lit("CALL_"), C("l_orderkey").cast("string"), F.lit("_"), C("l_linenumber").cast("string"))
+    lines = read(spark, sf, "lineitem")
+    tags = lines.select(
+        F.when((C("l_returnflag") == "R") & (C("l_linenumber") == 7), "OP_AUTH").otherwise("OP_COERCION").alias("kind"), node.alias("node_id")
+    )
+    owner = lines.join(orders, C("l_orderkey") == C("o_orderkey")).select(
+        node.alias("node_id"), F.concat(F.lit("FUNC_"), C("o_custkey").cast("string")).alias("fn_id")
+    )
+    safe, unsafe = security.protect_routes(routes, security.auth_evidence(functions, edges, tags, owner))
+    return safe.select("route", "auth").unionByName(unsafe.select("route", F.lit(None).cast("string").alias("auth")))
 
 
 @query("changed_files", f"""
@@ -287,7 +294,7 @@ def launch_schedule(spark, sf):
         "at", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     )
     return ordered.launch_schedule(
-        events, ["event_type"], ["ts", "event_id"], "at", F.lit(600_000_000).cast("bigint"), "start_us"
+        events, ["event_type"], ["ts", "event_id"], "at", F.lit(600_000_000).cast("bigint"), "start_us", stored=True
     ).select("event_id", "event_type", "start_us")
 
 
@@ -385,7 +392,7 @@ def provenance_edges(spark, sf):
     return edges.groupBy("file_path", "source_id", "target_id", "transform").agg(F.count("*").alias("copies"))
 
 
-_SCRIPT = r"regexp_extract(html, '<script>(.*?)</script>', 1)"
+_SCRIPT = r"array_to_string(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), chr(10))"
 
 
 @query("script_statements", rf"""
@@ -395,8 +402,8 @@ c as (select page_id, unnest(regexp_extract_all(code, '(\w+)\(\d+\);', 1)) as ta
 select page_id::varchar as page_id, 'IRAssign' as kind, target, count(*) as nodes from a group by all
 union all select page_id::varchar, 'IRCall', target, count(*) from c group by all""")
 def script_statements(spark, sf):
-    script = F.regexp_extract("html", r"<script>(.*?)</script>", 1)
-    sources = spread(read(spark, sf, "pages")).select(
+    script = F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), 1), "\n")
+    sources = read(spark, sf, "pages").select(
         C("page_id").cast("string").alias("file_path"), F.lit("JavaScript").alias("language"),
         F.concat(F.lit("function page() {"), script, F.lit("}")).alias("text"),
     )
@@ -438,3 +445,16 @@ def verdict_override(spark, sf):
 @query("unique_facts", "select props as fact, min(event_id) as event_id from events group by 1")
 def unique_facts(spark, sf):
     return review.unique_facts(read(spark, sf, "events").select(C("props").alias("fact"), "event_id"), "event_id")
+
+
+@query("failed_files", """
+with d as (select doc_id, case doc_id % 4 when 0 then '{"file_path": "d' || doc_id || '", "functions": []}' when 1 then 'x ' || text when 2 then 'null' else '[1]' end as value from documents)
+select md5(value) as path, case when doc_id % 4 = 1 then 'JSONDecodeError' else 'TypeError' end as error, count(*) as inputs
+from d where doc_id % 4 <> 0 group by all""")
+def failed_files(spark, sf):
+    """Documents as IR: every one is read or listed with its error."""
+    text_ = F.concat(F.lit('{"file_path": "d'), C("doc_id").cast("string"), F.lit('", "functions": []}'))
+    kind = C("doc_id") % 4
+    value = F.when(kind == 0, text_).when(kind == 1, F.concat(F.lit("x "), "text")).when(kind == 2, "null").otherwise("[1]")
+    parsed = parsed_documents(read(spark, sf, "documents").select(value.alias("value")))
+    return failures_of(parsed).groupBy("path", "error").agg(F.count("*").alias("inputs"))

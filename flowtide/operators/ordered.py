@@ -1,13 +1,13 @@
 """Ordered computations that stay parallel when one group is very large.
 
-A window function puts a whole group into one task. That is right for small
-groups and wrong for a group that holds a third of all rows. ``scan_ordered``
-measures the largest group first. Small groups use the plain window. Otherwise
-the rows are range-partitioned by (keys, order), so that a large group spans
-many partitions ("runs"); each run is scanned by itself and receives what the
-earlier runs of its group carry over. At most two groups per run cross a run
-border, so the carried table has at most two rows per partition and its
-broadcast is bounded by the number of partitions, not by the data.
+A window function puts a whole group into one task, which is wrong for a group
+that holds a third of all rows. ``scan_ordered`` range-partitions the rows by
+(keys, order), so that a large group spans many partitions ("runs"); each run is
+scanned by itself and receives what the earlier runs of its group carry over.
+At most two groups per run cross a run border, so the carried table has at most
+two rows per partition and its broadcast is bounded by the number of
+partitions, not by the data. The plan is the same at every size; only the
+number of runs follows the number of rows.
 """
 
 from __future__ import annotations
@@ -19,15 +19,7 @@ from pyspark.sql import functions as F
 
 from flowtide.session import cut
 
-GROUP_LIMIT = 200_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group (counted with map-side partial aggregation)."""
-    if not keys:
-        return df.count()
-    top = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return (top and top["n"]) or 0
+RUN_ROWS = 500_000
 
 
 def scan_ordered(
@@ -35,23 +27,18 @@ def scan_ordered(
     keys: Sequence[str],
     order: Sequence[str],
     outputs: dict[str, tuple[str, str | None]],
-    group_limit: int = GROUP_LIMIT,
     stored: bool = False,
 ) -> DataFrame:
     """Add ordered columns per group.
 
-    The input is read more than once (group sizes, range bounds, the scan), so
+    The input is read more than once (its size, range bounds, the scan), so
     it is written first unless it is ``stored`` already, i.e. a table scan.
 
     outputs maps a new column to (kind, column) with kind one of row_number,
     sum, max (running, inclusive) and lead (next row's value). The order
     columns must make the order total within a group.
     """
-    if not stored:
-        df = cut(df, "ordered")
-    if largest_group(df, keys) <= group_limit:
-        return _plain(df, keys, order, outputs)
-    return OrderedRuns(df, keys, order).scan(outputs)
+    return OrderedRuns(df if stored else cut(df, "ordered"), keys, order).scan(outputs)
 
 
 def _local(kind: str, column: str | None, window, running) -> Column:
@@ -66,20 +53,13 @@ def _local(kind: str, column: str | None, window, running) -> Column:
     raise ValueError(kind)
 
 
-def _plain(df, keys, order, outputs):
-    window = Window.partitionBy(*keys).orderBy(*order)
-    running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.select(
-        "*", *[_local(kind, c, window, running).alias(n) for n, (kind, c) in outputs.items()]
-    )
-
-
 class OrderedRuns:
     """Rows in global (keys, order) order, cut into one run per partition."""
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: int | None = None):
-        spark = df.sparkSession
-        runs = runs or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if runs is None:
+            rows = df.count()  # from the file footers, as df is a stored table
+            runs = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // RUN_ROWS))
         columns = [*keys, *order]
         ranged = df.repartitionByRange(runs, *columns).sortWithinPartitions(*columns)
         # The id is partition number and row number in one. Writing it freezes
@@ -162,24 +142,31 @@ class OrderedRuns:
         return joined.select(*[F.col(f"l.{c}") for c in frame.columns], *result)
 
 
-def sequential_ids(
-    df: DataFrame, order: Sequence[str], name: str, prefix: str = "", group_limit: int = GROUP_LIMIT
-) -> DataFrame:
+def numbered_rows(df: DataFrame, order: Sequence[str], name: str, stored: bool = False) -> DataFrame:
+    """0, 1, ... in the given order over all rows.
+
+    A row's place is its run and its index in the run already; the index plus
+    the number of rows in earlier runs is the answer, so rows are not shuffled again.
+    """
+    runs = OrderedRuns(df if stored else cut(df, "ordered"), [], order)
+    index = F.col("_place") - F.shiftleft("_run", 33)
+    sizes = runs.frame.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per run: a short list, whatever the data.
+    earlier = F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_run", F.coalesce(earlier, F.lit(0)).alias("_start"))
+    placed = runs.frame.join(F.broadcast(starts), "_run").withColumn(name, index + F.col("_start"))
+    return placed.drop("_run", "_place", "_start")
+
+
+def sequential_ids(df: DataFrame, order: Sequence[str], name: str, prefix: str = "") -> DataFrame:
     """prefix0, prefix1, ... in the given order over all rows."""
-    numbered = scan_ordered(df, [], order, {"_n": ("row_number", None)}, group_limit)
-    number = F.col("_n") - 1
-    value = F.concat(F.lit(prefix), number.cast("string")) if prefix else number
-    return numbered.withColumn(name, value).drop("_n")
+    numbered = numbered_rows(df, order, name)
+    return numbered.withColumn(name, F.concat(F.lit(prefix), F.col(name).cast("string"))) if prefix else numbered
 
 
 def launch_schedule(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    arrival: str,
-    interval,
-    name: str,
-    group_limit: int = GROUP_LIMIT,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], arrival: str, interval, name: str,
+    stored: bool = False,
 ) -> DataFrame:
     """Start times with at least ``interval`` between calls of one group.
 
@@ -187,14 +174,9 @@ def launch_schedule(
     running maximum of arrival - n * interval, shifted back.
     """
     step = interval if isinstance(interval, Column) else F.lit(interval)
-    shifted = F.col(arrival) - F.col("_n") * step
-    if largest_group(df, keys) <= group_limit:
-        rows = _plain(df, keys, order, {"_n": ("row_number", None)}).withColumn("_shift", shifted)
-        rows = _plain(rows, keys, order, {"_top": ("max", "_shift")})
-    else:
-        runs = OrderedRuns(df, keys, order)
-        rows = runs.scan_marked({"_n": ("row_number", None)}).withColumn("_shift", shifted)
-        rows = runs.scan({"_top": ("max", "_shift")}, rows)
+    runs = OrderedRuns(df if stored else cut(df, "ordered"), keys, order)
+    rows = runs.scan_marked({"_n": ("row_number", None)}).withColumn("_shift", F.col(arrival) - F.col("_n") * step)
+    rows = runs.scan({"_top": ("max", "_shift")}, rows)
     return rows.withColumn(name, F.col("_top") + F.col("_n") * step).drop("_n", "_shift", "_top")
 
 
@@ -214,6 +196,12 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     return df.withColumn("rank", F.row_number().over(window).cast("bigint")).where(F.col("rank") <= k)
 
 
+def ends_per_key(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], first: str, last: str) -> DataFrame:
+    """First and last value per key in one aggregation."""
+    position = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    return df.groupBy(*keys).agg(F.max_by(value, position).alias(last), F.min_by(value, position).alias(first))
+
+
 def last_value_per_key(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], name: str) -> DataFrame:
     """Last-wins index as one aggregation with map-side combining."""
     position = F.struct(*order) if len(order) > 1 else F.col(order[0])
@@ -231,12 +219,12 @@ def evict_oldest(
     """Drop the ``evict`` oldest entries once the cache holds more than ``limit``.
 
     The victims are found with ORDER BY + LIMIT, which Spark runs as a
-    distributed top-k; only the ``evict`` victims are broadcast.
+    distributed top-k; the join strategy follows the size of the victims.
     """
     if cache.count() <= limit:
         return cache
     victims = cache.select(stamp, unique).orderBy(stamp, unique).limit(evict).select(unique)
-    return cache.join(F.broadcast(victims), unique, "left_anti")
+    return cache.join(victims, unique, "left_anti")
 
 
 def trim_groups(df: DataFrame, keys: Sequence[str], order: str, value: str, edge: int = 3) -> DataFrame:
@@ -259,21 +247,21 @@ def trim_groups(df: DataFrame, keys: Sequence[str], order: str, value: str, edge
 
 def within_budget(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, budget: int,
-    group_limit: int = GROUP_LIMIT, stored: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
     """Rows whose running length stays inside the budget, with that length."""
     sized = df.withColumn("_len", F.length(text).cast("bigint"))
-    run = scan_ordered(sized, keys, order, {"used": ("sum", "_len")}, group_limit, stored)
+    run = scan_ordered(sized, keys, order, {"used": ("sum", "_len")}, stored)
     return run.where(F.col("used") <= budget).drop("_len")
 
 
-def function_bounds(functions: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def function_bounds(functions: DataFrame) -> DataFrame:
     """Line range of each function: up to the next function's start, the last
     one five lines past its longest known line.
 
     functions: (file_path, fn_id, line, ord, max_line).
     """
-    run = scan_ordered(functions, ["file_path"], ["line", "ord"], {"_next": ("lead", "line")}, group_limit)
+    run = scan_ordered(functions, ["file_path"], ["line", "ord"], {"_next": ("lead", "line")})
     last = F.greatest(F.col("line"), F.coalesce("max_line", F.lit(0))) + 5
     return run.withColumn("start", F.col("line")).withColumn(
         "end", F.coalesce(F.col("_next") - 1, last)
@@ -282,7 +270,7 @@ def function_bounds(functions: DataFrame, group_limit: int = GROUP_LIMIT) -> Dat
 
 def transcript_lines(
     turns: DataFrame, keys: Sequence[str], order: Sequence[str], role: str, text: str,
-    group_limit: int = GROUP_LIMIT, stored: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
     """Transcript as ordered lines with their character offset.
 
@@ -292,7 +280,7 @@ def transcript_lines(
     speaker = F.when(F.col(role) == "assistant", "Assistant").otherwise("User")
     lines = turns.withColumn("line", F.concat(speaker, F.lit(": "), F.col(text), F.lit("\n\n")))
     lines = lines.withColumn("_len", F.length("line").cast("bigint"))
-    run = scan_ordered(lines, keys, order, {"_end": ("sum", "_len")}, group_limit, stored)
+    run = scan_ordered(lines, keys, order, {"_end": ("sum", "_len")}, stored)
     return run.withColumn("offset", F.col("_end") - F.col("_len")).drop("_end", "_len")
 
 
@@ -300,11 +288,19 @@ def function_context(bounds: DataFrame, texts: DataFrame, wanted: DataFrame) ->
     """Source lines of the wanted functions.
 
     bounds: (file_path, fn_id, name, start, end). texts: (file_path, text).
-    wanted: (fn_id). The text is cut inside the row; lines are never exploded.
+    wanted: (fn_id). A file's functions are gathered before its text joins, so
+    each text moves once and is split into lines once.
     """
-    from flowtide.functions.text import line_range
-
     picked = bounds.join(wanted.select("fn_id").distinct(), "fn_id", "left_semi")
-    return picked.join(texts, "file_path").withColumn(
-        "code", line_range(F.col("text"), F.col("start"), F.col("end"))
-    ).drop("text")
+    others = [c for c in bounds.columns if c != "file_path"]
+    asked = picked.groupBy("file_path").agg(F.collect_list(F.struct(*others)).alias("_asked"))
+    lines = F.split("text", "\n")
+
+    def cut_of(held: Column, one: Column) -> Column:
+        start = F.greatest(one["start"], F.lit(1))
+        count = F.greatest(F.least(F.size(held), one["end"]) - start + 1, F.lit(0))
+        return F.struct(*[one[c].alias(c) for c in others], F.array_join(F.slice(held, start, count), "\n").alias("code"))
+
+    held = asked.join(texts, "file_path").select("file_path", "_asked", F.explode(F.array(lines)).alias("_lines"))
+    cuts = F.transform("_asked", lambda one: cut_of(F.col("_lines"), one))
+    return held.select("file_path", F.explode(cuts).alias("_c")).select("file_path", "_c.*")

@@ -16,12 +16,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions import constants as K
 from flowtide.functions.ids import node_id
-from flowtide.session import cut, cut_bucketed, forget
-
-# Steps from which on the table is bucketed; incoming steps from which on a node
-# is split; and the largest number of nodes that can be split.
-BUCKET_ROWS, HOT_ROWS, HOT_SHARE = 5_000_000, 1_000_000, 1_000
-
+from flowtide.session import cut
 
 def flow_steps(edges: DataFrame) -> DataFrame:
     """Distinct edges as steps src -> dst inside one scope (file).
@@ -76,58 +71,19 @@ def mark_gates(steps: DataFrame, gates: DataFrame) -> DataFrame:
     ).drop("_gate")
 
 
-class StepStore:
-    """The written step table, joined with one frontier after the other.
+def moves(frontier: DataFrame, steps: DataFrame) -> DataFrame:
+    """frontier (aliased f) joined with the steps (aliased s) that end in it.
 
-    A small table is left to AQE. A large one is bucketed by the join key once,
-    so that no round shuffles it again. Bucketing puts a target node into one
-    file, so nodes with very many incoming steps are first split into parts:
-    HOT_SHARE bounds how many such nodes there can be, hence the size of the
-    broadcast list, and the frontier visits every part of a split node.
+    The strategy is left to the engine, which measures both sides: a small
+    frontier is sent to the steps, a large one is shuffled, and the partitions
+    of a node with very many incoming steps are split.
     """
-
-    def __init__(self, steps: DataFrame, bucket_rows: int | None = None, hot_rows: int = HOT_ROWS):
-        self.spark, self.table, self.hot = steps.sparkSession, None, None
-        self.steps = cut(steps, "steps").withColumn("part", F.lit(0))
-        rows = self.steps.count()  # from the file footers
-        if rows <= (BUCKET_ROWS if bucket_rows is None else bucket_rows):
-            return
-        limit = max(hot_rows, rows // HOT_SHARE)
-        sizes = self.steps.groupBy("dst_scope", "dst").agg(F.count(F.lit(1)).alias("n"))
-        hot = sizes.where(F.col("n") > limit).select(
-            "dst_scope", "dst", F.ceil(F.col("n") / limit).cast("int").alias("parts")
-        )
-        self.hot = cut(hot, "hot")
-        place = F.pmod(F.xxhash64("src_scope", "src"), F.col("parts")).cast("int")
-        split = (
-            self.steps.drop("part").join(F.broadcast(self.hot), ["dst_scope", "dst"], "left")
-            .withColumn("part", F.coalesce(place, F.lit(0))).drop("parts")
-        )
-        self.steps, self.table = cut_bucketed(split, ["dst_scope", "dst", "part"], "steps")
-
-    def moves(self, frontier: DataFrame) -> DataFrame:
-        """frontier (aliased f) joined with the steps (aliased s) that end in it."""
-        if self.hot is None:
-            frontier = frontier.withColumn("part", F.lit(0))
-        else:
-            hot = self.hot.withColumnsRenamed({"dst_scope": "scope", "dst": "node"})
-            visited = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-            frontier = (
-                frontier.join(F.broadcast(hot), ["scope", "node"], "left")
-                .withColumn("part", visited).drop("parts")
-            )
-        same = [
-            F.col("f.scope") == F.col("s.dst_scope"), F.col("f.node") == F.col("s.dst"), F.col("f.part") == F.col("s.part")
-        ]
-        return frontier.alias("f").join(self.steps.alias("s"), same)
-
-    def close(self) -> None:
-        if self.table:
-            forget(self.spark, self.table)
+    same = [F.col("f.scope") == F.col("s.dst_scope"), F.col("f.node") == F.col("s.dst")]
+    return frontier.alias("f").join(steps.alias("s"), same)
 
 
 def backward_reach(
-    sinks: DataFrame, steps: DataFrame, max_depth: int = K.REACH_DEPTH, with_path: bool = True
+    sinks: DataFrame, steps: DataFrame, max_depth: int | None = None, with_path: bool = True
 ) -> DataFrame:
     """Every (sink, node) pair with the best way to it.
 
@@ -138,11 +94,13 @@ def backward_reach(
     between sink and node, sink included, node excluded. A node reached with
     gates is visited again when a way without gates turns up later, so
     gated = false exactly if some way of at most max_depth steps has no gate.
+    Without max_depth the rounds go on until nothing new is reached, which they
+    do by themselves: every pair is visited twice at most.
     """
     gateless = "dst_gate" not in steps.columns
     if gateless:
         steps = steps.withColumn("dst_gate", F.lit(False))
-    store = StepStore(steps)
+    steps = cut(steps, "steps")
     first = F.array("node") if with_path else F.lit(None).cast("array<string>")
     frontier = cut(
         sinks.select(
@@ -150,29 +108,28 @@ def backward_reach(
             F.lit(0).alias("depth"), first.alias("path"),
         ).distinct()
     )
-    rounds = [frontier]
-    try:
-        for depth in range(1, max_depth + 1):
-            moves = store.moves(frontier)
-            way = F.concat(F.col("f.path"), F.array("s.src")) if with_path else F.col("f.path")
-            found = moves.select(
-                "f.sink_id", F.col("s.src_scope").alias("scope"), F.col("s.src").alias("node"),
-                F.struct(
-                    (F.col("f.gated") | F.col("s.dst_gate")).alias("gated"), way.alias("path")
-                ).alias("w"),
-            )
-            best = found.groupBy("sink_id", "scope", "node").agg(F.min("w").alias("w")).select(
-                "sink_id", "scope", "node", "w.gated", F.lit(depth).alias("depth"), "w.path"
-            )
-            known = reduce(DataFrame.unionByName, [r.select("sink_id", "scope", "node", "gated") for r in rounds])
-            same = [F.col(f"b.{c}") == F.col(f"k.{c}") for c in ("sink_id", "scope", "node")]
-            beaten = same + [F.col("k.gated") <= F.col("b.gated")]
-            frontier = cut(best.alias("b").join(known.alias("k"), beaten, "left_anti"))
-            if frontier.isEmpty():
-                break
-            rounds.append(frontier)
-    finally:
-        store.close()
+    rounds, depth = [frontier], 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        found = moves(frontier, steps).select(
+            "f.sink_id", F.col("s.src_scope").alias("scope"), F.col("s.src").alias("node"),
+            (F.col("f.gated") | F.col("s.dst_gate")).alias("gated"), F.col("f.path"),
+        )
+        if with_path:
+            # Equal lengths compare by the list of ids, so the way travels in the key.
+            way = F.min(F.struct("gated", F.array_append("path", F.col("node")).alias("path")))
+            best = found.groupBy("sink_id", "scope", "node").agg(way.alias("w")).select(
+                "sink_id", "scope", "node", "w.gated", F.lit(depth).alias("depth"), "w.path")
+        else:
+            best = found.groupBy("sink_id", "scope", "node").agg(F.min("gated").alias("gated")).select(
+                "sink_id", "scope", "node", "gated", F.lit(depth).alias("depth"), first.alias("path"))
+        known = reduce(DataFrame.unionByName, [r.select("sink_id", "scope", "node", "gated") for r in rounds])
+        same = [F.col(f"b.{c}") == F.col(f"k.{c}") for c in ("sink_id", "scope", "node")]
+        beaten = same + [F.col("k.gated") <= F.col("b.gated")]
+        frontier = cut(best.alias("b").join(known.alias("k"), beaten, "left_anti"))
+        if frontier.isEmpty():
+            break
+        rounds.append(frontier)
     ways = reduce(DataFrame.unionByName, rounds)
     if gateless:
         return ways  # every pair was found in one round only
@@ -188,7 +145,7 @@ def taint_paths(
     resolutions: DataFrame | None = None,
     functions: DataFrame | None = None,
     mode: str = "fallback",
-    max_depth: int = K.REACH_DEPTH,
+    max_depth: int | None = None,
     source_tags: list[str] = K.SOURCE_TAGS,
 ) -> DataFrame:
     """Source-to-sink paths, one per (source node, sink node, file).
@@ -261,12 +218,9 @@ def _path_facts(found: DataFrame, tags: DataFrame, gates: DataFrame) -> DataFram
     )
 
 
-def paths_between(edges: DataFrame, pairs: DataFrame | None = None, max_depth: int = K.CALL_PATH_DEPTH) -> DataFrame:
+def paths_between(edges: DataFrame, pairs: DataFrame, max_depth: int = K.CALL_PATH_DEPTH) -> DataFrame:
     """All simple paths per (from_fn, to_fn) pair, of up to max_depth + 1 vertices.
 
-    Without pairs every vertex is a target, and every vertex that can reach it
-    a start.
-
     A path is extended only to vertices from which the target can still be
     reached in the steps that are left; this drops dead ends, never results.
     """
@@ -275,11 +229,7 @@ def paths_between(edges: DataFrame, pairs: DataFrame | None = None, max_depth: i
         F.lit("").alias("src_scope"), F.col("caller_fn_id").alias("src"),
         F.lit("").alias("dst_scope"), F.col("callee_fn_id").alias("dst"),
     )
-    if pairs is None:
-        ends = edges.select("caller_fn_id").union(edges.select("callee_fn_id")).toDF("to_fn")
-    else:
-        ends = pairs.select("to_fn")
-    targets = ends.distinct().select(
+    targets = pairs.select("to_fn").distinct().select(
         F.col("to_fn").alias("sink_id"), F.lit("").alias("scope"), F.col("to_fn").alias("node")
     )
     distance = cut(
@@ -287,8 +237,6 @@ def paths_between(edges: DataFrame, pairs: DataFrame | None = None, max_depth: i
             F.col("sink_id").alias("to_fn"), F.col("node").alias("callee_fn_id"), F.col("depth").alias("left")
         )
     )
-    if pairs is None:
-        pairs = distance.select(F.col("callee_fn_id").alias("from_fn"), "to_fn")
     start = cut(pairs.select("from_fn", "to_fn", F.array("from_fn").alias("path")).distinct())
     done = [start.where("from_fn = to_fn")]
     frontier = start.where("from_fn <> to_fn")

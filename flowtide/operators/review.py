@@ -1,12 +1,11 @@
 """Review stage: which flows to ask about, asking, and merging the verdicts.
 
-The reviewer is any object with ``complete(prompt) -> str``; a factory for it
+The reviewer is any function from a report to a verdict; a factory for it
 travels to the tasks. Everything before and after the call is relational.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,10 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions import calls, text
-from flowtide.functions import constants as K
-from flowtide.functions.match import words_pattern
 from flowtide.operators.ordered import first_per_key
-from flowtide.operators.tables import one_row
 from flowtide.session import cut
 
 VERDICT = (
@@ -26,35 +22,33 @@ VERDICT = (
 )
 
 
-LISTED_CHANGES = 2000
+VERDICT_COLUMNS = [part.split()[0] for part in VERDICT.split(",")]
+ANCHORS = (32, 16, 8, 4, 2, 1)
 
 
 def touching(findings: DataFrame, changed: DataFrame, file: str = "file") -> DataFrame:
     """Findings whose file path contains a changed path; no change keeps all.
 
-    Up to LISTED_CHANGES paths become one pattern in a filter. For more,
-    "contains" is turned into an equi join: each distinct file path is cut into
-    its substrings of the lengths that changed paths have. Path lengths are
-    bounded, and so is the number of pieces per path.
+    Each changed path is represented by its last characters, as many as the
+    largest power of two that fits (32 at most). File paths are cut into pieces
+    of the lengths that occur; an equi join on the piece proposes pairs, and
+    ``contains`` decides.
     """
-    changed = changed.select(F.col("changed_path").alias("piece")).where("piece <> ''").distinct()
-    changed = cut(changed, "changed")
-    if changed.count() <= LISTED_CHANGES:
-        listed = [r["piece"] for r in changed.collect()]
-        if not listed:
-            return findings
-        return findings.where(F.col(file).rlike("(?s)" + words_pattern(listed)))
-    lengths = [r["n"] for r in changed.select(F.length("piece").alias("n")).distinct().collect()]
+    changed = changed.select(F.col("changed_path").alias("_changed")).where("_changed <> ''").distinct()
+    size = F.coalesce(*[F.when(F.length("_changed") >= n, F.lit(n)) for n in ANCHORS])
+    anchored = cut(changed.select("_changed", F.right("_changed", size).alias("_piece")), "changed")
+    sizes = anchored.select(F.collect_set(F.length("_piece")).alias("sizes")).first()["sizes"]
+    if not sizes:
+        return findings
     path = F.col(file)
 
     def pieces_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(path) - n + 1)
-        pieces = F.transform(starts, lambda i: path.substr(i, F.lit(n)))
-        return F.when(F.length(path) >= n, pieces).otherwise(F.array().cast("array<string>"))
+        starts = F.sequence(F.lit(1), F.greatest(F.length(path) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: path.substr(i, F.lit(n)))
 
-    every = F.flatten(F.array(*[pieces_of(n) for n in sorted(lengths)]))
-    pieces = findings.select(path).distinct().withColumn("piece", F.explode(F.array_distinct(every)))
-    hit = pieces.join(changed, "piece", "left_semi").select(file).distinct()
+    pieces = F.flatten(F.array(*[pieces_of(n) for n in sorted(sizes)]))
+    offered = findings.select(path).distinct().withColumn("_piece", F.explode(F.array_distinct(pieces)))
+    hit = offered.join(anchored, "_piece").where(path.contains(F.col("_changed"))).select(file).distinct()
     return findings.join(hit, file, "left_semi")
 
 
@@ -74,67 +68,21 @@ def flow_key(flow: Column, model: str, temperature: float) -> Column:
     return text.cache_key([F.to_json(flow), F.lit(model), F.lit(str(temperature))], "|")
 
 
-def ask(reports: DataFrame, make_client: Callable[[], object], workers: int = 5,
-        read_code: Callable[[dict], str] | None = None) -> DataFrame:
-    """Ask the reviewer about each report (id, report): up to five turns, then
-    one forced answer. Rows are spread over ``workers`` tasks."""
+def ask(reports: DataFrame, make_reviewer: Callable[[], Callable[[str], dict]]) -> DataFrame:
+    """One verdict per report (id, report).
+
+    make_reviewer runs in each task and gives a function from a report to a
+    verdict, a dict with the names of VERDICT; what is left out is None.
+    """
+    names = VERDICT_COLUMNS[1:]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make_client()
+        review = make_reviewer()
         for batch in batches:
-            rows = [{"id": i, **_converse(client, r, read_code)} for i, r in zip(batch["id"], batch["report"])]
-            yield pd.DataFrame(rows)
-
-    return reports.select("id", "report").repartition(workers, "id").mapInPandas(run, VERDICT)
-
-
-def _parse(answer: str) -> dict:
-    body = answer.strip().removeprefix("```json").removeprefix("```").removesuffix("```")
-    return json.loads(body.strip())
-
-
-def _verdict(data: dict, facts: list[str]) -> dict:
-    bad = bool(data.get("vulnerable", False))
-    return {
-        "vulnerable": bad,
-        "vulnerability_type": data.get("vulnerability_type", "None") if bad else "None",
-        "severity": str(data.get("severity", "high")).lower() if bad else "none",
-        "description": data.get("description", ""), "trace": data.get("trace", ""),
-        "recommendation": data.get("recommendation", ""), "facts": list(dict.fromkeys(facts)),
-    }
-
-
-def _converse(client, report: str, read_code) -> dict:
-    turns, facts = [("User", report)], []
-
-    def transcript():
-        return "".join(f"{who}: {what}\n\n" for who, what in turns) + "Assistant: "
-
-    for _ in range(K.AGENT_TURNS):
-        answer = client.complete(transcript())
-        if not (answer or "").strip():
-            return _verdict({"description": "Agent returned empty response."}, facts)
-        turns.append(("Assistant", answer))
-        try:
-            data = _parse(answer)
-        except ValueError as error:
-            turns.append(("User", f"Failed to parse your response as JSON: {error}. Please respond with ONLY valid JSON."))
-            continue
-        action = data.get("action")
-        if action == "FINISH":
-            return _verdict(data, facts)
-        if action == "RECORD_FACT":
-            facts.append(data.get("fact", ""))
-            turns.append(("User", f"Recorded fact to Global Memory: '{data.get('fact', '')}'. What is your next move?"))
-        elif action in ("READ_FILE", "READ_FUNCTION"):
-            turns.append(("User", f"Result of {action}:\n```\n{read_code(data) if read_code else ''}\n```"))
-        else:
-            turns.append(("User", f"Unknown action: '{action}'. Please use one of the specified actions."))
-    turns.append(("User", "You have reached your turn limit. You MUST now return the final FINISH action JSON immediately."))
-    try:
-        return _verdict(_parse(client.complete(transcript())), facts)
-    except (ValueError, AttributeError):
-        return _verdict({"description": "Agent exceeded turn limit and failed to return valid JSON."}, facts)
+            answers = [review(text) for text in batch["report"]]
+            yield pd.DataFrame({"id": batch["id"], **{n: [a.get(n) for a in answers] for n in names}})
+
+    return reports.select("id", "report").repartition("id").mapInPandas(run, VERDICT)
 
 
 def report_texts(lines: DataFrame) -> DataFrame:
@@ -152,7 +100,7 @@ def review_findings(verdicts: DataFrame, flows: DataFrame) -> DataFrame:
     return bad.select(
         F.replace(F.lower("vulnerability_type"), F.lit(" "), F.lit("-")).alias("rule"), "severity",
         F.col("vulnerability_type").alias("title"), F.col("id").alias("flow_id"),
-        F.concat("description", F.lit("\n\nTrace:\n"), "trace").alias("description"),
+        F.concat_ws("\n", "description", "trace").alias("description"),
         "source", "sink", "path", "file", "line", "recommendation",
     )
 
@@ -167,14 +115,12 @@ def routes_needing_login(answers: DataFrame) -> DataFrame:
     return answers.select(F.explode(needs).alias("route")).distinct()
 
 
-def discovery(deps: DataFrame, files: DataFrame, limit: int = 100) -> DataFrame:
-    """One JSON row that introduces a repository: declared names and up to
-    ``limit`` file paths."""
-    names = deps.where("file in ('package.json', 'requirements.txt')").select("name").distinct()
-    names = names.orderBy("name").limit(limit).agg(F.sort_array(F.collect_list("name")).alias("dependencies"))
-    shown = files.select("file_path").orderBy("file_path").limit(limit)
-    shown = shown.agg(F.sort_array(F.collect_list("file_path")).alias("files"))
-    return one_row(names, shown).select(F.to_json(F.struct("dependencies", "files")).alias("discovery"))
+def discovery(deps: DataFrame, files: DataFrame, shown: int | None = None) -> DataFrame:
+    """(kind, name) rows that introduce a repository: every declared name, and
+    the file paths (the first ``shown`` of them if asked)."""
+    names = deps.where("file in ('package.json', 'requirements.txt')").select(F.lit("dependency").alias("kind"), "name").distinct()
+    listed = files.select(F.lit("file").alias("kind"), F.col("file_path").alias("name"))
+    return names.unionByName(listed if shown is None else listed.orderBy("name").limit(shown))
 
 
 def unique_facts(facts: DataFrame, order: str) -> DataFrame:
@@ -204,8 +150,8 @@ def reconcile(processed: DataFrame, findings: DataFrame, verdicts: DataFrame) ->
         return F.when(has, new).otherwise(F.col(f"e.{old}"))
 
     return kept.withColumns({
-        "title": pick(F.coalesce("v.vulnerability_type", F.lit("Potential Vulnerability")), "title"),
+        "title": pick(F.coalesce("v.vulnerability_type", F.lit("Confirmed by review")), "title"),
         "severity": pick(F.lower(F.coalesce("v.severity", F.lit("high"))), "severity"),
-        "description": pick(F.coalesce("v.description", F.lit("Vulnerability confirmed by consistency reviewer.")), "description"),
-        "recommendation": pick(F.coalesce("v.recommendation", F.lit("Review the flow manually.")), "recommendation"),
+        "description": pick(F.coalesce("v.description", F.lit("The review holds this flow to be exploitable.")), "description"),
+        "recommendation": pick(F.coalesce("v.recommendation", F.lit("Look at the flow by hand.")), "recommendation"),
     }).withColumn("rule", F.replace(F.lower("title"), F.lit(" "), F.lit("-"))).drop("e", "v")

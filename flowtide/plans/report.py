@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from flowtide.functions import findings as texts
 from flowtide.functions import paths
-from flowtide.functions.text import dot_label, trim_path, truncate
-from flowtide.operators.ordered import GROUP_LIMIT, scan_ordered, top_per_key
+from flowtide.functions.text import dot_id, dot_label, trim_path, truncate
+from flowtide.operators.ordered import numbered_rows, top_per_key
 from flowtide.session import cut
 
 
@@ -63,9 +63,9 @@ def findings_by_file(findings: DataFrame, order: str, known_files: DataFrame | N
     return grouped.join(known, "file", "left").withColumn("status", status).drop("_known")
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "number", group_limit: int = GROUP_LIMIT) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
     """1, 2, ... in the given order."""
-    return scan_ordered(df, [], order, {name: ("row_number", None)}, group_limit)
+    return numbered_rows(df, order, name).withColumn(name, F.col(name) + 1)
 
 
 def path_trace(path: Column) -> Column:
@@ -76,37 +76,23 @@ def path_trace(path: Column) -> Column:
 def markdown_findings(findings: DataFrame, number: str) -> DataFrame:
     """(number, part, line): the Markdown section of every finding as lines."""
     c = F.col
-    title = F.concat(
-        F.lit("### #"), c(number).cast("string"), F.lit(". "), F.coalesce(c("title"), c("rule")),
-        F.lit(" ("), F.upper(F.coalesce(c("severity"), F.lit("high"))), F.lit(")"),
-    )
     place = F.concat(F.coalesce(c("file"), F.lit("")), F.lit(":"), F.coalesce(c("line"), F.lit(0)).cast("string"))
     lines = F.array(
-        title,
-        F.concat(F.lit("- **Rule**: `"), c("rule"), F.lit("`")),
-        F.concat(F.lit("- **Location**: `"), place, F.lit("`")),
-        F.concat(F.lit("- **Description**: "), F.coalesce(c("description"), F.lit(""))),
-        F.when(
-            F.size("path") > 0,
-            F.concat(F.lit("- **Data-Flow Taint Trace**: `"), F.array_join("path", " -> "), F.lit("`")),
-        ),
-        F.concat(F.lit("- **Recommendation**: "), F.coalesce(c("recommendation"), F.lit(""))),
+        F.concat(F.lit("### "), c(number).cast("string"), F.lit(" "), F.coalesce(c("title"), c("rule"))),
+        F.concat(F.lit("* severity "), F.coalesce(c("severity"), F.lit("high")), F.lit(", rule `"), c("rule"), F.lit("`")),
+        F.concat(F.lit("* at `"), place, F.lit("`")),
+        F.concat(F.lit("* what: "), F.coalesce(c("description"), F.lit(""))),
+        F.when(F.size("path") > 0, F.concat(F.lit("* way: `"), F.array_join("path", " -> "), F.lit("`"))),
+        F.concat(F.lit("* advice: "), F.coalesce(c("recommendation"), F.lit(""))),
         F.lit(""),
     )
     return findings.select(number, F.posexplode(F.array_compact(lines)).alias("part", "line"))
 
 
-# Fill colours of function nodes by security role (fixed values).
+# Fill colours of function nodes by security role.
 ROLE_COLORS = {
-    "auth": "#fce4ec",
-    "database": "#e8f5e9",
-    "endpoint": "#e3f2fd",
-    "external_req": "#fff3e0",
-    "file_op": "#f3e5f5",
-    "shell_exec": "#ffebee",
-    "validation": "#e0f2f1",
-    "source": "#ffebee",
-    "other": "#f5f5f5",
+    "auth": "lavender", "database": "palegreen", "endpoint": "lightblue", "external_req": "moccasin",
+    "file_op": "thistle", "shell_exec": "salmon", "validation": "aquamarine", "source": "lightpink", "other": "gray90",
 }
 
 
@@ -121,52 +107,41 @@ def dependency_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     closing brace, or feed them to a renderer; the order inside a part is free.
     """
     role = paths.lookup(F.coalesce("security_role", F.lit("other")), ROLE_COLORS)
-    style = F.when(F.col("type") == "file", F.lit('fillcolor="#e1f5fe", shape=folder')).otherwise(
-        F.concat(F.lit('fillcolor="'), F.coalesce(role, F.lit("#f5f5f5")), F.lit('"'))
+    style = F.when(F.col("type") == "file", F.lit('fillcolor="azure", shape=folder')).otherwise(
+        F.concat(F.lit('fillcolor="'), F.coalesce(role, F.lit("gray90")), F.lit('"'))
     )
     node_lines = nodes.select(
         F.lit(1).alias("part"),
-        F.concat(_quoted(dot_label(F.col("id"))), F.lit(" [label="), _quoted(dot_label(F.col("label"))),
+        F.concat(_quoted(dot_id(F.col("id"))), F.lit(" [label="), _quoted(dot_label(F.col("label"))),
                  F.lit(", "), style, F.lit("];")).alias("line"),
     )
-    look = F.when(F.col("type") == "call", F.lit('color="#e65100"')).otherwise(F.lit('color="#1565c0", style=dashed'))
+    look = F.when(F.col("type") == "call", F.lit('color="orangered"')).otherwise(F.lit('color="steelblue", style=dashed'))
     edge_lines = edges.select(
         F.lit(2).alias("part"),
-        F.concat(_quoted(dot_label(F.col("source"))), F.lit(" -> "), _quoted(dot_label(F.col("target"))),
+        F.concat(_quoted(dot_id(F.col("source"))), F.lit(" -> "), _quoted(dot_id(F.col("target"))),
                  F.lit(" [label="), _quoted(dot_label(F.col("label"))), F.lit(", "), look, F.lit("];")).alias("line"),
     )
     return node_lines.unionByName(edge_lines)
 
 
-def flow_report_lines(flows: DataFrame, steps: DataFrame) -> DataFrame:
-    """(id, part, line): step-by-step trace of every flow.
+def flow_report_lines(flows: DataFrame) -> DataFrame:
+    """(id, part, line): where a flow starts, its numbered steps, where it ends, and what happens between.
 
-    steps: (id, pos, step) as made by labels.label_steps.
+    All lines come from the flow's own row (path_labels: source, steps, sink).
     """
-    last = F.size("expressions") - 1
+    c = F.col
     ops = F.array_sort(F.array_distinct("operations"))
-    tail = F.array_compact(F.array(
-        F.concat(F.lit("  Sink: "), F.col("sink"), F.lit(" ("), F.col("sink_type"), F.lit(")")),
-        F.concat(F.lit("  Security operations detected: "), F.when(F.size(ops) > 0, F.array_join(ops, ", ")).otherwise("none")),
-        F.when(F.array_contains(ops, "OP_AUTH"), F.lit("  Auth: authentication call present on this path"))
-        .otherwise("  Auth: no explicit authentication call on this path"),
-        F.when(F.array_contains(ops, "OP_COERCION"),
-               F.lit("  Note: input goes through type coercion (prevents NoSQL operator injection)")),
-        F.when(F.array_contains(ops, "OP_VALIDATION"),
-               F.lit("  Note: input goes through format validation (.test(), .match(), zod/joi)")),
+    inner = F.slice("path_labels", 2, F.greatest(F.size("path_labels") - 2, F.lit(0)))
+    steps = F.transform(inner, lambda step, i: F.concat((i + 1).cast("string"), F.lit(". "), step))
+    ends = F.array_compact(F.array(
+        F.concat(F.lit("to "), c("sink"), F.lit(" ["), c("sink_type"), F.lit("]")),
+        F.concat(F.lit("operations on the way: "), F.when(F.size(ops) > 0, F.array_join(ops, ", ")).otherwise("-")),
+        F.concat(F.lit("login checked on the way: "), F.when(F.array_contains(ops, "OP_AUTH"), "yes").otherwise("no")),
+        F.when(F.array_contains(ops, "OP_COERCION"), F.lit("types are converted on the way")),
+        F.when(F.array_contains(ops, "OP_VALIDATION"), F.lit("a format is checked on the way")),
     ))
-    head = F.array(
-        F.lit("FLOW REPORT (step-by-step trace from source to sink):"), F.concat(F.lit("  Source: "), F.col("source"))
-    )
-    opening = flows.select("id", F.posexplode(head).alias("part", "line"))
-    middle = steps.join(flows.select("id", last.alias("_last")), "id").where("pos > 0 and pos < _last").select(
-        "id", (F.col("pos") + 1).alias("part"),
-        F.concat(F.lit("  Step "), F.col("pos").cast("string"), F.lit(": "), F.col("step")).alias("line"),
-    )
-    closing = flows.select("id", F.posexplode(tail).alias("part", "line"), (last + 2).alias("_after")).select(
-        "id", (F.col("part") + F.greatest(F.col("_after"), F.lit(2))).alias("part"), "line"
-    )
-    return opening.unionByName(middle).unionByName(closing)
+    lines = F.concat(F.array(F.concat(F.lit("from "), c("source"))), steps, ends)
+    return flows.select("id", F.posexplode(lines).alias("part", "line"))
 
 
 def security_dot(graph) -> DataFrame:
@@ -176,28 +151,28 @@ def security_dot(graph) -> DataFrame:
     def node(key: Column, label: Column, fill: Column | str) -> Column:
         fill = F.lit(fill) if isinstance(fill, str) else fill
         return F.concat(
-            _quoted(dot_label(key, 50)), F.lit(" [label="), _quoted(dot_label(label, 50)),
+            _quoted(dot_id(key)), F.lit(" [label="), _quoted(dot_label(label, 50)),
             F.lit(', fillcolor="'), fill, F.lit('"];'),
         )
 
     def text(*parts) -> Column:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
-    green, red, orange = "#c8e6c9", "#ffcdd2", "#fff3e0"
+    green, red, orange = "palegreen", "salmon", "moccasin"
     safe = graph.protected.select(node(text("auth_protected_", c("route")), text("PROTECTED ", c("route")), green).alias("line"))
     unsafe = graph.unprotected.select(node(text("auth_unprotected_", c("route")), text("UNPROTECTED ", c("route")), red).alias("line"))
     mark = F.when(c("validated"), "[V] ").otherwise("[U] ")
     database = graph.database.select(
         node(text("db_", c("source"), "_", c("operation")), text(mark, c("source"), " -> ", c("operation")),
-             F.when(c("validated"), green).otherwise("#ffcc80")).alias("line")
+             F.when(c("validated"), green).otherwise("orange")).alias("line")
     ).distinct()
     network = graph.network.select(
-        node(text("net_", c("function")), text(c("function"), " (", c("file"), ")"), "#ffe0b2").alias("line")
+        node(text("net_", c("function")), text(c("function"), " (", c("file"), ")"), "wheat").alias("line")
     ).distinct()
     flows = graph.flows
     source, sink = text(c("id"), "_source"), text(c("id"), "_sink")
     ends = flows.select(F.explode(F.array(
-        node(source, text("SOURCE ", c("source")), "#ffebee"),
+        node(source, text("SOURCE ", c("source")), "lightpink"),
         node(sink, text("SINK ", c("sink"), " (", c("sink_type"), ")", F.when(c("validated"), " [SANITIZED]").otherwise("")),
              F.when(c("validated"), green).otherwise(orange)),
     )).alias("line"))
@@ -207,7 +182,7 @@ def security_dot(graph) -> DataFrame:
     links = flows.select(chain.alias("chain")).select(
         F.posexplode(F.arrays_zip(F.slice("chain", 1, F.size("chain") - 1).alias("a"), F.slice("chain", 2, F.size("chain") - 1).alias("b")))
         .alias("pos", "x")
-    ).select(text(_quoted(dot_label(c("x.a"), 50)), " -> ", _quoted(dot_label(c("x.b"), 50)), ";").alias("line"))
+    ).select(text(_quoted(dot_id(c("x.a"))), " -> ", _quoted(dot_id(c("x.b"))), ";").alias("line"))
     parts = [safe, unsafe, database, network, ends, links]
     frames = [p.select(F.lit(i).alias("part"), "line") for i, p in enumerate(parts, 1)]
     result = frames[0]
@@ -236,7 +211,7 @@ def taint_dot(taint: DataFrame) -> DataFrame:
         )).alias("pos", "x"),
     ).select("*", "x.before", "x.node")
     line = F.concat(
-        _quoted(dot_label(F.col("before"))), F.lit(" -> "), _quoted(dot_label(node)), F.lit(' [label="'), kind, gate, F.lit('"];')
+        _quoted(dot_id(F.col("before"))), F.lit(" -> "), _quoted(dot_id(node)), F.lit(' [label="'), kind, gate, F.lit('"];')
     )
     return steps.select("file_path", line.alias("line")).distinct()
 
@@ -249,8 +224,10 @@ def repair_proposals(findings: DataFrame, texts: DataFrame) -> DataFrame:
     """
     from flowtide.functions.text import proposed_patch
 
-    wanted = findings.where("file <> ''").select("file", "rule").distinct()
+    wanted = findings.where("file <> ''").groupBy("file").agg(F.collect_set("rule").alias("rules"))
     sources = texts.select(F.col("file_path").alias("file"), "text")
-    patch = proposed_patch(F.col("rule"), F.col("text"))
+    # Each text joins once, whatever the number of its rules.
+    patches = F.transform("rules", lambda r: F.struct(r.alias("rule"), proposed_patch(r, F.col("text")).alias("patch")))
     status = F.when(F.col("text").isNull(), "FAILED").when(F.col("patch").isNotNull(), "SUCCESS").otherwise("SKIPPED")
-    return wanted.join(sources, "file", "left").withColumn("patch", patch).withColumn("status", status).drop("text")
+    return wanted.join(sources, "file", "left").select("file", "text", F.explode(patches).alias("p")).select(
+        "file", "text", "p.rule", "p.patch").withColumn("status", status).drop("text")

@@ -66,22 +66,3 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = new_table_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def cut_bucketed(df: DataFrame, keys: list[str], label: str = "cut") -> tuple[DataFrame, str]:
-    """As ``cut``, but bucketed by keys, so that repeated joins on these keys
-    read it in place without a shuffle. Returns the table and its name; drop
-    the name with ``forget`` when the loop is over (the files stay)."""
-    spark = df.sparkSession
-    path = new_table_path(spark, label)
-    name = f"flowtide_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        df.repartition(buckets, *keys)
-        .write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
-    )
-    return spark.table(name), name
-
-
-def forget(spark: SparkSession, name: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {name}")

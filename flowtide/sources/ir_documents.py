@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +17,8 @@ from flowtide.schema import CALL_RESOLUTION, EDGE, IR_NODE, TAG
 from flowtide.sources.js_text import read_module
 
 BATCH_ROWS = 5000
+DEEPEST = 1_000_000
+FAILED = "FAILED"
 FIELDS = [field.split()[0] for field in IR_NODE.split(",")]
 
 
@@ -125,19 +129,27 @@ class NodeRows:
                     self.expression(part, row, "path", place, {**shared, "in_path": True})
 
 
-def _flatten(documents: DataFrame, columns: list[str], read: Callable[..., dict]) -> DataFrame:
-    """Rows of one module per input row, in Arrow batches of some thousand rows."""
+def _flatten(documents: DataFrame, columns: list[str], read: Callable[..., dict], name: Callable[..., str]) -> DataFrame:
+    """Rows of one module per input row, in Arrow batches of some thousand rows.
+
+    An input that cannot be read gives one row of kind FAILED, so each input is
+    in the table one way or the other.
+    """
     spark = documents.sparkSession
     schema = to_arrow_schema(spark.createDataFrame([], IR_NODE).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Deep expressions are nested calls of plain Python, which need no machine stack.
+        sys.setrecursionlimit(DEEPEST)
         rows: list[dict] = []
         for batch in batches:
             for values in zip(*(batch.column(c).to_pylist() for c in columns)):
                 try:
                     rows.extend(NodeRows(read(*values)).rows)
-                except (RecursionError, ValueError, IndexError, KeyError):
-                    continue  # an unreadable text gives no rows
+                except Exception as error:
+                    failed = dict.fromkeys(FIELDS)
+                    failed.update(file_path=name(*values), kind=FAILED, name=type(error).__name__, text=str(error)[:200])
+                    rows.append(failed)
                 if len(rows) >= BATCH_ROWS:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows = []
@@ -146,15 +158,37 @@ def _flatten(documents: DataFrame, columns: list[str], read: Callable[..., dict]
     return documents.select(*columns).mapInArrow(run, IR_NODE)
 
 
+def parsed_sources(files: DataFrame) -> DataFrame:
+    """Nodes and failures of source texts. files: (file_path, language, text)."""
+    return _flatten(files, ["text", "file_path", "language"], read_module, lambda text, path, language: path)
+
+
+def parsed_documents(documents: DataFrame) -> DataFrame:
+    """Nodes and failures of IR documents. documents: one JSON text per row in ``value``.
+
+    A failed document is named by the MD5 of its text.
+    """
+    return _flatten(documents, ["value"], json.loads, lambda value: hashlib.md5((value or "").encode()).hexdigest())
+
+
+def nodes_of(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("kind") != FAILED)
+
+
+def failures_of(parsed: DataFrame) -> DataFrame:
+    """(path, error, message) of every input that could not be read."""
+    return parsed.where(F.col("kind") == FAILED).select(
+        F.col("file_path").alias("path"), F.col("name").alias("error"), F.col("text").alias("message"))
+
+
 def nodes_from_source(files: DataFrame) -> DataFrame:
-    """Node table of source texts. files: (file_path, language, text)."""
-    return _flatten(files, ["text", "file_path", "language"], read_module)
+    """Node table of source texts, without failures."""
+    return nodes_of(parsed_sources(files))
 
 
 def nodes_from_documents(documents: DataFrame) -> DataFrame:
-    """Node table of IR documents. documents: one JSON text per row in ``value``."""
-
-    return _flatten(documents, ["value"], json.loads)
+    """Node table of IR documents, without failures."""
+    return nodes_of(parsed_documents(documents))
 
 
 def read_ir_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -39,13 +39,12 @@ def read_texts(spark: SparkSession, root: str, names: str | None = None) -> Data
     return files.select(relative_path(F.col("_path"), root).alias("file_path"), F.decode("content", "UTF-8").alias("text"))
 
 
-def scan_texts(spark: SparkSession, root: str) -> DataFrame:
-    """Source files with a known language, inside the depth limit, below no
-    pruned folder."""
+def scan_texts(spark: SparkSession, root: str, depth: int | None = None) -> DataFrame:
+    """Source files with a known language, below no pruned folder."""
     endings = ",".join(e[1:] for e in K.LANGUAGE_BY_EXTENSION)
     files = read_texts(spark, root, "*.{%s}" % endings)
     path = F.col("file_path")
-    return files.where(paths.is_scanned(path) & paths.language_of(path).isNotNull())
+    return files.where(paths.is_scanned(path, depth) & paths.language_of(path).isNotNull())
 
 
 def dependencies(texts: DataFrame) -> DataFrame:
@@ -82,13 +81,13 @@ def containing(texts: DataFrame, column: str, tokens: list[str]) -> DataFrame:
     return texts.withColumn("token", F.explode(hit))
 
 
-def detect_frameworks(files: DataFrame, deps: DataFrame, checks=K.FRAMEWORK_CHECKS) -> DataFrame:
+def detect_frameworks(files: DataFrame, deps: DataFrame, checks=K.FRAMEWORK_CHECKS, depth: int | None = None) -> DataFrame:
     """(number, framework) of each check that holds, in check order.
 
     All checks are evaluated in one aggregation per input, not one scan each.
     """
     path = F.col("file_path")
-    shallow = paths.path_depth(path) <= K.GLOB_DEPTH
+    shallow = F.lit(True) if depth is None else paths.path_depth(path) <= depth
     aggregates, dep_aggregates = [], []
     for number, (_, test) in enumerate(checks):
         tests = [path == f for f in test.get("file", [])]
@@ -107,11 +106,11 @@ def detect_frameworks(files: DataFrame, deps: DataFrame, checks=K.FRAMEWORK_CHEC
     return row.select(F.explode(found).alias("x")).where("x.hit").select("x.number", "x.framework")
 
 
-def language_counts(files: DataFrame, table=K.PROJECT_LANGUAGE_BY_EXTENSION) -> DataFrame:
-    """Files per language by extension, inside the depth limit."""
+def language_counts(files: DataFrame, table=K.PROJECT_LANGUAGE_BY_EXTENSION, depth: int | None = None) -> DataFrame:
+    """Files per language by extension."""
     path = F.col("file_path")
     return (
-        files.where(paths.path_depth(path) <= K.LANGUAGE_DEPTH)
+        (files if depth is None else files.where(paths.path_depth(path) <= depth))
         .withColumn("language", paths.language_of(path, table)).where("language is not null")
         .groupBy("language").agg(F.count(F.lit(1)).alias("files"))
     )

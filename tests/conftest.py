@@ -12,9 +12,7 @@ from flowtide.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "flowtide-tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g",
-           # Tiny inputs: compiling every plan would take longer than running it.
-           "spark.sql.codegen.wholeStage": "false"},
+        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -54,7 +54,8 @@ def test_paths(spark):
     names = {"https://x.org/a/repo.git": "repo", "git@x.org:a/b.git/": "b", "c": "c"}
     assert values(spark, names, paths.repo_name) == names
     scanned = {"a.js": True, "node_modules/a.js": False, "env": True, "a/b/c/d/e/f/g.js": False, "a/venv/b.py": False}
-    assert values(spark, scanned, paths.is_scanned) == scanned
+    assert values(spark, scanned, lambda path: paths.is_scanned(path, 5)) == scanned
+    assert values(spark, scanned, paths.is_scanned) == {**scanned, "a/b/c/d/e/f/g.js": True}
 
 
 def test_node_ids(spark):
@@ -108,9 +109,13 @@ def test_excerpt(spark):
 
 
 def test_patches(spark):
-    assert "FIXME" in value(spark, text.proposed_patch(F.lit("sql-injection"), F.lit("db.query('a' + id)")))
+    glued = value(spark, text.proposed_patch(F.lit("sql-injection"), F.lit("let a;\nreturn db.query('a' + id);")))
+    assert glued == "let a;\nreturn /* bind values as parameters */ db.query('a' + id);"
+    assert value(spark, text.proposed_patch(F.lit("sql-injection"), F.lit("db.query(a); b = 'x' + c"))) is None
     sent = value(spark, text.proposed_patch(F.lit("path-traversal"), F.lit("res.sendFile(x)")))
-    assert sent == "import path from 'path';\nres.sendFile(path.basename(x)"
+    assert sent == "res.sendFile(require('path').basename(x))"
+    called = value(spark, text.proposed_patch(F.lit("ssrf-dynamic-url"), F.lit("a;\n  fetch(u);")))
+    assert called == "a;\n  // check the host against a fixed list\n  fetch(u);"
     assert value(spark, text.proposed_patch(F.lit("ssrf-dynamic-url"), F.lit("no call"))) is None
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowtide.operators import ordered
@@ -17,13 +18,21 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k int, o int, v int").cache()
 
 
+def by_window(df, keys):
+    """The same columns from plain windows."""
+    window = Window.partitionBy(*keys).orderBy("o")
+    running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select("*", F.row_number().over(window).cast("bigint").alias("n"), F.sum("v").over(running).alias("s"),
+                     F.max("v").over(running).alias("m"), F.lead("v").over(window).alias("nx"))
+
+
 OUT = {"n": ("row_number", None), "s": ("sum", "v"), "m": ("max", "v"), "nx": ("lead", "v")}
 
 
 @pytest.mark.parametrize("keys", [[], ["k"]])
 def test_split_scan_equals_window(skewed, keys):
-    plain = ordered.scan_ordered(skewed, keys, ["o"], OUT, stored=True)
-    split = ordered.scan_ordered(skewed, keys, ["o"], OUT, group_limit=0)
+    plain = by_window(skewed, keys)
+    split = ordered.scan_ordered(skewed, keys, ["o"], OUT)
     columns = ["k", "o", *OUT]
     assert split.select(columns).orderBy("o").collect() == plain.select(columns).orderBy("o").collect()
 
@@ -32,8 +41,8 @@ def test_split_scan_with_nulls_in_key_and_value(spark):
     rows = [(None if i % 3 else 1, i, None if i % 5 == 0 else i) for i in range(200)]
     df = spark.createDataFrame(rows, "k int, o int, v int")
     columns = ["o", *OUT]
-    plain = ordered.scan_ordered(df, ["k"], ["o"], OUT).select(columns).orderBy("o").collect()
-    assert ordered.scan_ordered(df, ["k"], ["o"], OUT, group_limit=0).select(columns).orderBy("o").collect() == plain
+    plain = by_window(df, ["k"]).select(columns).orderBy("o").collect()
+    assert ordered.scan_ordered(df, ["k"], ["o"], OUT).select(columns).orderBy("o").collect() == plain
 
 
 def test_sequential_ids_start_at_zero(spark):
@@ -42,13 +51,12 @@ def test_sequential_ids_start_at_zero(spark):
     assert [r.id for r in rows] == ["flow-0", "flow-1", "flow-2", "flow-3"]
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_launch_schedule_matches_a_loop(spark, limit):
+def test_launch_schedule_matches_a_loop(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(3), i, rng.randrange(500)) for i in range(300)]
     df = spark.createDataFrame(rows, "p int, i int, at int")
     df = df.withColumn("at", F.col("at").cast("bigint"))
-    got = ordered.launch_schedule(df, ["p"], ["at", "i"], "at", F.lit(7).cast("bigint"), "start", limit)
+    got = ordered.launch_schedule(df, ["p"], ["at", "i"], "at", F.lit(7).cast("bigint"), "start")
     got = {r.i: r.start for r in got.collect()}
     last = {}
     for p, i, at in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
@@ -62,9 +70,8 @@ def test_function_bounds(spark):
         [("a.js", "f", 3, 0, 5), ("a.js", "g", 10, 1, 14), ("b.js", "h", 1, 0, None)],
         "file_path string, fn_id string, line int, ord int, max_line int",
     )
-    for limit in (0, 100):
-        rows = {r.fn_id: (r.start, r.end) for r in ordered.function_bounds(df, limit).collect()}
-        assert rows == {"f": (3, 9), "g": (10, 19), "h": (1, 6)}
+    rows = {r.fn_id: (r.start, r.end) for r in ordered.function_bounds(df).collect()}
+    assert rows == {"f": (3, 9), "g": (10, 19), "h": (1, 6)}
 
 
 def test_trim_groups(spark):

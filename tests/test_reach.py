@@ -117,7 +117,8 @@ def test_reach_equals_enumeration(spark, seed):
 def test_depth_bound(spark):
     steps = spark.createDataFrame([("", f"n{i + 1}", "", f"n{i}") for i in range(30)], "src_scope string, src string, dst_scope string, dst string")
     sinks = spark.createDataFrame([("n0", "", "n0")], "sink_id string, scope string, node string")
-    assert reach.backward_reach(sinks, steps, with_path=False).count() == 21
+    assert reach.backward_reach(sinks, steps, 20, with_path=False).count() == 21
+    assert reach.backward_reach(sinks, steps, with_path=False).count() == 31
 
 
 def edges(spark, pairs):
@@ -152,19 +153,12 @@ def test_call_graph_accessors(spark):
     assert summary.summary == "CallGraph: 0 functions, 0 call edges"
 
 
-@pytest.mark.parametrize("hot_rows", [1, 10_000])
-def test_bucketed_and_split_steps_give_the_same_moves(spark, hot_rows):
-    """A node that takes a third of all steps is split into parts."""
-    rng = random.Random(11)
-    rows = {("", f"a{rng.randrange(400)}", "", "hot" if i % 3 == 0 else f"b{rng.randrange(50)}") for i in range(600)}
-    steps = spark.createDataFrame(sorted(rows), "src_scope string, src string, dst_scope string, dst string")
-    frontier = spark.createDataFrame([("k", "", "hot"), ("k", "", "b1"), ("q", "", "hot")], "sink_id string, scope string, node string")
-    plain = reach.StepStore(steps)
-    split = reach.StepStore(steps, bucket_rows=0, hot_rows=hot_rows)
-    assert (split.hot.count() > 0) == (hot_rows == 1)
-
-    def moves(store):
-        return sorted(tuple(r) for r in store.moves(frontier).select("f.sink_id", "f.node", "s.src").collect())
-
-    assert moves(split) == moves(plain)
-    split.close()
+def test_reach_ends_by_itself_on_a_deep_cycle(spark):
+    """A ring of 40 nodes with a hot node that takes a third of all steps."""
+    rows = [("", f"r{i}", "", f"r{(i + 1) % 40}") for i in range(40)]
+    rows += [("", f"leaf{i}", "", "r7") for i in range(30)]
+    steps = spark.createDataFrame(rows, "src_scope string, src string, dst_scope string, dst string")
+    sinks = spark.createDataFrame([("k", "", "r0")], "sink_id string, scope string, node string")
+    found = {r.node: r.depth for r in reach.backward_reach(sinks, steps, with_path=False).collect()}
+    assert found == {**{f"r{i}": (40 - i) % 40 for i in range(40)}, **{f"leaf{i}": 34 for i in range(30)}}
+    assert reach.backward_reach(sinks, steps, max_depth=3, with_path=False).count() == 4

@@ -142,3 +142,14 @@ def test_dependency_graph(spark):
     assert kinds == {("file", "shared"), ("function", "shared")} or ("function", "backend") in kinds
     types = sorted(r.type for r in e.dependency_edges.collect())
     assert types == ["call", "contains", "contains"]
+
+
+def test_every_input_is_read_or_listed(spark):
+    deep = "const x = " + " + ".join(["a"] * 5000) + ";"
+    files = spark.createDataFrame([("src/deep.js", f"function f(a) {{ {deep} }}"), ("src/ok.js", "function g() { h(); }")],
+                                  "file_path string, text string")
+    engine = Engine.from_sources(files)
+    assert engine.failed_files.count() == 0
+    assert {r.file_path for r in engine.nodes.select("file_path").distinct().collect()} == {"src/deep.js", "src/ok.js"}
+    documents = spark.createDataFrame([("null",), ("[1]",), ("{",), ('{"file_path": "a", "functions": []}',), (None,)], "value string")
+    assert sorted(r.error for r in Engine.from_documents(documents).failed_files.collect()) == ["JSONDecodeError", "TypeError", "TypeError", "TypeError"]
