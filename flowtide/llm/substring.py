@@ -38,6 +38,7 @@ BUCKET_BYTES = 8 << 20  # of packed strings
 HOT_RUNS = 16_384  # entries of the dealing hint at most: 128 KB
 SLICE_BYTES = 6 << 20  # of text that a task handles at a time
 CHUNK = 1 << 20
+LEVEL = 5  # of compression for what travels
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -162,19 +163,24 @@ def survey(texts: DataFrame, size: int, mer: int) -> tuple[int, np.ndarray]:
 def _ship(size: int, mer: int, buckets: int, hot: np.ndarray):
     """Rows of two kinds: packed strings for a bucket, and spans that repeat inside the batch."""
     def run(batches):
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=LEVEL)
         for batch in slices(batches, SLICE_BYTES):
-            texts = bytes_column(batch.column("text"))
-            keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist()))
-            distinct: dict[tuple, int] = {}
-            for i, key in enumerate(keys):
-                distinct[key] = distinct.get(key, 0) + 1
-            first = {k: i for i, k in reversed(list(enumerate(keys)))}
-            kept = list(first.values())
-            b = Batch([texts[i] for i in kept], size, mer)
+            uids = batch.column("uid").to_numpy()
+            copies: dict[bytes, list[int]] = {}
+            for i, text in enumerate(bytes_column(batch.column("text"))):
+                copies.setdefault(text, []).append(i)
+            members = list(copies.values())
+            b = Batch(list(copies), size, mer)
+            del copies
             if not b.docs:
                 continue
-            copied = np.array([distinct[keys[kept[d]]] > 1 for d in b.docs])
+            copied = np.array([len(members[d]) > 1 for d in b.docs])
+            own = np.array([uids[members[d][0]] for d in b.docs])
+            lengths = np.diff(b.offsets)
+            # Every word of a text that the batch holds twice is covered.
+            for d in np.flatnonzero(copied).tolist():
+                rows = uids[members[b.docs[d]]]
+                yield _shipped(buckets, spans=(rows, np.zeros(len(rows), np.int64), np.full(len(rows), lengths[d])))
             start, stop, least = b.pieces(hot)
             doc = np.searchsorted(b.offsets, start, "right") - 1
             from_, to = b.starts[start].tolist(), b.ends[stop + size - 1].tolist()
@@ -186,11 +192,10 @@ def _ship(size: int, mer: int, buckets: int, hot: np.ndarray):
             known = np.zeros(len(strings), bool)
             np.logical_or.at(known, first_at, repeats)
             position = start - b.offsets[doc]
-            k1 = np.array([keys[kept[d]][0] for d in b.docs], np.int64)[doc]
-            k2 = np.array([keys[kept[d]][1] for d in b.docs], np.int64)[doc]
-            mark = known[first_at]
+            uid = own[doc]
+            mark = known[first_at] & ~copied[doc]
             if mark.any():
-                yield _shipped(buckets, spans=(k1[mark], k2[mark], position[mark], (stop - start + size)[mark]))
+                yield _shipped(buckets, spans=(uid[mark], position[mark], (stop - start + size)[mark]))
             send = np.flatnonzero(first_at == np.arange(len(strings)))
             bucket = (mix(least[send]) % np.uint64(buckets)).astype(np.int64)
             send = send[np.argsort(bucket, kind="stable")]
@@ -199,7 +204,7 @@ def _ship(size: int, mer: int, buckets: int, hot: np.ndarray):
             numbers, packed = [], []
             for rows in np.split(send, cuts):
                 numbers.append(int(bucket[len(numbers) and cuts[len(numbers) - 1]]))
-                head = np.stack([k1[rows], k2[rows], position[rows], known[rows].astype(np.int64)]).tobytes()
+                head = uid[rows].tobytes() + position[rows].astype("<i4").tobytes() + known[rows].astype("i1").tobytes()
                 body = b"\n".join([strings[i] for i in rows.tolist()])
                 packed.append(packer.compress(len(rows).to_bytes(8, "little") + head + body))
                 if len(packed) == 256:
@@ -210,8 +215,8 @@ def _ship(size: int, mer: int, buckets: int, hot: np.ndarray):
     return run
 
 
-_SHIPPED = "bucket long, packed binary, k1 long, k2 long, first int, n int"
-_SPANS = "k1 long, k2 long, first int, n int"
+_SHIPPED = "bucket long, packed binary, uid long, first int, n int"
+_SPANS = "uid long, first int, n int"
 
 
 def _shipped(buckets: int, packed=None, spans=None) -> pa.RecordBatch:
@@ -219,13 +224,13 @@ def _shipped(buckets: int, packed=None, spans=None) -> pa.RecordBatch:
     n = len((packed or spans)[0])
     none = pa.nulls(n, pa.int64())
     if packed:
-        columns = [pa.array(packed[0], pa.int64()), pa.array(packed[1], pa.binary()), none, none,
+        columns = [pa.array(packed[0], pa.int64()), pa.array(packed[1], pa.binary()), none,
                    none.cast(pa.int32()), none.cast(pa.int32())]
     else:
-        place = mix(spans[0].view(np.uint64) + mix(spans[2].astype(np.uint64))) % np.uint64(buckets)
-        columns = [pa.array(-1 - place.astype(np.int64)), pa.nulls(n, pa.binary()), pa.array(spans[0]), pa.array(spans[1]),
-                   pa.array(spans[2].astype(np.int32)), pa.array(spans[3].astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "packed", "k1", "k2", "first", "n"])
+        place = mix(spans[0].astype(np.uint64)) % np.uint64(buckets)
+        columns = [pa.array(-1 - place.astype(np.int64)), pa.nulls(n, pa.binary()), pa.array(spans[0]),
+                   pa.array(spans[1].astype(np.int32)), pa.array(spans[2].astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "packed", "uid", "first", "n"])
 
 
 def repeated(buffer: bytes, owner_first: np.ndarray, starts, ends, known: np.ndarray, size: int) -> np.ndarray:
@@ -274,15 +279,17 @@ def covered_runs(out: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 def _count(size: int):
     def run(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
-            return table.select(["k1", "k2", "first", "n"]).group_by(["k1", "k2", "first", "n"]).aggregate([])
+            return table.select(["uid", "first", "n"])
         opener = zstandard.ZstdDecompressor()
-        heads, bodies = [], []
+        uids, positions, flags, bodies = [], [], [], []
         for blob in table.column("packed").to_pylist():
             raw = opener.decompress(blob)
             rows = int.from_bytes(raw[:8], "little")
-            heads.append(np.frombuffer(raw, np.int64, 4 * rows, 8).reshape(4, rows))
-            bodies.append(raw[8 + 32 * rows:])
-        k1, k2, position, known = np.concatenate(heads, axis=1)
+            uids.append(np.frombuffer(raw, np.int64, rows, 8))
+            positions.append(np.frombuffer(raw, "<i4", rows, 8 + 8 * rows))
+            flags.append(np.frombuffer(raw, "i1", rows, 8 + 12 * rows))
+            bodies.append(raw[8 + 13 * rows:])
+        uid, position, known = (np.concatenate(x) for x in (uids, positions, flags))
         buffer = b"\n".join(bodies)
         array = np.frombuffer(buffer, np.uint8)
         starts, ends = word_bounds(array)
@@ -297,7 +304,7 @@ def _count(size: int):
         low = np.maximum(np.repeat(first, pieces), limits[row])
         high = np.minimum(np.repeat(stop, pieces), limits[row + 1])
         return pa.table({
-            "k1": k1[row], "k2": k2[row], "first": (position[row] + low - limits[row]).astype(np.int32),
+            "uid": uid[row], "first": (position[row] + low - limits[row]).astype(np.int32),
             "n": (high - low).astype(np.int32)})
     return run
 
@@ -336,15 +343,12 @@ def _strip(with_text: bool):
 
 
 def repeated_spans(texts: DataFrame, size: int = WINDOW, mer: int = MER, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """k1, k2, spans(first, n): the word spans that repeat, per distinct text.
-
-    texts: k1, k2, text. The keys name a text by content, so all its copies share the spans.
-    """
+    """uid, spans(first, n): the word spans of each row that repeat anywhere. texts: uid, text."""
     total, hot = survey(texts, size, mer)
     buckets = max(1, -(-3 * total // bucket_bytes))
     shipped = texts.mapInArrow(_ship(size, mer, buckets, hot), _SHIPPED)
     counted = shipped.groupBy("bucket").applyInArrow(_count(size), _SPANS)
-    return counted.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    return counted.groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = True, whole_rows: bool = False, size: int = WINDOW, **settings) -> DataFrame:
@@ -353,11 +357,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, whole_rows: bool = F
     kept_text is the text itself where nothing is removed, else its kept words
     joined by one space.
     """
-    keyed = texts_of(docs, whole_rows).withColumns({
-        "k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("second"), "text")})
-    spans = repeated_spans(keyed.select("k1", "k2", "text"), size, **settings)
+    keyed = texts_of(docs, whole_rows)
+    spans = repeated_spans(keyed.select("uid", "text"), size, **settings)
     name = "row" if whole_rows else "doc_id"
-    joined = keyed.select(name, "k1", "k2", "text").join(spans, ["k1", "k2"], "left").select(name, "text", "spans")
+    joined = keyed.select(name, "uid", "text").join(spans, "uid", "left").select(name, "text", "spans")
     kind = T.StructType([joined.schema[name], *_KEEP])
     return joined.mapInArrow(_strip(with_text), kind)
 
