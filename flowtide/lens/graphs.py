@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowtide.functions.ids import node_id
 from flowtide.lens.common import query, read
 from flowtide.operators import reach, resolve
 from flowtide.operators.ordered import scan_ordered
@@ -185,3 +186,37 @@ d as (select a as fn_id, 1 as o, 0 as i from e union all select b, 0, 1 from e)
 select fn_id, sum(o)::bigint as n_callees, sum(i)::bigint as n_callers from d group by 1""")
 def page_link_degrees(spark, sf):
     return resolve.degrees(page_links(spark, sf))
+
+
+@query("cyclic_reach", """
+with recursive top as (select max(p_partkey) as n from part),
+step as (select p_partkey as src, p_partkey // 2 as dst from part where p_partkey > 1 union select 1, n from top),
+r as (select r_regionkey + 2 as sink, r_regionkey + 2 as node from region union select sink, src from r join step on dst = node)
+select 'P' || sink as sink_id, 'P' || node as node from r""")
+def cyclic_reach(spark, sf):
+    """A binary tree of parts whose root flows into its last leaf again: cyclic, and as deep as log2 of its size."""
+    parts = read(spark, sf, "part")
+    tree = parts.where("p_partkey > 1").select(C("p_partkey").alias("a"), F.floor(C("p_partkey") / 2).alias("b"))
+    back = parts.agg(F.max("p_partkey").alias("b")).select(F.lit(1).cast("bigint").alias("a"), "b")
+    links = tree.unionByName(back)
+    sink = F.concat(F.lit("P"), (C("r_regionkey") + 2).cast("string"))
+    sinks = read(spark, sf, "region").select(sink.alias("sink_id"), F.lit("").alias("scope"), sink.alias("node"))
+    return reach.backward_reach(sinks, _step(links, _node("P", "a"), _node("P", "b")), with_path=False).select("sink_id", "node")
+
+
+@query("parameter_reach", """
+select 'n' || s_nationkey as file_path, 'CALL_' || s_suppkey as source_node_id, 'CALL_' || s_suppkey || ' > VAR_' || substr(md5('::::p' || s_nationkey), 1, 7) || ' > SINK_' || s_nationkey as path from supplier""")
+def parameter_reach(spark, sf):
+    """A sink in a nation's function takes its parameter; every supplier calls the function with a source."""
+    suppliers, nations = read(spark, sf, "supplier"), read(spark, sf, "nation")
+    file, sink = _node("n", "n_nationkey").alias("file_path"), _node("SINK_", "n_nationkey")
+    parameter = F.concat(F.lit("p"), C("n_nationkey").cast("string"))
+    edges = nations.select(file, node_id("IRVar", parameter).alias("source_id"), sink.alias("target_id"), F.lit("arg").alias("transform"))
+    functions = nations.select(_node("FUNC_", "n_nationkey").alias("fn_id"), file, F.array(parameter).alias("params"))
+    resolutions = suppliers.select(
+        _node("s", "s_suppkey").alias("file_path"), _node("CALL_", "s_suppkey").alias("call_id"), _node("FUNC_", "s_nationkey").alias("resolved_fn_id"))
+    tags = suppliers.select(_node("CALL_", "s_suppkey").alias("node_id"), F.lit("SOURCE_ENV").alias("kind"), F.lit("").alias("file_path"))
+    sinks = nations.select(
+        file, sink.alias("node_id"), C("n_nationkey").alias("uid"), F.lit("db.query").alias("sink_target"), F.lit("SINK_DATABASE").alias("sink_type"))
+    found = reach.taint_paths(sinks, edges, tags, resolutions, functions, mode="always")
+    return found.select("file_path", "source_node_id", F.array_join("path_node_ids", " > ").alias("path"))

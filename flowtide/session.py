@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +30,21 @@ def build_session(app: str = "flowtide", master: str | None = None, **conf) -> S
         builder = builder.master(master)
     for key, value in {**DEFAULT_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local["):
+        ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to executors that do not have it, as --py-files would.
+
+    The archive is made on the driver; Spark hands it to every executor.
+    """
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="flowtide-"), "flowtide"), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
 
 
 def shared_dir(spark: SparkSession) -> str:
