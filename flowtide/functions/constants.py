@@ -125,7 +125,7 @@ DEPENDENCY_TEXT_FILES = [
 PRUNED_DIRECTORIES = [
     ".git", "node_modules", "__pycache__", ".venv", "venv", "env", ".idea", ".vscode",
 ]
-PARSE_DEPTH, LANGUAGE_DEPTH, GLOB_DEPTH = 5, 4, 3
+PARSE_DEPTH = 5
 LANGUAGE_THRESHOLD = 3
 
 VENDOR_PARTS = ["/node_modules/", "/vendor/", "/assets/private/", "/dist/", "/build/output/"]

@@ -82,6 +82,26 @@ def moves(frontier: DataFrame, steps: DataFrame) -> DataFrame:
     return frontier.alias("f").join(steps.alias("s"), same)
 
 
+class Known:
+    """What the rounds have found, in few written tables.
+
+    Two tables that stand for equally many rounds merge into one, so there are
+    at most log2(rounds) of them, and a row is rewritten as often at most.
+    """
+
+    def __init__(self, first: DataFrame):
+        self.parts = [(1, first)]
+
+    def add(self, frame: DataFrame) -> None:
+        self.parts.append((1, frame))
+        while len(self.parts) > 1 and self.parts[-1][0] == self.parts[-2][0]:
+            (rounds, a), (_, b) = self.parts[-2:]
+            self.parts[-2:] = [(2 * rounds, cut(a.unionByName(b), "known"))]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [frame for _, frame in self.parts])
+
+
 def backward_reach(
     sinks: DataFrame, steps: DataFrame, max_depth: int | None = None, with_path: bool = True
 ) -> DataFrame:
@@ -108,7 +128,7 @@ def backward_reach(
             F.lit(0).alias("depth"), first.alias("path"),
         ).distinct()
     )
-    rounds, depth = [frontier], 0
+    known, depth = Known(frontier), 0
     while max_depth is None or depth < max_depth:
         depth += 1
         found = moves(frontier, steps).select(
@@ -123,14 +143,14 @@ def backward_reach(
         else:
             best = found.groupBy("sink_id", "scope", "node").agg(F.min("gated").alias("gated")).select(
                 "sink_id", "scope", "node", "gated", F.lit(depth).alias("depth"), first.alias("path"))
-        known = reduce(DataFrame.unionByName, [r.select("sink_id", "scope", "node", "gated") for r in rounds])
+        before = known.all().select("sink_id", "scope", "node", "gated")
         same = [F.col(f"b.{c}") == F.col(f"k.{c}") for c in ("sink_id", "scope", "node")]
         beaten = same + [F.col("k.gated") <= F.col("b.gated")]
-        frontier = cut(best.alias("b").join(known.alias("k"), beaten, "left_anti"))
+        frontier = cut(best.alias("b").join(before.alias("k"), beaten, "left_anti"))
         if frontier.isEmpty():
             break
-        rounds.append(frontier)
-    ways = reduce(DataFrame.unionByName, rounds)
+        known.add(frontier)
+    ways = known.all()
     if gateless:
         return ways  # every pair was found in one round only
     return ways.groupBy("sink_id", "scope", "node").agg(
