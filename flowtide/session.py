@@ -24,6 +24,10 @@ DEFAULT_CONF = {
 }
 
 
+# Intermediate tables that ``cut`` has written and ``clear`` deletes.
+WRITTEN: list[str] = []
+
+
 def build_session(app: str = "flowtide", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -55,11 +59,11 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return named or os.path.dirname(current.get())
+    current = sc.getCheckpointDir()
+    if current:
+        return named or os.path.dirname(current)
     if not named:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="flowtide-")
     sc.setCheckpointDir(named)
@@ -81,4 +85,13 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = new_table_path(spark, label)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process, once the results that read them are written."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -274,6 +274,21 @@ def documents_from_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("file_path").applyInPandas(build, "file_path string, functions string")
 
 
+def full_documents(nodes: DataFrame, edges: DataFrame, tags: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """(file_path, value): whole IR documents, with edges, tags and resolutions, that read back as they were."""
+    parts = documents_from_nodes(nodes)
+    layers = [("provenance_edges", edges, EDGE), ("semantic_tags", tags, TAG), ("call_resolutions", resolutions, CALL_RESOLUTION)]
+    pieces = [F.lit('{"file_path": '), F.to_json(F.struct("file_path")).substr(F.lit(14), F.length(F.to_json(F.struct("file_path"))) - 14),
+              F.lit(', "functions": '), F.col("functions")]
+    for name, rows, shape in layers:
+        fields = [field.split() for field in shape.split(",")]
+        one = F.struct(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(kind).alias(n) for n, kind in fields])
+        listed = rows.groupBy("file_path").agg(F.to_json(F.collect_list(one)).alias(name))
+        parts = parts.join(listed, "file_path", "left")
+        pieces += [F.lit(f', "{name}": '), F.coalesce(name, F.lit("[]"))]
+    return parts.select("file_path", F.concat(*pieces, F.lit("}")).alias("value"))
+
+
 def _literal(value, value_type):
     if value is None or value_type == "null":
         return None

@@ -2,9 +2,9 @@
 
 import pytest
 
-from flowtide import Engine
+from flowtide import Engine, session
 from flowtide.operators import resolve
-from flowtide.sources.ir_documents import documents_from_nodes, nodes_from_source
+from flowtide.sources.ir_documents import documents_from_nodes, full_documents, nodes_from_source
 
 
 def engine(spark, files, **options):
@@ -136,6 +136,28 @@ def test_round_trip_through_documents(spark):
     assert again.nodes.select(columns).orderBy("uid").collect() == nodes.select(columns).orderBy("uid").collect()
 
 
+def test_full_documents_read_back_with_all_layers(spark):
+    e = engine(spark, {"src/a.js": "function f(req) { db.query(req.body.id); g(req); }", "src/q'b.js": "function g(x) { return x; }"})
+    documents = full_documents(e.nodes, e.edges, e.tags, e.resolutions)
+    again = Engine.from_documents(documents.select("value"))
+    for mine, theirs, columns in (
+        (e.edges, again.edges, ["file_path", "source_id", "target_id", "transform"]), (e.tags, again.tags, ["file_path", "kind", "node_id"]),
+        (e.resolutions, again.resolutions, ["file_path", "call_id", "resolved_fn_id", "confidence"]),
+        (e.nodes, again.nodes, ["file_path", "uid", "node_id", "kind", "target"]),
+    ):
+        assert sorted(map(str, mine.select(columns).collect())) == sorted(map(str, theirs.select(columns).collect()))
+
+
+def test_intermediate_tables_can_be_deleted(spark, tmp_path):
+    table = session.cut(spark.range(10).toDF("x"), "probe")
+    assert table.count() == 10 and any("flowtide-probe" in p for p in session.WRITTEN)
+    kept, session.WRITTEN[:] = session.WRITTEN[:-1], session.WRITTEN[-1:]
+    session.clear(spark)
+    session.WRITTEN[:] = kept
+    with pytest.raises(Exception):
+        spark.read.parquet(table.inputFiles()[0]).count()
+
+
 def test_dependency_graph(spark):
     e = engine(spark, {"server/a.js": "function load(id) { const r = save(id); return r; } function save(x) { return x; }"})
     kinds = {(r.type, r.layer) for r in e.dependency_nodes.collect()}
