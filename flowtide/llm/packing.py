@@ -27,6 +27,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowtide.llm.common import texts_of
 from flowtide.session import cut
@@ -312,7 +313,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start"))
     ranked = salted.withColumn("nth", nth).join(starts, ["length", "salt"]) \
         .select(*pieces.columns, (F.col("before") + F.col("nth") - 1).alias("rank"))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(_placer(table), schema)
 
 
