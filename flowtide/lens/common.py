@@ -134,7 +134,8 @@ def raw_flows(spark: SparkSession, folder: str) -> DataFrame:
     from flowtide.functions import calls
     from flowtide.functions.match import keep_classified
 
-    lines = read(spark, folder, "lineitem")
+    # Classifying targets is the dear part, so rows are dealt out before it.
+    lines = read(spark, folder, "lineitem").select(*LINE_ORDER, "l_returnflag", "l_linestatus").repartition("l_orderkey")
     parts = files(spark, folder).select(F.col("p_partkey").alias("l_partkey"), F.col("file_path").alias("file"))
     flows = lines.select(
         *LINE_ORDER, pick(SOURCES, F.col("l_suppkey")).alias("source"),
