@@ -53,7 +53,7 @@ def statistics(text: bytes) -> list[float]:
     return [
         np.log1p(len(text)), np.log1p(len(words)), float(sizes.mean()), float(np.log1p(sizes.max())),
         len(set(words)) / w, upper / n, digits / n, spaces / n, feeds / n, stops / w, commas / w, marks / w,
-        symbols / n, high / n, float(share.max()) if len(share) else 0.0, sum(x.isalpha() for x in words[::7]) / max(1, len(words[::7])),
+        symbols / n, high / n, float(share.max()) if len(share) else 0.0, sum(x.isalpha() for x in words) / w,
         1 - len(set(lines)) / len(lines), float((sizes <= 3).sum()) / w,
         sum(x.isupper() for x in set(words)) / w, len(text) / len(lines),
         float(text.rstrip()[-1:] in (b".", b"!", b"?")), float(-(share * np.log(share)).sum()) if len(share) else 0.0,

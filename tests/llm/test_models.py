@@ -56,6 +56,13 @@ def test_quality_without_labels(spark, docs):
     assert quality.quality_scores(corpus.frame(spark, []), none).count() == 0
 
 
+def test_bare_words_count_in_every_place():
+    at = quality.FEATURES.index("bare_words")
+    table = " ".join(["key"] + ["17"] * 6) + " "
+    assert quality.statistics((table * 9).encode())[at] == pytest.approx(1 / 7)
+    assert quality.statistics(b"17 key key key")[at] == 0.75 and quality.statistics(b"")[at] == 0
+
+
 def test_flat_trees_equal_the_fitted_ones():
     r = np.random.default_rng(0)
     x = r.normal(size=(800, len(quality.FEATURES)))
