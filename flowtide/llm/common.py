@@ -15,26 +15,42 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtide.session import cut
+
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
-def texts_of(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
-    """uid, doc_id, text (null: empty), and on request the whole row as a struct.
+def stored(docs: DataFrame) -> DataFrame:
+    """docs if it is a plain read of files, else docs written once: only rows of files have a lasting number."""
+    plan = docs._jdf.queryExecution().analyzed()
+    return docs if plan.getClass().getSimpleName() == "LogicalRelation" else cut(docs, "rows")
+
+
+def texts_of(docs: DataFrame, whole_rows: bool = False, numbered: bool = False) -> DataFrame:
+    """doc_id, text (null: empty), and on request uid and the whole row as a struct.
 
-    uid numbers the rows of one stable table: reading the same files again in
-    the same session gives the same number to the same row, so it tells apart
-    rows that repeat a doc_id. Pass a table that is read from files.
+    uid (docs must be ``stored``) tells apart rows that repeat a doc_id. It is
+    made of the number of the row's file among the sorted file names and the
+    row's place in that file, so a second scan gives the same number to the same
+    row, however the files are split over tasks.
     """
     columns = [
-        F.monotonically_increasing_id().alias("uid"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ]
     if whole_rows:
         columns.append(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return docs.select(*columns)
+    if not numbered:
+        return docs.select(*columns)
+    source = docs.metadataColumn("_metadata")
+    path = source["file_path"].alias("path")
+    files = sorted(r.path for r in docs.select(path).distinct().collect())
+    # One short row per input file, which bounds the broadcast.
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "number long, path string")
+    return docs.select(*columns, source["row_index"].alias("place"), path).join(F.broadcast(numbers), "path").select(
+        F.shiftleft("number", 40).bitwiseOR(F.col("place")).alias("uid"), "doc_id", "text", *["row"] * whole_rows)
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import bytes_column, texts_of
+from flowtide.llm.common import bytes_column, stored, texts_of
 
 TRIE_BYTES = 64 << 20
 
@@ -215,7 +215,7 @@ def owners(texts: DataFrame) -> DataFrame:
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """Ledger with one row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    texts = texts_of(docs)
+    texts = texts_of(stored(docs), numbered=True)
     rows = texts.mapInArrow(_digests, _ROW)
     # The copies of a hot text meet one owner row; rows here are short, and the
     # engine splits a skewed side of this join at run time.
@@ -227,5 +227,6 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = owners(texts_of(docs)).select(F.col("keep_uid").alias("uid"))
-    return texts_of(docs, whole_rows=True).select("uid", "row").join(kept, "uid", "left_semi").select("row.*")
+    docs = stored(docs)
+    kept = owners(texts_of(docs, numbered=True)).select(F.col("keep_uid").alias("uid"))
+    return texts_of(docs, whole_rows=True, numbered=True).select("uid", "row").join(kept, "uid", "left_semi").select("row.*")

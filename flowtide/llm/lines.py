@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import bind, texts_of
+from flowtide.llm.common import bind, stored, texts_of
 
 
 def ends_chunk(hashes: Column, at: Column) -> Column:
@@ -46,7 +46,7 @@ def chunks_of(text: Column) -> Column:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, text of every document."""
-    texts = texts_of(docs)
+    texts = texts_of(stored(docs), numbered=True)
     offered = texts.select("uid", F.posexplode(F.transform(
         chunks_of(F.col("text")),
         lambda c: F.when(F.size(c) > 1, F.xxhash64(F.array_join(c, "\n"))))).alias("no", "hash")).where("hash IS NOT NULL")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import bytes_column, texts_of
+from flowtide.llm.common import bytes_column, stored, texts_of
 from flowtide.session import cut
 
 SHINGLE = 3
@@ -70,7 +70,7 @@ def _prints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """uid, doc_id, fp (the 64 bits as a signed long)."""
-    return texts_of(docs).mapInArrow(_prints, "uid long, doc_id long, fp long")
+    return texts_of(stored(docs), numbered=True).mapInArrow(_prints, "uid long, doc_id long, fp long")
 
 
 # --- vantage-point trees -----------------------------------------------------
@@ -270,5 +270,6 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_R
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each group stays, the one with the smallest doc_id, with all its columns."""
+    docs = stored(docs)
     kept = near_groups(docs).where("uid = keep_uid").select("uid")
-    return texts_of(docs, whole_rows=True).select("uid", "row").join(kept, "uid", "left_semi").select("row.*")
+    return texts_of(docs, whole_rows=True, numbered=True).select("uid", "row").join(kept, "uid", "left_semi").select("row.*")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowtide.llm.common import bytes_column, slices, texts_of
+from flowtide.llm.common import bytes_column, slices, stored, texts_of
 
 WINDOW = 35
 MER = 3
@@ -357,7 +357,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, whole_rows: bool = F
     kept_text is the text itself where nothing is removed, else its kept words
     joined by one space.
     """
-    keyed = texts_of(docs, whole_rows)
+    keyed = texts_of(stored(docs), whole_rows, numbered=True)
     spans = repeated_spans(keyed.select("uid", "text"), size, **settings)
     name = "row" if whole_rows else "doc_id"
     joined = keyed.select(name, "uid", "text").join(spans, "uid", "left").select(name, "text", "spans")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from flowtide.llm import exact, lines, simhash, substring
+from flowtide.llm.common import texts_of
 
 PAIRS = corpus.awkward()
 
@@ -56,6 +57,22 @@ def test_trie_spills_by_subtree_without_loss(budget):
     assert got == {k: (max(i for i, x in enumerate(keys) if x == k), n) for k, n in Counter(keys).items()}
 
 
+@pytest.mark.parametrize("split", ["300b", "64m"])
+def test_row_numbers_do_not_depend_on_splits(spark, docs, split):
+    numbers = lambda: Counter((r.uid, r.doc_id, r.text) for r in texts_of(docs, numbered=True).collect())
+    before = numbers()
+    assert len({uid for uid, _, _ in before}) == len(PAIRS)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        assert numbers() == before
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
 # --- near --------------------------------------------------------------------
 def test_near_groups(docs):
     rows = simhash.near_groups(docs).collect()
