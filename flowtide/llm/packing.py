@@ -6,7 +6,8 @@ and there are at most ``capacity`` lengths, so the plan is made from the
 histogram: for the largest length left, completions of the remaining gap are
 enumerated (largest parts first, dominated ones skipped, reachable sums only),
 the one with least waste comes first, and a branch whose waste rules out fewer
-sequences than the best plan so far is pruned. Each choice is applied to as many
+sequences than the best plan so far is pruned. Effort is bounded beyond whole
+descents, so the search ends plans at any number of lengths. Each choice is applied to as many
 sequences as the counts allow. Pieces then find their place by their rank
 within their length, which salted counts provide; no length class is ever
 brought into one task.
@@ -36,6 +37,7 @@ CAPACITY = 2048
 SEPARATOR = 0
 SALTS = 1024
 NODES = 500  # search effort of the plan; the best plan so far stands when it is spent
+DESCENTS = 8  # whole descents that the search may make besides, however many lengths there are
 LOOK = 64  # fillings looked at for one sequence; dominated ones are skipped
 WIDTH = 8  # fillings tried at one sequence
 YIELD_BYTES = 8 << 20
@@ -204,41 +206,48 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
 
     Best-fit decreasing is the first incumbent, one descent that always takes
     the filling of least waste the second; the search with alternatives starts
-    from the better one and ends at the lower bound, when nothing is left
-    open, or after ``nodes`` choices.
+    from the better one: with no, then one, then any number of choices on a
+    way that are not the first. It ends at the lower bound, when nothing is left
+    open, or after ``nodes`` choices and DESCENTS per length, as a descent takes up to one
+    choice per length. A limited search gets half of what is left.
     """
     counts = {s: n for s, n in counts.items() if n}
     least = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
-    for look, effort in ((1, sum(counts.values()) + 1), (LOOK, nodes)):
-        if sum(times for _, times in best) > least:
-            best = search(counts, capacity, least, best, look, effort) or best
+    best, _ = search(counts, capacity, least, best, 1, sum(counts.values()) + 1, 0)
+    left = nodes + DESCENTS * len(counts)
+    for others in (0, 1, len(counts) * capacity):
+        best, spent = search(counts, capacity, least, best, LOOK, left // 2 if others < 2 else left, others)
+        left -= spent
     return best
 
 
-def search(counts, capacity, least, incumbent, look, nodes) -> list[tuple[dict[int, int], int]] | None:
-    """Depth-first branch and bound; the best plan below the incumbent, if any is met."""
+def search(counts, capacity, least, incumbent, look, nodes, others) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Depth-first branch and bound; the best plan met or the incumbent, and the choices spent.
+
+    On each way at most ``others`` choices are not the first one at their place.
+    """
     total = sum(s * n for s, n in counts.items())
-    best, best_n = None, sum(times for _, times in incumbent)
+    best, best_n = incumbent, sum(times for _, times in incumbent)
     free = dict(counts)
     steps: list[tuple[dict[int, int], int]] = []
     used = waste = spent = 0
 
-    def choices():
+    def choices(others):
         top = max(free)
         free[top] -= 1
         allowed = (best_n - 1) * capacity - total - waste
         found = list(itertools.islice(fillings(free, capacity - top, allowed), look))
         found = [f for i, f in enumerate(found) if not i or not dominated(f[1], free, f[0])][:WIDTH]
         free[top] += 1
-        for lost, uses in found:
+        for i, (lost, uses) in enumerate(found if others else found[:1]):
             uses = uses | {top: uses.get(top, 0) + 1}
             times = min(free[s] // n for s, n in uses.items())
-            yield uses, times, lost
-            if times > 1 and look > 1:
-                yield uses, 1, lost
+            yield uses, times, lost, others - (i > 0)
+            if times > 1 and look > 1 and others:
+                yield uses, 1, lost, others - 1
 
-    open_ = [iter(list(choices()))]
+    open_ = [iter(list(choices(others)) if free else ())]
     while open_ and spent <= nodes and best_n > least:
         step = next(open_[-1], None)
         if step is None:
@@ -250,7 +259,7 @@ def search(counts, capacity, least, incumbent, look, nodes) -> list[tuple[dict[i
                 used -= times
                 waste -= times * (capacity - sum(s * n for s, n in uses.items()))
             continue
-        uses, times, lost = step
+        uses, times, lost, rest = step
         spent += 1
         for s, n in uses.items():
             free[s] -= n * times
@@ -262,8 +271,8 @@ def search(counts, capacity, least, incumbent, look, nodes) -> list[tuple[dict[i
         if not free and used < best_n:
             best, best_n = list(steps), used
         left = total + waste - used * capacity
-        open_.append(iter(list(choices()) if free and used + -(-left // capacity) < best_n else ()))
-    return best
+        open_.append(iter(list(choices(rest)) if free and used + -(-left // capacity) < best_n else ()))
+    return best, spent
 
 
 # --- placing the pieces ------------------------------------------------------

@@ -216,6 +216,20 @@ def test_plan_of_many_classes_stays_near_the_bound():
     assert used <= sum(t for _, t in packing.best_fit(counts, 2048)) and packing.plan({}) == []
 
 
+def test_search_with_alternatives_ends_plans_of_many_lengths():
+    r = np.random.default_rng(0)
+    counts = Counter(r.integers(300, 1100, 1500).tolist())
+    assert len(counts) > packing.NODES
+    first, least = packing.best_fit(counts, 2048), packing.lower_bound(counts, 2048)
+    effort = packing.NODES + packing.DESCENTS * len(counts)
+    found, spent = packing.search(counts, 2048, least, first, packing.LOOK, effort, 1)
+    placed = Counter()
+    for uses, times in found:
+        placed.update({s: n * times for s, n in uses.items()})
+    assert placed == counts and spent > len(found)
+    assert sum(t for _, t in found) < sum(t for _, t in first)
+
+
 def test_pack_documents(spark, docs):
     library, capacity = _library(BYTE_BPE), 64
     rows = packing.pack_documents(docs, BYTE_BPE, capacity).collect()
