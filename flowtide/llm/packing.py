@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,6 +69,30 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+# The characters that \s stands for in the pattern above.
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK_RUN = re.compile(f"[{BLANKS}]{{4096,}}")
+
+
+def encode_plain(code: tiktoken.Encoding, text: str, special: bool) -> np.ndarray:
+    """The ids of a text; special: whether strings of special tokens stand for these.
+
+    The pattern takes a run of blanks but its last one as one part (all of it at the end
+    of a text), and backtracks over it. Very long runs are cut there beforehand.
+    """
+    names = dict(allowed_special="all") if special else dict(allowed_special=set(), disallowed_special=())
+    parts, at = [], 0
+    for run in BLANK_RUN.finditer(text):
+        # A special token ends the text before it.
+        last = run.end() == len(text) or special and text.startswith(tuple(code.special_tokens_set), run.end())
+        stop = run.end() if last else run.end() - 1
+        parts.append(code.encode_to_numpy(text[at:run.start()], **names))
+        parts.append(np.array(code._encode_single_piece(text[run.start():stop]), np.uint32))
+        at = stop
+    parts.append(code.encode_to_numpy(text[at:], **names))
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: all but the first are full."""
     first = n if n <= capacity else n % capacity or capacity
@@ -80,7 +105,7 @@ def _pieces(path: str, capacity: int):
         for batch in batches:
             rows, held = [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.append(code.encode_to_numpy(text, allowed_special="all"), SEPARATOR).astype("<u4")
+                ids = np.append(encode_plain(code, text, special=True), SEPARATOR).astype("<u4")
                 for number, (start, length) in enumerate(cut_points(len(ids), capacity)):
                     rows.append((doc_id, number, start, length, ids[start:start + length].tobytes()))
                 held += 4 * len(ids)
