@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
+
 from flowtide.llm.common import read
 
 QUERIES: dict = {}
@@ -19,7 +21,8 @@ def query(name: str, sql: str | None = None):
 
 def tokenizer(name: str) -> str:
     """Path of a public tokenizer file; FLOWTIDE_TOKENIZERS names another folder."""
-    return os.path.join(os.environ.get("FLOWTIDE_TOKENIZERS", "/opt/tokenizers"), name)
+    folder = os.environ.get("FLOWTIDE_TOKENIZERS")
+    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
 
 
 @query("op1_substring_dedup")
@@ -173,3 +176,49 @@ def line_dedup(spark, folder):
     from flowtide.llm.lines import dedup_lines
 
     return dedup_lines(read(spark, folder, "documents"))
+
+
+@query("op11_minhash_near_dedup", r"""
+    WITH RECURSIVE texts AS (
+        SELECT row_number() OVER () AS nth, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), sets AS (
+        SELECT nth, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s
+        FROM texts
+    ), shingles AS (
+        SELECT nth, len(s) AS n, unnest(s) AS shingle FROM sets
+    ), links AS (
+        SELECT x.nth AS a, y.nth AS b FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.nth <> y.nth
+        GROUP BY x.nth, y.nth HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))
+    ), reach AS (
+        SELECT nth, nth AS other FROM sets
+        UNION
+        SELECT reach.nth, links.b FROM reach JOIN links ON links.a = reach.other
+    ), least AS (
+        SELECT reach.nth, min(sets.doc_id) AS component_id FROM reach JOIN sets ON sets.nth = reach.other GROUP BY reach.nth
+    )
+    SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (nth)
+""")
+def minhash_near_dedup(spark, folder):
+    from flowtide.llm.minmax import near_classes
+
+    return near_classes(read(spark, folder, "documents"))
+
+
+@query("op12_cross_tokenizer_alignment")
+def cross_tokenizer_alignment(spark, folder):
+    from flowtide.llm.alignment import align
+
+    return align(read(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op13_embedding_whitening")
+def embedding_whitening(spark, folder):
+    from pyspark.sql import functions as F
+
+    from flowtide.llm.whitening import whiten
+
+    out = whiten(read(spark, folder, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
