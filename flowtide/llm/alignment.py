@@ -34,10 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowtide.llm.common import slices
 from flowtide.llm.packing import encode_plain, encoder
 from flowtide.session import cut
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 LEVEL = 3  # of compression for link lists
 
 #: The piece model writes a space as this letter.
@@ -95,8 +96,8 @@ class Chunk:
         in_b[b_ends] = True
         ends = np.flatnonzero(in_a | in_b)
         # The first token that ends at or after each mark.
-        self.link_a = np.cumsum(in_a, dtype=np.int64)[ends] - in_a[ends]
-        self.link_b = np.cumsum(in_b, dtype=np.int64)[ends] - in_b[ends]
+        self.link_a = np.cumsum(in_a, dtype=np.int32)[ends] - in_a[ends]
+        self.link_b = np.cumsum(in_b, dtype=np.int32)[ends] - in_b[ends]
         self.common = in_a[ends] & in_b[ends]
         self.text_links = np.searchsorted(ends, a_ends[self.text_a - 1], "right")
 
@@ -180,7 +181,7 @@ def _align(a_path: str, b_path: str, chunk_bytes: int):
         # Chunks get their numbers in the task; the written table fixes them.
         chunk = TaskContext.get().partitionId() << 32
         keys, texts, times, held = [], [], [], 0
-        for batch in batches:
+        for batch in slices(batches, chunk_bytes):
             for key, text, n in zip(*[c.to_pylist() for c in batch.columns]):
                 keys.append(key)
                 texts.append(text)
