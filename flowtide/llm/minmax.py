@@ -7,14 +7,14 @@ buckets; two sets of similarity s share one with probability 1 - (1 - s^BAND)^BA
 0.9999992 at 0.85 and 0.9998 at 0.8. A link stands only if the overlap of the
 two full sets says so.
 
-Equal sets fold first. Pairs of a bucket are never listed. First each set is compared with
-one head, the smallest set of that bucket partner it meets most often. Then, round by
-round, sets of a bucket that are not in its largest component become heads, few at first and
-16 times more each round, until every two sets of a bucket are in one component or were
+Equal sets fold first. Pairs of a bucket are never listed. Round by round, some sets of a
+bucket outside its first component become heads, about FIRST_HEADS at first and MORE_HEADS times
+more each round, until every two sets of a bucket are in one component or were
 compared. Members and heads of a bucket meet in blocks of bounded size, and compare
 SKETCH-bin histograms: the distance of two histograms never exceeds the number of shingles in one
-set only, so a pair that it rules out cannot be a link. Only the pairs it leaves are
-joined to their texts. A hot group thus needs a few rounds, not its square.
+set only, so a pair that it rules out cannot be a link. Only pairs that it leaves are
+joined to their texts, in the first round no more than span their components twice, nearest first; a hot
+group is joined by these, so that later rounds meet what stands apart.
 
 Defined results: words are compared in ASCII lower case; a null text is empty; fewer words than a shingle are one
 shingle; texts without words are linked with nothing (``link_empty``: with each other);
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtide.llm.common import bytes_column
-from flowtide.llm.simhash import components
+from flowtide.llm.simhash import components, merge
 from flowtide.session import cut
 
 SHINGLE = 3
@@ -41,7 +41,9 @@ PERCENT = 85
 BANDS, BAND = 24, 5
 SEED = 42
 SKETCH = 128
-FIRST_HEADS, MORE_HEADS = 4, 16
+FIRST_HEADS, MORE_HEADS = 4, 64
+FIRST_FORESTS = 2  # of pairs by rising distance that the first round compares
+EDGES = 1 << 20  # that one task joins
 BLOCK = 2_048  # members or heads of one bucket in one block
 PACK = 16_384  # rows of blocks that one group of a task holds, about
 CACHE = 1 << 21  # shingle hashes of heads that a task keeps
@@ -170,13 +172,34 @@ def _units(table: pa.Table) -> tuple[pa.Table, dict]:
     return table.take(pa.array(order)), {tuple(keys[:, s].tolist()): (s, e) for s, e in zip(starts.tolist(), stops.tolist())}
 
 
-def _compare(percent: int):
+def forests(pairs: np.ndarray, depth: int) -> np.ndarray:
+    """The pairs (sorted, best first) that join two trees of one of ``depth`` forests over the roots."""
+    parents: list[dict[int, int]] = [{} for _ in range(depth)]
+    keep = []
+
+    def top(parent: dict[int, int], node: int) -> int:
+        while parent.get(node, node) != node:
+            parent[node] = parent.get(parent[node], parent[node])
+            node = parent[node]
+        return node
+
+    for at, (x, y) in enumerate(pairs[:, 2:4].tolist()):
+        for parent in parents:
+            u, v = top(parent, x), top(parent, y)
+            if u != v:
+                parent[u] = v
+                keep.append(at)
+                break
+    return pairs[keep]
+
+
+def _compare(percent: int, depth: int | None):
     def run(members: pa.Table, heads: pa.Table) -> pa.Table:
         members, blocks = _units(members)
         heads, head_blocks = _units(heads.rename_columns([c.removeprefix("h_") for c in heads.column_names]))
-        out: list[np.ndarray] = []
+        out, gaps = [], []
         if head_blocks and blocks:
-            b, root, n, done = (members.column(c).to_numpy() for c in ("b", "root", "n", "done"))
+            b, root, n = (members.column(c).to_numpy() for c in ("b", "root", "n"))
             hb, h_root, hn = (heads.column(c).to_numpy() for c in ("b", "root", "n"))
             bins, h_bins = _matrix(members.column("sketch")), _matrix(heads.column("sketch"))
             for key, (s, e) in head_blocks.items():
@@ -185,90 +208,99 @@ def _compare(percent: int):
                 low, high = blocks[key]
                 for h in range(s, e):
                     size, top = n[low:high], int(hn[h])
-                    able = (root[low:high] != h_root[h]) & ~done[low:high] \
-                        & (100 * np.minimum(size, top) >= percent * np.maximum(size, top))
+                    able = (root[low:high] != h_root[h]) & (100 * np.minimum(size, top) >= percent * np.maximum(size, top))
                     at = np.flatnonzero(able) + low
                     if len(at):
                         gap = np.abs(bins[at] - h_bins[h]).sum(axis=1, dtype=np.int64)
-                        at = at[gap * (100 + percent) <= (n[at] + top) * (100 - percent)]
-                        out += [np.array((hb[h], b[i], h_root[h], root[i])) for i in at.tolist()]
-        found = np.array(out, np.int64).reshape(-1, 4)
+                        fits = gap * (100 + percent) <= (n[at] + top) * (100 - percent)
+                        at, gap = at[fits], gap[fits]
+                        fixed = np.full(len(at), hb[h]), np.full(len(at), h_root[h])
+                        out.append(np.stack((fixed[0], b[at], fixed[1], root[at]), axis=1))
+                        gaps.append(gap / (n[at] + top))
+        found = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+        if depth is not None and len(found):
+            found = forests(found[np.argsort(np.concatenate(gaps), kind="stable")], depth)
         swap = found[:, 0] > found[:, 1]
         found[swap] = found[swap][:, [1, 0, 3, 2]]
         return pa.table({c: found[:, k] for k, c in enumerate(("a", "b", "root_a", "root_b"))})
     return run
 
 
-def proposals(state: DataFrame, heads: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a head and a member of its bucket, of two components, that the histograms leave possible."""
-    sizes = state.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("fans"))
-    sizes = sizes.join(heads.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("head_fans")), "bucket")
-    sizes = cut(sizes, "blocks")
-    deal = lambda name: F.pmod(F.xxhash64("b"), F.col(name)).cast("int")
-    spread = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    rows = F.sum(F.col("fans") * F.col("head_fans")).alias("blocks")
-    total = state.join(sizes, "bucket").agg(F.sum("head_fans").alias("rows"), rows).first()
-    packs = max(1, -(-((total.rows or 0) + (total.blocks or 0)) // PACK))
-    pack = F.pmod(F.xxhash64("bucket", "fan", "head_fan"), F.lit(packs))
+def proposals(active: DataFrame, wanted: int, percent: int, depth: int | None) -> DataFrame:
+    """Pairs of a head and a member of its bucket, of two components, that the histograms leave possible.
+
+    active: bucket, b, root, n, sketch, and of the bucket main and size. Heads
+    are about ``wanted`` rows of each bucket outside main, chosen by a hash, all if the bucket is no larger.
+    """
+    place = F.pmod(F.xxhash64("b", "bucket"), F.lit(1 << 20))
     columns = ["bucket", "fan", "head_fan", "b", "root", "n", "sketch"]
-    members = state.join(sizes, "bucket").withColumn("fan", deal("fans")).withColumn("head_fan", spread("head_fans")) \
-        .join(info, "b").select(*columns, "done").withColumn("pack", pack)
-    sent = heads.join(sizes, "bucket").withColumn("head_fan", deal("head_fans")).withColumn("fan", spread("fans")) \
-        .join(info, "b").withColumn("to", pack).select(*[F.col(c).alias(f"h_{c}") for c in columns], "to")
-    return members.groupBy("pack").cogroup(sent.groupBy("to")).applyInArrow(
-        _compare(percent), "a long, b long, root_a long, root_b long")
+    fans, head_fans = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.least("size", F.lit(wanted)) / BLOCK).cast("int")
+    deal = lambda count: F.pmod(F.xxhash64("b"), count).cast("int")
+    spread = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    members = active.withColumn("fan", deal(fans)).withColumn("head_fan", spread(head_fans))
+    heads = active.where((F.col("root") != F.col("main")) & (place * F.col("size") < wanted * (1 << 20)))
+    heads = heads.withColumn("head_fan", deal(head_fans)).withColumn("fan", spread(fans))
+    rows = active.agg(F.sum(head_fans).alias("n")).first().n or 0
+    pack = F.pmod(F.xxhash64("bucket", "fan", "head_fan"), F.lit(max(1, -(-rows // PACK))))
+    sent = heads.withColumn("to", pack).select(*[F.col(c).alias(f"h_{c}") for c in columns], "to")
+    return members.select(*columns).withColumn("pack", pack).groupBy("pack").cogroup(sent.groupBy("to")).applyInArrow(
+        _compare(percent, depth), "a long, b long, root_a long, root_b long")
+
+
+def _stars(batches):
+    parts = [np.stack([batch.column(c).to_numpy() for c in (0, 1)]) for batch in batches]
+    edges = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
+    nodes, places = np.unique(edges, return_inverse=True)
+    parent = np.arange(len(nodes))
+    places = places.reshape(2, -1)
+    merge(parent, places[0], places[1])
+    moved = np.flatnonzero(parent != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[parent[moved]])], names=["a", "b"])
+
+
+def joined(edges: DataFrame) -> DataFrame:
+    """node, root of every node with an edge. Tasks join what they hold first, so few rounds are left."""
+    edges = cut(edges.select("a", "b"), "edges")
+    parts = max(1, -(-edges.count() // EDGES))
+    return components(edges.coalesce(parts).mapInArrow(_stars, "a long, b long"))
 
 
 def link_classes(distinct: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """b, root: the component of every distinct set that has a link.
+    """b, root: the component of every distinct set that shares a bucket with another one.
 
     distinct (a written table): b, key, n, buckets, sketch; texts: key, text.
     """
     places = distinct.select("b", F.explode("buckets").alias("bucket"))
-    firsts = places.groupBy("bucket").agg(F.min("b").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
-    held = cut(places.join(firsts, "bucket"), "held")
+    sizes = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    held = cut(places.join(sizes, "bucket"), "held")
     info = cut(distinct.select("b", "key", "n", "sketch").join(held.select("b").distinct(), "b", "left_semi"), "info")
     # One text per key; copies fold before they travel.
     one = texts.groupBy("key").agg(F.first("text").alias("text"))
     blobs = cut(one.join(info.select("key", "b"), "key").select("b", "text").mapInArrow(_pack, "b long, blob binary"), "blobs")
-    info = info.select("b", "n", "sketch")
-
-    best = F.max(F.struct(F.col("count"), (-F.col("a")).alias("a"))).alias("best")
-    pairs = held.where("a < b").groupBy("a", "b").count().groupBy("b").agg(best).select((-F.col("best.a")).alias("a"), "b")
-    tested = pairs = cut(pairs, "pairs")
-    links = cut(confirmed(pairs, blobs, size, percent), "links")
-    roots = components(links).select(F.col("node").alias("b"), "root")
-    labels = cut(info.select("b").join(roots, "b", "left").select("b", F.coalesce("root", "b").alias("root")), "labels")
-    state = held.select("bucket", "b").join(labels, "b").withColumn("done", F.lit(False))
-    wanted = FIRST_HEADS
+    labels = info.select("b", F.col("b").alias("root"))
+    state = held.join(info.select("b", "n", "sketch", F.col("b").alias("root")), "b")
+    tested, wanted, depth = None, FIRST_HEADS, FIRST_FORESTS
     while True:
-        # Buckets of one component are finished; the largest component of a bucket gives no heads.
-        parts = state.groupBy("bucket", "root").agg(F.count("*").alias("m"))
-        mains = parts.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("main"), F.count("*").alias("parts")) \
-            .where("parts > 1").select("bucket", F.col("main.root").alias("main"))
-        state = cut(state.join(mains, "bucket"), "state")
-        nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("b"), "b"))
-        heads = cut(state.where("root <> main AND NOT done").select("bucket", "b", "root", nth.alias("nth"))
-                    .where(F.col("nth") <= wanted).drop("nth"), "heads")
-        if heads.isEmpty():
-            return labels.join(roots_with_links(labels), "root", "left_semi").select("b", "root")
-        state = state.drop("main")
-        fresh = proposals(state, heads, info, percent).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = cut(fresh, "fresh")
+        # Buckets of one component are finished; the component with the smallest root gives no heads.
+        state = cut(state, "state")
+        mains = state.groupBy("bucket").agg(F.min("root").alias("main"), F.max("root").alias("last")).where("main < last")
+        active = cut(state.join(mains.drop("last"), "bucket"), "active")
+        largest = active.agg(F.max("size").alias("size")).first().size
+        if largest is None:
+            return labels
+        fresh = proposals(active, wanted, percent, depth).groupBy("a", "b").agg(
+            F.first("root_a").alias("root_a"), F.first("root_b").alias("root_b"))
+        fresh = cut(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), "fresh")
         links = cut(confirmed(fresh, blobs, size, percent), "links")
-        tested = tested.union(fresh.select("a", "b"))
-        edges = fresh.join(links, ["a", "b"], "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        moved = cut(joined(fresh.join(links, ["a", "b"], "left_semi").select(
+            F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to")), "moved")
         renamed = lambda df: df.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
         labels = cut(renamed(labels), "labels")
-        used = heads.select("bucket", "b", F.lit(True).alias("used"))
-        state = renamed(state.join(used, ["bucket", "b"], "left")).withColumn(
-            "done", F.col("done") | F.coalesce("used", F.lit(False))).drop("used")
-        wanted *= MORE_HEADS
-
-
-def roots_with_links(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("root").count().where("count > 1").select("root")
+        if depth is None and wanted >= largest:
+            return labels  # every pair of every bucket was compared, or is in one component
+        tested = fresh.select("a", "b") if tested is None else tested.union(fresh.select("a", "b"))
+        state = renamed(active.drop("main"))
+        wanted, depth = wanted * MORE_HEADS, None
 
 
 # --- documents -----------------------------------------------------------------------

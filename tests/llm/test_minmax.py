@@ -65,7 +65,7 @@ def near_copies(r, n):
 def test_near_classes_equal_brute_force(spark, tmp_path, monkeypatch):
     # Few heads, small blocks and packs, so that rounds, blocks and packs all have work.
     monkeypatch.setattr(minmax, "FIRST_HEADS", 1)
-    monkeypatch.setattr(minmax, "MORE_HEADS", 4)
+    monkeypatch.setattr(minmax, "MORE_HEADS", 8)
     r = random.Random(8)
     pairs = corpus.awkward(3) + [(1000 + i, t) for i, t in enumerate(near_copies(r, 40))]
     r.shuffle(pairs)
