@@ -9,6 +9,6 @@ from flowtide.lens.common import QUERIES
 
 
 def load() -> dict:
-    from flowtide.lens import chain, classify, graphs, reports, resolution  # noqa: F401
+    from flowtide.lens import chain, classify, graphs, places, reports, resolution  # noqa: F401
 
     return QUERIES
