@@ -1,7 +1,7 @@
 """URL filter with a Bloom filter cascade.
 
 A rule is a host and a path prefix; it fits its host and all subdomains. Every
-url has the candidate keys (suffix of its host, prefix of its path), and the
+url has the candidate keys (suffix of its host, prefix of its path) that are as long as some rule's, and the
 distinct candidates of the corpus are the complete key universe. Level 1 of a
 cascade encodes the listed keys; level 2 the unlisted keys of the universe that
 level 1 lets through; level 3 the listed keys that level 2 lets through; and so on,
@@ -50,11 +50,14 @@ def key(host: Column, path: Column) -> Column:
     return F.concat(F.length(host).cast("string"), F.lit(" "), host, path)
 
 
-def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Structs (rule, key, size, host size), best first, of all keys that could fit a url."""
-    labels = bind(F.split(host, "\\."), lambda parts: F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), ".")))
+def candidates(host: Column, path: Column, lengths: list[int], depths: list[int]) -> Column:
+    """Structs (rule, key, size, host size), best first, of all keys that could fit a url.
+
+    lengths, depths: how long the rules' paths are, and how many labels their hosts have.
+    """
+    labels = bind(F.split(host, "\\."), lambda parts: F.filter(F.array(*[
+        F.when(F.size(parts) >= n, F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), n), "."))
+        for n in depths]), lambda h: h.isNotNull()))
     prefixes = F.filter(F.array(*[
         F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
     pairs = bind(prefixes, lambda found: F.flatten(F.transform(labels, lambda h: F.transform(
@@ -143,13 +146,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """
     listed = rules.select(
         key(F.coalesce("host", F.lit("")), F.coalesce("path", F.lit(""))).alias("key"), "verdict",
-        F.length(F.coalesce("path", F.lit(""))).alias("n"))
-    lengths = sorted(r.n for r in listed.select("n").distinct().collect())
+        F.length(F.coalesce("path", F.lit(""))).alias("n"), F.size(F.split(F.coalesce("host", F.lit("")), "\\.")).alias("depth"))
+    lengths, depths = (sorted(r[0] for r in listed.select(c).distinct().collect()) for c in ("n", "depth"))
     split = pages.select(
         F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not lengths:
         return split.select("*", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    offered = split.withColumn("found", candidates(F.col("host"), F.col("path"), lengths))
+    offered = split.withColumn("found", candidates(F.col("host"), F.col("path"), lengths, depths))
     universe = cut(offered.select(F.explode("found.key").alias("key")).distinct(), "universe")
     block = build_cascade(listed.where("verdict = 'block'").select("key").distinct(), universe)
     allow = build_cascade(listed.where("verdict = 'allow'").select("key").distinct(), universe)

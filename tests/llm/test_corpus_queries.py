@@ -52,6 +52,15 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_very_long_hosts(spark):
+    long = "a." * 100_000
+    rows = [(1, f"http://{long}b.a.com/x/y"), (2, f"http://{long}com/q"), (3, f"http://{long}"), (4, "http://" + "a" * 100_000 + ".org/")]
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(pages, rules).collect()}
+    assert got == {i: brute_verdict(u) for i, u in rows}
+
+
 def test_cascade_is_exact_over_its_universe(spark, tmp_path):
     spark.range(20_000).selectExpr("concat('k', id) AS key").write.parquet(str(tmp_path / "u"))
     universe = spark.read.parquet(str(tmp_path / "u"))
