@@ -73,6 +73,7 @@ class WordBPE:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         keys = np.array([self.vocab[a] << 32 | self.vocab[b] for a, b in pairs], np.int64)
         self.tables = hash_tables(keys)
+        self.rank_of = dict(zip(keys.tolist(), range(len(keys))))  # for one pair at a time
         self.merged = np.array([self.vocab[a + b] for a, b in pairs], np.int32)  # by rank
         self.ids_of: dict[str, bytes] = {}
         self.text_of: dict[str, str] = {}
@@ -127,6 +128,7 @@ class WordBPE:
         n = len(ids)
         first = self.rank(ids[:-1], ids[1:])
         ids = ids.tolist()
+        merged = self.merged.tolist() if n > ROWS else self.merged
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         alive = [True] * n
         heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first.tolist()) if r != NONE]
@@ -136,15 +138,15 @@ class WordBPE:
             j = after[i] if alive[i] else n
             if j >= n or ids[i] != left or ids[j] != right:
                 continue  # the pair has changed since it was noted
-            ids[i], alive[j] = int(self.merged[rank]), False
+            ids[i], alive[j] = int(merged[rank]), False
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for a in (before[i], i):
                 if a >= 0 and after[a] < n:
                     b = after[a]
-                    r = int(self.rank(np.array([ids[a]]), np.array([ids[b]]))[0])
-                    if r != NONE:
+                    r = self.rank_of.get(ids[a] << 32 | ids[b])
+                    if r is not None:
                         heapq.heappush(heap, (r, a, ids[a], ids[b]))
         return np.array([x for x, keep in zip(ids, alive) if keep], np.int32)
 
