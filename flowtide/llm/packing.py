@@ -337,14 +337,15 @@ def _placer(table: dict[int, np.ndarray]):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
-    """pieces (a written table with a column length) plus sequence_id and offset."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "length"), F.lit(SALTS)))
+    """pieces (with a column length) plus sequence_id and offset. A number written with each piece salts its length."""
+    numbered = cut(pieces.withColumn("nth_piece", F.monotonically_increasing_id()), "pieces")
+    salted = numbered.withColumn("salt", F.pmod(F.xxhash64("nth_piece"), F.lit(SALTS)))
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = slots(plan(histogram, capacity, nodes))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     starts = groups.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start"))
+    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("nth_piece"))
     ranked = salted.withColumn("nth", nth).join(starts, ["length", "salt"]) \
         .select(*pieces.columns, (F.col("before") + F.col("nth") - 1).alias("rank"))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -356,4 +357,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_id
     pieces = token_pieces(docs, path, capacity)
     if not keep_ids:
         pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(cut(pieces, "pieces"), capacity)
+    return pack(pieces, capacity)
