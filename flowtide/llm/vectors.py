@@ -12,6 +12,8 @@ double precision from the original vectors, and the shards' lists merge.
 
 A graph works on lengths: one more coordinate lifts all vectors of a shard to
 the same norm, which turns the largest inner product into the shortest distance.
+Vectors of a shard have lengths within a factor of two, so that none is
+lost in the rounding of much longer ones; every shard is searched.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do rows without an id; vectors meet only vectors
@@ -24,9 +26,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowtide.llm.common import bind
 from flowtide.session import cut
 
 NEAREST = 20
@@ -186,7 +189,8 @@ def _build(table: pa.Table) -> pa.Table:
     graph, entry = build_graph(lifted(vectors))
     ids = table.column("ids").to_pylist()
     return pa.table({
-        "dim": pa.array([dim], pa.int32()), "shard": table.column("shard").slice(0, 1).combine_chunks(),
+        "dim": pa.array([dim], pa.int32()), "octave": table.column("octave").slice(0, 1).combine_chunks(),
+        "shard": table.column("shard").slice(0, 1).combine_chunks(),
         "entry": pa.array([entry], pa.int32()), "vectors": pa.array([vectors.tobytes()], pa.binary()),
         "graph": pa.array([graph.tobytes()], pa.binary()),
         "sizes": pa.array([np.array([len(x) for x in ids], np.int32).tobytes()], pa.binary()),
@@ -194,7 +198,14 @@ def _build(table: pa.Table) -> pa.Table:
     })
 
 
-_INDEX = "dim int, shard long, entry int, vectors binary, graph binary, sizes binary, ids binary"
+_INDEX = "dim int, octave long, shard long, entry int, vectors binary, graph binary, sizes binary, ids binary"
+
+
+def octave(v: Column) -> Column:
+    """The binary logarithm of the length, rounded, so that unit vectors share one; no square over- or underflows."""
+    top = F.array_max(F.transform(v, lambda c: F.abs(c)))
+    square = lambda top: F.aggregate(v, F.lit(0.0), lambda s, c: s + (c / top) * (c / top))
+    return bind(top, lambda top: F.floor(F.log2(top) + 0.5 * F.log2(square(top)) + 0.5))
 
 
 def build_index(rows: DataFrame, k: int = NEAREST) -> DataFrame:
@@ -206,13 +217,17 @@ def build_index(rows: DataFrame, k: int = NEAREST) -> DataFrame:
     distinct = cut(
         rows.select("vec_id", "v", first.alias("nth")).where(F.col("nth") <= k + 1)
         .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-        .withColumn("dim", F.size("v")), "vectors")
-    per_dim = distinct.groupBy("dim").agg(F.count("*").alias("n"))
+        .withColumn("dim", F.size("v"))
+        .withColumn("octave", octave(F.col("v"))), "vectors")
+    per_dim = distinct.groupBy("dim", "octave").agg(F.count("*").alias("n"))
     rows_each = F.greatest(F.lit(256), F.least(F.lit(SHARD_ROWS), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim")))))
-    shards = per_dim.select("dim", F.ceil(F.col("n") / rows_each).alias("shards"))
-    dealt = distinct.join(shards, "dim").select(
-        "dim", F.pmod(F.xxhash64("v", "ids"), F.col("shards")).alias("shard"), "v", "ids")
-    return cut(dealt.groupBy("dim", "shard").applyInArrow(_build, _INDEX), "index")
+    shards = cut(per_dim.select("dim", "octave", F.ceil(F.col("n") / rows_each).alias("shards")), "shards")
+    dealt = distinct.join(shards, ["dim", "octave"]).select(
+        "dim", "octave", F.pmod(F.xxhash64("v", "ids"), F.col("shards")).alias("shard"), "v", "ids")
+    # Their bytes are few, the work is not: a task for each shard, but for hash collisions.
+    parts = 2 * (shards.agg(F.sum("shards")).first()[0] or 1)
+    keys = ["dim", "octave", "shard"]
+    return cut(dealt.repartition(parts, *keys).groupBy(*keys).applyInArrow(_build, _INDEX), "index")
 
 
 def _search(k: int, beam: int):
@@ -259,10 +274,11 @@ def nearest(rows: DataFrame, query_step: int = QUERY_STEP, k: int = NEAREST, bea
     distinct = cut(asked.groupBy("v").agg(F.min("vec_id").alias("query")), "queries")
     blocks = max(1, -(-distinct.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")
-    shards = index.select(F.col("dim").alias("dim"), F.col("shard").alias("shard"))
+    keys = ["dim", "octave", "shard"]
+    shards = index.select(*[F.col(c).alias(c) for c in keys])
     sent = distinct.select("query", "v", F.size("v").alias("dim"), block).join(shards, "dim")
     tables = index.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    found = tables.groupBy("dim", "shard", "block").cogroup(sent.groupBy("dim", "shard", "block")) \
+    found = tables.groupBy(*keys, "block").cogroup(sent.groupBy(*keys, "block")) \
         .applyInArrow(_search(k, beam), "query long, vec_id long, score double")
     order = [F.desc("score"), "vec_id"]
     best = found.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(*order))) \

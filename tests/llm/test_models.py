@@ -252,3 +252,36 @@ def test_pack_documents(spark, docs):
         assert at <= capacity
     assert len(sequences) <= packing.lower_bound(Counter(r.length for r in rows), capacity) + 1
     assert packing.pack_documents(corpus.frame(spark, []), BYTE_BPE).count() == 0
+
+
+# --- awkward sizes ---------------------------------------------------------------
+def test_recall_over_ten_powers_of_length(spark):
+    r = np.random.default_rng(11)
+    points = r.normal(size=(20_000, 16))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points[:3000] *= 10.0 ** r.uniform(-5, 5, (3000, 1))  # the rest share one shard of more than 16,384
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(points.tolist())], "vec_id long, embedding array<double>")
+    lists = {}
+    for x in vectors.nearest(rows.repartition(4), query_step=200).collect():
+        lists.setdefault(x.query_id, set()).add(x.vec_id)
+    met = 0
+    for q, found in lists.items():
+        score = points @ points[q]
+        score[q] = -np.inf
+        met += len(found & set(np.argsort(-score, kind="stable")[:20].tolist()))
+    assert len(lists) == 100 and met >= 0.95 * 2000
+
+
+def test_one_word_of_a_megabyte():
+    r = random.Random(3)
+    library = tokenizers.Tokenizer.from_file(WORD_BPE)
+    for text in ("".join(r.choice("abcdefgh") for _ in range(1_000_000)), "x" * 100_000, "ab" * 5_000 + "é" * 99):
+        assert bpe.WordBPE(WORD_BPE).encode_long(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_equal_pieces_without_an_id_share_no_salt(spark):
+    rows = [(None, "") for _ in range(5000)] + [(1, "word " * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(docs, BYTE_BPE, keep_ids=False).collect()
+    used = Counter((x.sequence_id, x.offset) for x in got)
+    assert len(got) == 5001 and max(used.values()) == 1 and len({x.sequence_id for x in got}) == 3
