@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.ids import node_id
 from flowtide.lens.common import query, read
-from flowtide.operators import reach, resolve
+from flowtide.operators import maintain, reach, resolve
 from flowtide.operators.ordered import scan_ordered
 
 C = F.col
@@ -21,9 +21,9 @@ def _node(prefix: str, column: str):
     return F.concat(F.lit(prefix), C(column).cast("string"))
 
 
-def _step(df, src, dst):
+def _step(df, src, dst, *more):
     return df.select(
-        F.lit("").alias("src_scope"), src.alias("src"), F.lit("").alias("dst_scope"), dst.alias("dst")
+        F.lit("").alias("src_scope"), src.alias("src"), F.lit("").alias("dst_scope"), dst.alias("dst"), *more
     )
 
 
@@ -64,6 +64,29 @@ def gated_reach(spark, sf):
     return found.where("node like 'C%'").select("sink_id", C("node").alias("source_node_id"), C("gated").alias("sanitized"))
 
 
+SQL_MAINTAINED = SQL_REACH.replace("from supplier)", "from supplier where s_suppkey % 7 <> 0)").replace(
+    "join orders on o_orderkey = okey group", "join orders on o_orderkey = okey where o_orderstatus <> 'P' group")
+
+
+@query("maintained_reach", f"{SQL_MAINTAINED} select sink_id, node, false as gated, depth from s union all select sink_id, node, false, depth from s1"
+       " union all select sink_id, node, false, depth from s2 union all select sink_id, node, gated, depth from s3")
+def maintained_reach(spark, sf):
+    """The graph without a quarter of the orders, then three batches: these orders come, pending orders go, every 7th supplier goes."""
+    orders = read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    gated = (C("o_orderstatus") == "F").alias("dst_gate")
+    of = lambda rows: _step(rows, _node("C", "o_custkey"), _node("O", "o_orderkey"), gated)
+    lines = _step(read(spark, sf, "lineitem"), _node("O", "l_orderkey"), _node("S", "l_suppkey"))
+    supplier = read(spark, sf, "supplier")
+    homes = lambda rows: _step(rows, _node("S", "s_suppkey"), _node("N", "s_nationkey"))
+    first = of(orders.where("o_orderkey % 4 <> 0")).unionByName(
+        lines.unionByName(homes(supplier)).withColumn("dst_gate", F.lit(False)))
+    state = maintain.updated(maintain.Reach.empty(spark), first, new_sinks=nation_sinks(spark, sf))
+    state = maintain.updated(state, added=of(orders.where("o_orderkey % 4 = 0")))
+    state = maintain.updated(state, removed=of(orders.where("o_orderstatus = 'P'")))
+    state = maintain.updated(state, removed=homes(supplier.where("s_suppkey % 7 = 0")))
+    return state.reached().select("sink_id", "node", "gated", "depth")
+
+
 @query("taint_paths", """
 with o as (select 's' || l_suppkey as file_path, l_orderkey as okey, 'ORDER_' || l_orderkey as node from lineitem group by all),
 c as (select o.*, 'CUST_' || o_custkey as cust, o_orderstatus = 'F' as gate, c_mktsegment as tag from o join orders on o_orderkey = okey join customer on c_custkey = o_custkey),
