@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowtide.lens.common import query, read
-from flowtide.operators import imports, intervals, search
+from flowtide.lens.common import pick, query, read
+from flowtide.operators import imports, intervals, labels, search
+from flowtide.sources import repository
 
 C = F.col
 
@@ -97,3 +98,36 @@ def enclosing_functions(spark, sf):
     functions = read(spark, sf, "part").select(
         place("p_partkey"), F.concat(F.lit("FUNC_"), C("p_partkey").cast("string")).alias("fn_id"), start.alias("start_line"), end.alias("end_line"))
     return intervals.enclosing_functions(lines, functions)
+
+
+@query("language_counts", """
+with e as (select lang, count(*) filter (n_chars % 3 = 0) as functions, count(*) filter (n_chars % 3 = 1) as classes
+  from documents where lang <> 'fr' group by lang)
+select d.lang as language, count(*) as files, coalesce(any_value(functions), 0) as functions, coalesce(any_value(classes), 0) as classes
+from documents d left join e using (lang) group by d.lang""")
+def language_counts(spark, sf):
+    files = read(spark, sf, "documents").select(C("lang").alias("language"), "n_chars")
+    elements = files.where("language <> 'fr'").select("language", pick(["function", "class", "call"], C("n_chars")).alias("element"))
+    return repository.count_by_language(files, elements)
+
+
+@query("path_steps", """
+with s as (select l_orderkey, l_linenumber, unnest([0, 1, 2]) as pos, unnest(['VAR_' || l_partkey, 'CALL_' || l_suppkey, 'RET_' || l_partkey]) as node_id from lineitem),
+i as (select 'VAR_' || p_partkey as node_id, p_name as label, null as registered, 'src/' || p_brand as f, p_size as line from part
+  union all select 'CALL_' || s_suppkey, null, s_name, null, null from supplier),
+n as (select s.*, f, line, coalesce(label, registered, case split_part(s.node_id, '_', 1) when 'VAR' then 'variable' when 'CALL' then 'function call'
+  when 'RET' then 'return statement' end) as label from s left join i using (node_id))
+select l_orderkey, l_linenumber, pos, node_id, case when f is not null and line > 0 then substr(f, 5) || ':' || line || ' (' || label || ')' else label end as step,
+  line as step_line, f as step_file from n""")
+def path_steps(spark, sf):
+    node = lambda prefix, key: F.concat(F.lit(prefix), C(key).cast("string"))
+    paths = read(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.array(node("VAR_", "l_partkey"), node("CALL_", "l_suppkey"), node("RET_", "l_partkey")).alias("path_node_ids"))
+    none = F.lit(None).cast("string")
+    index = read(spark, sf, "part").select(
+        node("VAR_", "p_partkey").alias("node_id"), C("p_name").alias("label"), none.alias("registered"),
+        F.concat(F.lit("src/"), "p_brand").alias("file_path"), C("p_size").alias("line"))
+    index = index.unionByName(read(spark, sf, "supplier").select(
+        node("CALL_", "s_suppkey").alias("node_id"), none.alias("label"), C("s_name").alias("registered"), none.alias("file_path"),
+        F.lit(None).cast(index.schema["line"].dataType).alias("line")))
+    return labels.label_steps(paths, index, ["l_orderkey", "l_linenumber"])

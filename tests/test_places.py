@@ -2,6 +2,7 @@
 
 import random
 
+from flowtide import Engine
 from flowtide.operators import imports, intervals, resolve, search
 
 MODULES = {
@@ -111,3 +112,12 @@ def test_enclosing_intervals(spark):
         for k, (_, fn, s, e) in enumerate(sorted(around, key=lambda x: (x[3] - x[2], -x[2], x[1]))):
             want.add((f, n, fn, s, e, k + 1))
     assert got == want
+
+
+def test_engine_follows_imports_on_request(spark):
+    files = spark.createDataFrame(
+        [("src/app.ts", "import { save as keep } from './lib/db';\nfunction handler(x) {\n  keep(x);\n}\n"),
+         ("src/lib/db.ts", "export function save(v) {\n  return v;\n}\n")], "file_path string, text string")
+    assert Engine.from_sources(files).resolutions.count() == 0
+    found = Engine.from_sources(files, follow_imports=True).resolutions.collect()
+    assert [(r.file_path, r.tier, r.confidence) for r in found] == [("src/app.ts", 2, 0.95)]
