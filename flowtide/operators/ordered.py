@@ -54,14 +54,20 @@ def _local(kind: str, column: str | None, window, running) -> Column:
 
 
 class OrderedRuns:
-    """Rows in global (keys, order) order, cut into one run per partition."""
+    """Rows in global (keys, order) order, cut into one run per partition.
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: int | None = None):
+    ``inside`` names columns that go on ordering the rows of a run where all of
+    (keys, order) is equal; such rows share a run, and range bounds stay short.
+    """
+
+    def __init__(
+        self, df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: int | None = None, inside: Sequence[str] = ()
+    ):
         if runs is None:
             rows = df.count()  # from the file footers, as df is a stored table
             runs = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // RUN_ROWS))
         columns = [*keys, *order]
-        ranged = df.repartitionByRange(runs, *columns).sortWithinPartitions(*columns)
+        ranged = df.repartitionByRange(runs, *columns).sortWithinPartitions(*columns, *inside)
         # The id is partition number and row number in one. Writing it freezes
         # which row lies in which run for every later stage and retry.
         self.keys = list(keys)
