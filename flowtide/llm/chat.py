@@ -6,9 +6,13 @@ hashes of (position, role, text). A conversation whose last hash is an inner
 turn hash of another one is a prefix of it; an anti-join drops it. Equal
 conversations fold to the smallest conv_id. What is left is rendered.
 
-Turns are handled in chunks of CHUNK turn numbers, and chunk totals carry
-positions and hashes onward, so a conversation that holds a third of all rows
-is never sorted in one task. Rendered text is likewise one row per PART turns.
+Positions come first: rows are split by ranges of (conversation, turn, role,
+first HEAD characters of the text), and rows of short texts that are equal in
+all of these by a number written with them. So a conversation that holds a
+third of all rows spans many tasks, its turn numbers null or equal or not; only
+long texts that share conversation, turn, role and HEAD characters meet in one.
+From there on turns are handled in chunks of CHUNK positions, and chunk totals
+carry hashes onward. Rendered text is likewise one row per PART turns.
 
 Only column functions are used.
 
@@ -23,6 +27,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowtide.operators.ordered import OrderedRuns
+from flowtide.session import cut
+
+HEAD = 64
 CHUNK = 256
 PART = 256
 
@@ -33,16 +41,18 @@ def numbered_turns(log: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"),
-    ).withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(2**62))))
+    )
     # Null ids get a place of their own among the keys, so plain equality joins find them.
     turns = turns.withColumn("none", F.col("conv_id").isNull()).fillna(0, ["conv_id"])
+    # Written once, so the numbers that split equal rows are the same in every later stage and retry.
+    turns = cut(turns.withColumn("nth", F.monotonically_increasing_id()), "turns")
+    short = F.char_length("body") <= HEAD
+    turns = turns.withColumns({"head": F.substring("body", 1, HEAD), "tie": F.when(short, F.col("nth")).otherwise(F.lit(2**62))})
+    runs = OrderedRuns(turns, ["none", "conv_id"], ["turn", "role", "head", "tie"], inside=["body"])
+    placed = runs.scan({"pos": ("row_number", None)}).select(
+        "none", "conv_id", "role", "body", "pos", F.floor((F.col("pos") - 1) / CHUNK).alias("chunk"))
     keys = ["none", "conv_id", "chunk"]
-    inside = Window.partitionBy(*keys).orderBy(F.col("turn").asc_nulls_first(), "role", "body")
     before = Window.partitionBy("none", "conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    local = turns.withColumn("nth", F.row_number().over(inside))
-    sizes = turns.groupBy(*keys).agg(F.count("*").alias("n"))
-    starts = sizes.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    placed = local.join(starts, keys).withColumn("pos", F.col("start") + F.col("nth"))
     hashed = placed.withColumns({
         "t1": F.xxhash64("pos", "role", "body"), "t2": F.xxhash64(F.lit("second"), "pos", "role", "body")})
     # Running values inside the chunk, then what earlier chunks add up to.
@@ -52,9 +62,9 @@ def numbered_turns(log: DataFrame) -> DataFrame:
     carried = totals.select(
         *keys, F.coalesce(F.bit_xor("c1").over(before), F.lit(0)).alias("b1"),
         F.coalesce(F.bit_xor("c2").over(before), F.lit(0)).alias("b2"))
-    return running.join(carried, keys).select(
+    return cut(running.join(carried, keys).select(
         "none", "conv_id", "role", "body", "pos",
-        F.col("r1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("r2").bitwiseXOR(F.col("b2")).alias("h2"))
+        F.col("r1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("r2").bitwiseXOR(F.col("b2")).alias("h2")), "numbered")
 
 
 def maximal(turns: DataFrame) -> DataFrame:

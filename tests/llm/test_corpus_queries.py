@@ -1,5 +1,7 @@
 """Registered corpus queries against their SQL; url and chat operators on awkward rows; the pipeline."""
 
+import random
+
 import oracle
 import pytest
 
@@ -90,6 +92,21 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_with_equal_and_null_turns_in_bulk(spark):
+    r = random.Random(5)
+    long = "same beginning " * 8
+    texts = [f"t{i}" for i in range(40)] + [long, long + "b", long + "a", "", None]
+    logs = {1: [(None, r.choice(["user", None]), r.choice(texts)) for _ in range(10_000)],
+            2: [(7, "user", r.choice(texts)) for _ in range(10_000)], 3: [(None, "user", "x")] * 600}
+    logs[4] = logs[3] + [(1, "assistant", "end")]
+    df = spark.createDataFrame([(c, *t) for c, turns in logs.items() for t in turns], "conv_id long, turn int, role string, text string")
+    turns = chat.numbered_turns(df).collect()
+    for c in logs:
+        want = sorted(((t is not None, t or 0), role or "", text or "") for t, role, text in logs[c])
+        assert [(x.role, x.body) for x in sorted((t for t in turns if t.conv_id == c), key=lambda t: t.pos)] == [w[1:] for w in want]
+    assert {x.conv_id for x in chat.format_chats(df).collect()} == {1, 2, 4}
+
+
 # --- pipeline ----------------------------------------------------------------
 def test_pipeline_stages(spark, tmp_path):
     docs = read(spark, FOLDER, "documents")
