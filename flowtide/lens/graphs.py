@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.ids import node_id
 from flowtide.lens.common import query, read
-from flowtide.operators import maintain, reach, resolve
+from flowtide.operators import cycles, maintain, reach, resolve
 from flowtide.operators.ordered import scan_ordered
 
 C = F.col
@@ -227,6 +227,49 @@ def cyclic_reach(spark, sf):
     return reach.backward_reach(sinks, _step(links, _node("P", "a"), _node("P", "b")), with_path=False).select("sink_id", "node")
 
 
+def ring_steps(spark, sf):
+    """The tree of parts with its way back, and a ring of each customer's orders that leaves towards a part."""
+    parts, orders = read(spark, sf, "part"), read(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    tree = parts.where("p_partkey > 1").select(_node("P", "p_partkey"), F.concat(F.lit("P"), F.floor(C("p_partkey") / 2).cast("string")))
+    back = parts.agg(F.max("p_partkey").alias("n")).select(F.lit("P1"), _node("P", "n"))
+    following = scan_ordered(orders, ["o_custkey"], ["o_orderkey"], {"nxt": ("lead", "o_orderkey")}, stored=True)
+    firsts = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
+    ring = following.join(firsts, "o_custkey").select(_node("O", "o_orderkey"), F.concat(F.lit("O"), F.coalesce("nxt", "first").cast("string")))
+    leave = firsts.select(_node("O", "first"), _node("P", "o_custkey"))
+    links = tree.union(back).union(ring).union(leave).toDF("a", "b")
+    return _step(links, C("a"), C("b"))
+
+
+SQL_RINGS = """top as (select max(p_partkey) as n from part),
+step as (select 'P' || p_partkey as src, 'P' || (p_partkey // 2) as dst, (p_partkey // 2) % 5 = 4 as gate from part where p_partkey > 1
+  union select 'P1', 'P' || n, n % 5 = 4 from top union select 'O' || min(o_orderkey), 'P' || o_custkey, o_custkey % 5 = 4 from orders group by o_custkey
+  union select 'O' || o_orderkey, 'O' || coalesce(lead(o_orderkey) over (partition by o_custkey order by o_orderkey), min(o_orderkey) over (partition by o_custkey)), false from orders)"""
+
+
+@query("condensed_reach", f"""with recursive {SQL_RINGS},
+r as (select 'P' || (r_regionkey + 2) as sink_id, 'P' || (r_regionkey + 2) as node, false as gated from region
+  union select sink_id, src, gated or gate from r join step on dst = node)
+select sink_id, node, bool_and(gated) as gated from r group by 1, 2""")
+def condensed_reach(spark, sf):
+    """Reach with gates (every fifth part) over rings and a deep cyclic tree, in rounds that do not follow their length."""
+    gates = read(spark, sf, "part").where("p_partkey % 5 = 4").select(_node("P", "p_partkey").alias("node_id"))
+    sink = F.concat(F.lit("P"), (C("r_regionkey") + 2).cast("string"))
+    sinks = read(spark, sf, "region").select(sink.alias("sink_id"), F.lit("").alias("scope"), sink.alias("node"))
+    return cycles.reachable(sinks, reach.mark_gates(ring_steps(spark, sf), gates)).select("sink_id", "node", "gated")
+
+
+@query("cycle_components", """with recursive top as (select max(p_partkey) as n from part),
+way as (select n as k from top union all select k // 2 from way where k > 1),
+m as (select 'O' || o_orderkey as node, min('O' || o_orderkey) over w as component, count(*) over w as size from orders window w as (partition by o_custkey)
+  union all select 'P' || k, min('P' || k) over (), count(*) over () from way)
+select node, component, size from m where size > 1""")
+def cycle_components(spark, sf):
+    """Components of two or more nodes, named by their smallest node: each customer's ring, and the parts from the last to the root."""
+    found = cycles.components(cycles.links_of(ring_steps(spark, sf)))
+    names = found.groupBy("root").agg(F.min("v.node").alias("component"), F.count(F.lit(1)).alias("size"))
+    return found.join(names, "root").select("v.node", "component", "size")
+
+
 @query("parameter_reach", """
 select 'n' || s_nationkey as file_path, 'CALL_' || s_suppkey as source_node_id, 'CALL_' || s_suppkey || ' > VAR_' || substr(md5('::::p' || s_nationkey), 1, 7) || ' > SINK_' || s_nationkey as path from supplier""")
 def parameter_reach(spark, sf):
