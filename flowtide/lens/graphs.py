@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.ids import node_id
 from flowtide.lens.common import query, read
-from flowtide.operators import cycles, maintain, reach, resolve
+from flowtide.operators import cycles, maintain, matched, reach, resolve
 from flowtide.operators.ordered import scan_ordered
 
 C = F.col
@@ -286,3 +286,58 @@ def parameter_reach(spark, sf):
         file, sink.alias("node_id"), C("n_nationkey").alias("uid"), F.lit("db.query").alias("sink_target"), F.lit("SINK_DATABASE").alias("sink_type"))
     found = reach.taint_paths(sinks, edges, tags, resolutions, functions, mode="always")
     return found.select("file_path", "source_node_id", F.array_join("path_node_ids", " > ").alias("path"))
+
+
+def call_graph_steps(spark, sf):
+    """Calls as steps with sites: orders call the suppliers of their lines, suppliers their nation, nations their region.
+
+    Each passes its parameter on and takes the result; suppliers in debt call nobody, ASIA returns nothing, and customers
+    take what their nation returns without passing anything in.
+    """
+    orders, lines = read(spark, sf, "orders"), read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    suppliers, nations, regions = (read(spark, sf, t) for t in ("supplier", "nation", "region"))
+    order, supplier, nation = _node("O", "l_orderkey"), _node("S", "s_suppkey"), _node("N", "n_nationkey")
+    line, customer = F.concat(order, F.lit(":"), C("l_suppkey").cast("string")), _node("C", "c_custkey")
+
+    def typed(df, src, dst, kind=None, site=None):
+        return _step(df, src, dst, F.lit(kind).cast("string").alias("kind"), (F.lit(None).cast("string") if site is None else site).alias("site"))
+
+    paying = suppliers.where("s_acctbal >= 0")
+    return (
+        typed(orders, _node("C", "o_custkey"), _node("O", "o_orderkey"))
+        .unionByName(typed(orders, _node("Q", "o_orderkey"), _node("T", "o_custkey")))
+        .unionByName(typed(regions.where("r_name <> 'ASIA'"), _node("GP", "r_regionkey"), _node("GR", "r_regionkey")))
+        .unionByName(typed(lines, order, _node("SP", "l_suppkey"), "call", line))
+        .unionByName(typed(lines, _node("SR", "l_suppkey"), _node("Q", "l_orderkey"), "return", line))
+        .unionByName(typed(paying, _node("SP", "s_suppkey"), _node("NP", "s_nationkey"), "call", supplier))
+        .unionByName(typed(paying, _node("NR", "s_nationkey"), _node("SR", "s_suppkey"), "return", supplier))
+        .unionByName(typed(nations, _node("NP", "n_nationkey"), _node("GP", "n_regionkey"), "call", nation))
+        .unionByName(typed(nations, _node("GR", "n_regionkey"), _node("NR", "n_nationkey"), "return", nation))
+        .unionByName(typed(read(spark, sf, "customer"), _node("NR", "c_nationkey"), customer, "return", customer))
+    )
+
+
+@query("matched_reach", """with recursive
+step as (select 'C' || o_custkey as src, 'O' || o_orderkey as dst, 'step' as kind, '' as site, o_orderstatus = 'F' as gate from orders
+  union select 'Q' || o_orderkey, 'T' || o_custkey, 'step', '', false from orders
+  union select 'GP' || r_regionkey, 'GR' || r_regionkey, 'step', '', r_name = 'EUROPE' from region where r_name <> 'ASIA'
+  union select 'O' || l_orderkey, 'SP' || l_suppkey, 'call', 'O' || l_orderkey || ':' || l_suppkey, false from lineitem
+  union select 'SR' || l_suppkey, 'Q' || l_orderkey, 'return', 'O' || l_orderkey || ':' || l_suppkey, false from lineitem
+  union select 'SP' || s_suppkey, 'NP' || s_nationkey, 'call', 'S' || s_suppkey, false from supplier where s_acctbal >= 0
+  union select 'NR' || s_nationkey, 'SR' || s_suppkey, 'return', 'S' || s_suppkey, false from supplier where s_acctbal >= 0
+  union select 'NP' || n_nationkey, 'GP' || n_regionkey, 'call', 'N' || n_nationkey, false from nation
+  union select 'GR' || n_regionkey, 'NR' || n_nationkey, 'return', 'N' || n_nationkey, false from nation
+  union select 'NR' || c_nationkey, 'C' || c_custkey, 'return', 'C' || c_custkey, false from customer),
+r as (select 'T' || c_custkey as sink_id, 'T' || c_custkey as node, []::varchar[] as stack, false as gated from customer
+  union select 'GP' || r_regionkey, 'GP' || r_regionkey, []::varchar[], false from region
+  union select sink_id, src, case kind when 'return' then list_append(stack, site) when 'call' then stack[1:len(stack) - 1] else stack end, gated or gate
+  from r join step on dst = node where kind <> 'call' or len(stack) = 0 or stack[len(stack)] = site)
+select sink_id, node, bool_and(gated) as gated from r group by 1, 2""")
+def matched_reach(spark, sf):
+    """What reaches each customer's results and each region's parameter by matched calls; orders with status F and EUROPE's result are gates."""
+    gates = read(spark, sf, "orders").where("o_orderstatus = 'F'").select(_node("O", "o_orderkey").alias("node_id")).unionByName(
+        read(spark, sf, "region").where("r_name = 'EUROPE'").select(_node("GR", "r_regionkey").alias("node_id")))
+    sink = lambda df, name: df.select(name.alias("sink_id"), F.lit("").alias("scope"), name.alias("node"))
+    sinks = sink(read(spark, sf, "customer"), _node("T", "c_custkey")).unionByName(sink(read(spark, sf, "region"), _node("GP", "r_regionkey")))
+    steps = reach.mark_gates(call_graph_steps(spark, sf), gates)
+    return matched.matched_reach(sinks, steps, with_path=False).select("sink_id", "node", "gated")

@@ -34,8 +34,11 @@ def flow_steps(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def call_steps(resolutions: DataFrame, functions: DataFrame, edges: DataFrame) -> DataFrame:
-    """Steps across functions: callee returns -> call, and call site -> parameter."""
+def call_steps(resolutions: DataFrame, functions: DataFrame, edges: DataFrame, sites: bool = False) -> DataFrame:
+    """Steps across functions: callee returns -> call, and call site -> parameter.
+
+    sites: add kind ("call" or "return") and site, as matched reach needs them.
+    """
     calls = resolutions.where("resolved_fn_id is not null").select(
         F.col("file_path").alias("call_file"), "call_id", F.col("resolved_fn_id").alias("fn_id")
     ).distinct()
@@ -51,14 +54,17 @@ def call_steps(resolutions: DataFrame, functions: DataFrame, edges: DataFrame) -
             F.col("file_path").alias("fn_file"), F.col("target_id").alias("ret")
         ).distinct()
         back = known.join(returns, "fn_file")
+    # The call site of each step, told apart by callee; plain reach does not look at it.
+    site = F.to_json(F.array("call_file", "call_id", "fn_id")) if sites else None
+    more = lambda kind: [F.lit(kind).alias("kind"), site.alias("site")] if sites else []
     back = back.select(
         F.col("fn_file").alias("src_scope"), F.col("ret").alias("src"),
-        F.col("call_file").alias("dst_scope"), F.col("call_id").alias("dst"),
+        F.col("call_file").alias("dst_scope"), F.col("call_id").alias("dst"), *more("return"),
     )
     into = known.select(
         F.col("call_file").alias("src_scope"), F.col("call_id").alias("src"),
         F.col("fn_file").alias("dst_scope"),
-        F.explode(F.transform("params", lambda p: node_id("IRVar", p))).alias("dst"),
+        F.explode(F.transform("params", lambda p: node_id("IRVar", p))).alias("dst"), *more("call"),
     )
     return back.unionByName(into).distinct()
 
@@ -172,7 +178,10 @@ def taint_paths(
 
     mode: "local" uses edges inside a file only, "fallback" tries calls for
     the sinks that local edges cannot trace, "always" uses calls for all.
+    "matched" does so too, but values leave a function only by the call site
+    they came in through.
     """
+    from flowtide.operators.matched import matched_reach
     from flowtide.operators.provenance import tag_sources
 
     sources = tag_sources(tags, source_tags)
@@ -182,7 +191,8 @@ def taint_paths(
         F.col("file_path").alias("scope"), F.col("node_id").alias("node"),
     )
     steps = flow_steps(edges)
-    across = call_steps(resolutions, functions, edges) if resolutions is not None else None
+    matched = mode == "matched"
+    across = call_steps(resolutions, functions, edges, sites=matched) if resolutions is not None else None
     local = mark_gates(steps, gates)
 
     def hits(reached: DataFrame) -> DataFrame:
@@ -191,9 +201,11 @@ def taint_paths(
     if mode == "local" or across is None:
         found = hits(backward_reach(start, local, max_depth))
     else:
-        everything = mark_gates(steps.unionByName(across), gates)
+        everything = mark_gates(steps.unionByName(across, allowMissingColumns=matched), gates)
         if mode == "always":
             found = hits(backward_reach(start, everything, max_depth))
+        elif matched:
+            found = hits(matched_reach(start, everything, max_depth))
         else:
             found = cut(hits(backward_reach(start, local, max_depth)))
             rest = start.join(found.select("sink_id").distinct(), "sink_id", "left_anti")
