@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.ids import node_id
 from flowtide.lens.common import query, read
-from flowtide.operators import cycles, maintain, matched, reach, resolve
+from flowtide.operators import cycles, maintain, matched, meeting, reach, resolve
 from flowtide.operators.ordered import scan_ordered
 
 C = F.col
@@ -185,17 +185,28 @@ def transition_degrees(spark, sf):
     return resolve.degrees(transitions(spark, sf))
 
 
-@query("simple_paths", f"""
+SQL_PATHS = f"""
 with recursive {SQL_TRANSITIONS},
 p as (select a as s, b as t, [a] as path from e
   union all select s, t, list_append(path, b) from p join e on e.a = list_last(path) where not list_contains(path, b) and list_last(path) <> t and len(path) <= 10)
-select s as from_fn, t as to_fn, array_to_string(path, ' > ') as path from p where list_last(path) = t""")
+select s as from_fn, t as to_fn, array_to_string(path, ' > ') as path from p where list_last(path) = t"""
+
+
+@query("simple_paths", SQL_PATHS)
 def simple_paths(spark, sf):
     steps = transitions(spark, sf)
     pairs = steps.select(C("caller_fn_id").alias("from_fn"), C("callee_fn_id").alias("to_fn"))
     return reach.paths_between(steps, pairs).select("from_fn", "to_fn", F.array_join("path", " > ").alias("path"))
 
 
+@query("meeting_paths", SQL_PATHS)
+def meeting_paths(spark, sf):
+    """The same paths from both ends."""
+    steps = transitions(spark, sf)
+    pairs = steps.select(C("caller_fn_id").alias("from_fn"), C("callee_fn_id").alias("to_fn"))
+    return meeting.paths_meeting(steps, pairs).select("from_fn", "to_fn", F.array_join("path", " > ").alias("path"))
+
+
 def page_links(spark, sf):
     """Links between pages: the first folder of a page's URL -> link targets."""
     hrefs = F.regexp_extract_all("html", F.lit(r'<a href="/([^"]*)"'), F.lit(1))
