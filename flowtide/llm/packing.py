@@ -8,7 +8,9 @@ enumerated (largest parts first, dominated ones skipped, reachable sums only),
 the one with least waste comes first, and a branch whose waste rules out fewer
 sequences than the best plan so far is pruned. Effort is bounded beyond whole
 descents, so the search ends plans at any number of lengths. Each choice is applied to as many
-sequences as the counts allow. Pieces then find their place by their rank
+sequences as the counts allow. Then parts of the plan, its sequences with gaps and some
+full ones, are taken out and packed anew by the same search with themselves as incumbent.
+Pieces then find their place by their rank
 within their length, which salted counts provide; no length class is ever
 brought into one task.
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import random
 import re
 from collections.abc import Iterator
 
@@ -41,6 +44,8 @@ NODES = 500  # search effort of the plan; the best plan so far stands when it is
 DESCENTS = 8  # whole descents that the search may make besides, however many lengths there are
 LOOK = 64  # fillings looked at for one sequence; dominated ones are skipped
 WIDTH = 8  # fillings tried at one sequence
+REPAIRS = 400  # parts of the plan that are packed anew at most
+PART = 12  # sequences with gaps, and twice as many others, in such a part
 YIELD_BYTES = 8 << 20
 
 # Fixed value: the split pattern of byte-level BPE files that use their own regex.
@@ -234,7 +239,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
     from the better one: with no, then one, then any number of choices on a
     way that are not the first. It ends at the lower bound, when nothing is left
     open, or after ``nodes`` choices and DESCENTS per length, as a descent takes up to one
-    choice per length. A limited search gets half of what is left.
+    choice per length. A limited search gets half of what is left. ``repaired`` follows.
     """
     counts = {s: n for s, n in counts.items() if n}
     least = lower_bound(counts, capacity)
@@ -244,13 +249,52 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
     for others in (0, 1, len(counts) * capacity):
         best, spent = search(counts, capacity, least, best, LOOK, left // 2 if others < 2 else left, others)
         left -= spent
-    return best
+    return repaired(best, capacity, least)
+
+
+def repaired(steps: list[tuple[dict[int, int], int]], capacity: int, least: int) -> list[tuple[dict[int, int], int]]:
+    """The plan after packing parts of it anew, never more sequences; ends at ``least`` or after REPAIRS parts.
+
+    A part is up to PART sequences with gaps and twice as many others, drawn by a generator
+    with a fixed seed, one of each kind of sequence at a time. It is packed by a descent that
+    draws among fillings of equal waste. A part that needs no fewer sequences still replaces
+    the old one if its gaps lie closer together, so they grow into whole sequences.
+    """
+    entries = [[uses, times] for uses, times in steps]
+    gap = lambda uses: capacity - sum(s * n for s, n in uses.items())
+    together = lambda plan: sum(times * gap(uses) ** 2 for uses, times in plan)
+    draw, used = random.Random(0), sum(times for _, times in entries)
+    for _ in range(REPAIRS):
+        loose = [e for e in entries if gap(e[0])]
+        if used <= least or not loose:
+            break
+        full = [e for e in entries if not gap(e[0])]
+        taken = draw.sample(loose, min(PART, len(loose))) + draw.sample(full, min(2 * PART, len(full)))
+        part = [(e[0], 1) for e in taken]
+        counts: dict[int, int] = {}
+        for uses, _ in part:
+            for s, n in uses.items():
+                counts[s] = counts.get(s, 0) + n
+        bound = lower_bound(counts, capacity)
+        # With one sequence more as the limit, the first descent may also give as many as before.
+        found, _ = search(counts, capacity, bound, part + [({}, 1)], LOOK, len(part) + 1, 0, draw)
+        size = sum(times for _, times in found)
+        if size > len(part) or size == len(part) and together(found) <= together(part):
+            continue
+        used += size - len(part)
+        for e in taken:
+            e[1] -= 1
+        entries = [e for e in entries if e[1]] + [[uses, times] for uses, times in found]
+    return [(uses, times) for uses, times in entries]
 
 
-def search(counts, capacity, least, incumbent, look, nodes, others) -> tuple[list[tuple[dict[int, int], int]], int]:
+def search(
+    counts, capacity, least, incumbent, look, nodes, others, draw=None
+) -> tuple[list[tuple[dict[int, int], int]], int]:
     """Depth-first branch and bound; the best plan met or the incumbent, and the choices spent.
 
     On each way at most ``others`` choices are not the first one at their place.
+    draw: a generator that orders fillings of equal waste; without one the largest parts come first.
     """
     total = sum(s * n for s, n in counts.items())
     best, best_n = incumbent, sum(times for _, times in incumbent)
@@ -263,9 +307,11 @@ def search(counts, capacity, least, incumbent, look, nodes, others) -> tuple[lis
         free[top] -= 1
         allowed = (best_n - 1) * capacity - total - waste
         found = list(itertools.islice(fillings(free, capacity - top, allowed), look))
-        found = [f for i, f in enumerate(found) if not i or not dominated(f[1], free, f[0])][:WIDTH]
+        if draw:
+            found.sort(key=lambda f: (f[0], draw.random()))
+        found = [f for i, f in enumerate(found) if not i or others and not dominated(f[1], free, f[0])][:WIDTH]
         free[top] += 1
-        for i, (lost, uses) in enumerate(found if others else found[:1]):
+        for i, (lost, uses) in enumerate(found):
             uses = uses | {top: uses.get(top, 0) + 1}
             times = min(free[s] // n for s, n in uses.items())
             yield uses, times, lost, others - (i > 0)
