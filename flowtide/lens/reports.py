@@ -11,7 +11,7 @@ from flowtide.lens.common import (
     SQL_FILES, SQL_FLOWS, SQL_NUMBERED, files, numbered_flows, pick, query, raw_flows, read, sql_any, sql_in, sql_pick,
 )
 from flowtide.lens.resolution import SQL_EDGES, SQL_NODES, SQL_RESOLUTION, call_edges, part_functions, part_nodes
-from flowtide.operators import dependency, ordered, security
+from flowtide.operators import dependency, ordered, review, security
 from flowtide.plans import report, rules
 from flowtide.session import cut, new_table_path
 from flowtide.sources import repository
@@ -196,6 +196,28 @@ def reviewed_findings(spark, sf):
     return rules.after_review(findings, routes).select("o_orderkey", "rule")
 
 
+@query("answers_kept", """
+with asked as (select 'P' || p_partkey as id, p_type as report, 'first' as title from part
+  union all select 'C' || c_custkey, c_mktsegment, 'second' from customer)
+select id, contains(report, 'STEEL') or contains(report, 'BUILD') as vulnerable, title as vulnerability_type from asked""")
+def answers_kept(spark, sf):
+    """Part types are reviewed, then with the segments of customers by another reviewer, who only sees what has no answer yet."""
+    parts = read(spark, sf, "part").select(_id("P", "p_partkey"), C("p_type").alias("report"))
+    customers = read(spark, sf, "customer").select(_id("C", "c_custkey"), C("c_mktsegment").alias("report"))
+    folder = new_table_path(spark, "answers")
+    review.ask_saving(parts, lambda: _scripted("first"), folder)
+    found = review.ask_saving(parts.unionByName(customers), lambda: _scripted("second"), folder)
+    return found.select("id", "vulnerable", "vulnerability_type")
+
+
+def _id(prefix: str, column: str):
+    return F.concat(F.lit(prefix), C(column).cast("string")).alias("id")
+
+
+def _scripted(title: str):
+    return lambda report: {"vulnerable": "STEEL" in report or "BUILD" in report, "vulnerability_type": title}
+
+
 def flow_findings(spark, sf):
     return numbered_flows(spark, sf).select(
         F.split_part("id", F.lit("-"), F.lit(2)).cast("bigint").alias("number"), C("sink_type").alias("rule"),

@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtide.functions import calls, text
@@ -133,6 +134,42 @@ def split_cached(asked: DataFrame, cache: DataFrame, key: str = "cache_key") ->
     return asked.join(cache, key, "left_anti"), asked.join(cache, key)
 
 
+def saved_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """cache_key and a verdict, one row per key; nothing where the folder has no table yet."""
+    columns = VERDICT_COLUMNS[1:]
+    try:
+        saved = spark.read.parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        saved = spark.createDataFrame([], VERDICT).withColumnRenamed("id", "cache_key")
+    # Jobs that ran at the same time may both have saved an answer.
+    return saved.groupBy("cache_key").agg(F.min(F.struct(*columns)).alias("v")).select("cache_key", "v.*")
+
+
+def ask_saving(
+    reports: DataFrame, make_reviewer: Callable[[], Callable[[str], dict]], folder: str, model: str = "", temperature: float = 0.0
+) -> DataFrame:
+    """Verdicts like ``ask``; answers come from the table in the folder, and new ones are appended to it.
+
+    The key is the report with model and temperature, so equal reports are
+    asked about once. An answer without ``vulnerable`` is no answer: it is
+    returned but not saved, so it is asked for again. A null report has no
+    verdict. New answers are written before they are saved: a task that is run
+    again does not leave two answers, and a job that dies saves nothing twice.
+    """
+    key = flow_key(F.struct("report"), model, temperature)
+    keyed = cut(reports.where("report is not null").select("id", "report", key.alias("cache_key")), "asked")
+    saved = saved_answers(reports.sparkSession, folder)
+    open_, _ = split_cached(keyed.select("cache_key", "report"), saved)
+    once = open_.groupBy("cache_key").agg(F.min("report").alias("report"))
+    new = ask(once.withColumnRenamed("cache_key", "id"), make_reviewer).withColumnRenamed("id", "cache_key")
+    new = cut(new, "answers")
+    answers = cut(keyed.join(saved.unionByName(new), "cache_key").select(*VERDICT_COLUMNS), "verdicts")
+    new.where("vulnerable is not null").write.mode("append").parquet(folder)
+    return answers
+
+
 def reconcile(processed: DataFrame, findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Final findings: the verdict decides where there is one, else the earlier
     finding stays. One row per processed flow that ends up vulnerable."""
