@@ -226,10 +226,10 @@ def _compare(percent: int, depth: int | None):
     return run
 
 
-def proposals(active: DataFrame, wanted: int, percent: int, depth: int | None) -> DataFrame:
+def proposals(active: DataFrame, info: DataFrame, wanted: int, percent: int, depth: int | None) -> DataFrame:
     """Pairs of a head and a member of its bucket, of two components, that the histograms leave possible.
 
-    active: bucket, b, root, n, sketch, and of the bucket main and size. Heads
+    active (a written table): bucket, b, root, and of the bucket main and size; info: b, n, sketch. Heads
     are about ``wanted`` rows of each bucket outside main, chosen by a hash, all if the bucket is no larger.
     """
     place = F.pmod(F.xxhash64("b", "bucket"), F.lit(1 << 20))
@@ -237,10 +237,12 @@ def proposals(active: DataFrame, wanted: int, percent: int, depth: int | None) -
     fans, head_fans = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.least("size", F.lit(wanted)) / BLOCK).cast("int")
     deal = lambda count: F.pmod(F.xxhash64("b"), count).cast("int")
     spread = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    rows = active.agg(F.sum(head_fans).alias("n")).first().n or 0
+    # Rounds are written without the histograms, which would be there once per bucket of a set.
+    active = active.join(info.select("b", "n", "sketch"), "b")
     members = active.withColumn("fan", deal(fans)).withColumn("head_fan", spread(head_fans))
     heads = active.where((F.col("root") != F.col("main")) & (place * F.col("size") < wanted * (1 << 20)))
     heads = heads.withColumn("head_fan", deal(head_fans)).withColumn("fan", spread(fans))
-    rows = active.agg(F.sum(head_fans).alias("n")).first().n or 0
     pack = F.pmod(F.xxhash64("bucket", "fan", "head_fan"), F.lit(max(1, -(-rows // PACK))))
     sent = heads.withColumn("to", pack).select(*[F.col(c).alias(f"h_{c}") for c in columns], "to")
     return members.select(*columns).withColumn("pack", pack).groupBy("pack").cogroup(sent.groupBy("to")).applyInArrow(
@@ -278,7 +280,7 @@ def link_classes(distinct: DataFrame, texts: DataFrame, size: int, percent: int)
     one = texts.groupBy("key").agg(F.first("text").alias("text"))
     blobs = cut(one.join(info.select("key", "b"), "key").select("b", "text").mapInArrow(_pack, "b long, blob binary"), "blobs")
     labels = info.select("b", F.col("b").alias("root"))
-    state = held.join(info.select("b", "n", "sketch", F.col("b").alias("root")), "b")
+    state = held.withColumn("root", F.col("b"))
     tested, wanted, depth = None, FIRST_HEADS, FIRST_FORESTS
     while True:
         # Buckets of one component are finished; the component with the smallest root gives no heads.
@@ -288,7 +290,7 @@ def link_classes(distinct: DataFrame, texts: DataFrame, size: int, percent: int)
         largest = active.agg(F.max("size").alias("size")).first().size
         if largest is None:
             return labels
-        fresh = proposals(active, wanted, percent, depth).groupBy("a", "b").agg(
+        fresh = proposals(active, info, wanted, percent, depth).groupBy("a", "b").agg(
             F.first("root_a").alias("root_a"), F.first("root_b").alias("root_b"))
         fresh = cut(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), "fresh")
         links = cut(confirmed(fresh, blobs, size, percent), "links")
