@@ -11,6 +11,7 @@ from flowtide.lens.common import (
     LINE_ORDER, SQL_FILES, SQL_LINE_ORDER, SQL_NUMBERED, files, numbered_flows, query, read, sql_any,
 )
 from flowtide.operators import dependency, labels, ordered, provenance, resolve, review, security
+from flowtide.session import cut
 from flowtide.sources.ir_documents import failures_of, nodes_from_source, parsed_documents
 
 C = F.col
@@ -31,7 +32,9 @@ def part_calls(spark, sf):
     lines = read(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
     caller = fn.select(C("p_partkey").alias("l_partkey"), "file_path")
     callee = fn.select(C("p_partkey").alias("l_suppkey"), C("name").alias("target"))
-    return lines.join(caller, "l_partkey").join(callee, "l_suppkey").select(
+    # Dealt out by part once: that serves the join with the files and the removal of copies.
+    named = lines.join(callee, "l_suppkey").select("l_partkey", "target").repartition("l_partkey").distinct()
+    return named.join(caller, "l_partkey").select(
         "file_path", ids.node_id("IRCall", C("target")).alias("call_id"), "target", C("l_partkey").alias("uid"),
         F.lit(None).cast("string").alias("receiver_kind"), F.lit(None).cast("string").alias("receiver_text"),
         F.lit(None).cast("string").alias("receiver_root"),
@@ -77,11 +80,12 @@ def resolution_candidates(spark, sf):
 
 def resolved_calls(spark, sf):
     """Resolved calls with their owner: the last file, by path, that makes the call."""
-    calls = part_calls(spark, sf)
-    owner = calls.join(part_functions(spark, sf).select("file_path", "fn_id"), "file_path").groupBy(
-        C("call_id").alias("node_id")
-    ).agg(F.max_by("fn_id", F.struct("file_path", "fn_id")).alias("fn_id"))
-    return resolve.resolve_calls(calls, part_functions(spark, sf)), owner
+    calls, functions = cut(part_calls(spark, sf), "calls"), part_functions(spark, sf)
+    # Numbers in the order of the files, so that the last one is found without comparing texts.
+    places = cut(ordered.numbered_rows(functions.select("file_path", "fn_id"), ["file_path", "fn_id"], "place"), "places")
+    owner = calls.select("file_path", "call_id").join(places, "file_path").groupBy("call_id").agg(
+        F.max("place").alias("place")).join(places, "place").select(C("call_id").alias("node_id"), "fn_id")
+    return resolve.resolve_calls(calls, functions), owner
 
 
 SQL_EDGES = """owner as (select 'CALL_' || substr(md5('::::' || c.target), 1, 7) as call_id, max_by(f.fn_id, row(f.file_path, f.fn_id)) as fn_id
