@@ -102,3 +102,18 @@ def test_recall_of_buckets():
             tried += 1
             met += any(x == y for x, y in zip(minmax.bands(a), minmax.bands(b)))
     assert tried > 100 and met == tried
+
+
+def test_rounds_are_written_without_histograms(spark, monkeypatch):
+    written, cut = {}, minmax.cut
+
+    def noted(df, label="cut"):
+        written.setdefault(label, set()).update(df.columns)
+        return cut(df, label)
+
+    monkeypatch.setattr(minmax, "cut", noted)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"x{i}"])) for i in range(8)], "doc_id long, text string")
+    found = minmax.near_classes(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(i, 0) for i in range(8)}
+    assert not written["state"] & {"n", "sketch"} and not written["active"] & {"n", "sketch"}
