@@ -9,6 +9,8 @@ SHORT bytes keep linked parts and a heap, so their cost stays near linear.
 
 Defined results: a null text is empty; an empty text has no ids and decodes to
 the empty string; strings of special tokens in a text become their ids;
+a text with a character younger than Unicode 3.2 is normalised and split by the
+tokenizers library itself, as Python and regex know other letters than it does;
 repeated rows and a null doc_id are encoded as any other; an empty table gives
 an empty result.
 """
@@ -18,12 +20,15 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from flowtide.llm.common import texts_of
 from flowtide.llm.packing import byte_letters
@@ -64,7 +69,10 @@ class WordBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"]).findall
+        self.find = regex.compile(split["pattern"]["Regex"]).findall
+        self.young = young()
+        self.normalised = Tokenizer.from_file(path).normalizer.normalize_str
+        self.pieces = Split(Regex(split["pattern"]["Regex"]), "removed", invert=True).pre_tokenize_str
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         end = model["end_of_word_suffix"] or ""
         letters = {b: c for c, b in byte_letters().items()}
@@ -166,15 +174,20 @@ class WordBPE:
             self.ids_of[word] = ids.astype("<u4").tobytes()
             self.text_of[word] = " ".join([tokens[i] for i in ids.tolist()])
 
+    def words(self, text: str) -> list[str]:
+        if not text.isascii() and self.young.search(text):
+            return [word for word, _ in self.pieces(self.normalised(text))]
+        return self.find(lower(text))
+
     def split(self, text: str) -> list[str]:
         if self.specials is None or not self.specials.search(text):
-            return self.words(lower(text))
+            return self.words(text)
         out, at = [], 0
         for found in self.specials.finditer(text):
-            out += self.words(lower(text[at:found.start()]))
+            out += self.words(text[at:found.start()])
             out.append(("special", found.group()))
             at = found.end()
-        return out + self.words(lower(text[at:]))
+        return out + self.words(text[at:])
 
     def encode(self, texts: list[str]):
         """(ids as unsigned 32-bit little-endian bytes, decoded text) of each text.
@@ -196,6 +209,14 @@ def lower(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+def young() -> re.Pattern:
+    """A character that Unicode 3.2 does not have; on all others every table agrees, private use included."""
+    old = [c for c in range(0x2A6D7) if unicodedata.ucd_3_2_0.category(chr(c)) != "Cn"]
+    first = [a for a, b in zip(old, [-2, *old]) if a != b + 1]
+    last = [a for a, b in zip(old, [*old[1:], -2]) if a + 1 != b]
+    return re.compile("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last)) + "]")
+
+
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> WordBPE:
     return WordBPE(path)

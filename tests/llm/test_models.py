@@ -141,6 +141,16 @@ def test_word_bpe_equals_library(text):
     assert decoded == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", [":\U0003d000", "a\u0558b :\U00011de0", "A\u0345\u08d3x", "\U00016ea0B\ua7cb", "\ufdd0.\U000e0100\U000f0000é"])
+def test_word_bpe_splits_young_characters_as_library(text):
+    code, library = bpe.load(WORD_BPE), _library(WORD_BPE)
+    for whole in (text, f"É {text} <|endoftext|>{text}"):
+        (ids, decoded), = code.encode([whole])
+        want = library.encode(whole, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want
+        assert decoded == library.decode(want, skip_special_tokens=False)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=ALPHABET, max_size=120) | st.text(max_size=40))
 def test_byte_bpe_equals_library(text):
