@@ -18,13 +18,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowtide.llm.common import bytes_column, texts_of
+from flowtide.llm.common import bytes_column, slices, texts_of
 
 TRAIN_ROWS = 20_000
+SLICE_BYTES = 4 << 20  # text scored at once
 FOLDS, HELD_OUT = 3, 1
 TREES, DEPTH, BINS = 60, 4, 64
 RATE, SMOOTH, LEAST = 0.15, 1.0, 10
@@ -169,9 +171,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     return fit(x, np.array([r.quality for r in found], np.float64))
 
 
-def _scorer(model: dict, keep: list[str]):
+def _scorer(model: dict, keep: list[str], inside: int | None = None):
+    """Scores of the texts in the column text, or in this field of the column row, so that rows do not travel with a second copy."""
+    def texts(batch):
+        return batch.column("text") if inside is None else pc.fill_null(pc.struct_field(batch.column("row"), [inside]), "")
+
     def run(batches):
-        for batch in batches:
+        needed = (pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], texts(b)], names=[*keep, "text"]) for b in batches)
+        for batch in slices(needed, SLICE_BYTES):
             x = np.array([statistics(t) for t in bytes_column(batch.column("text"))], np.float64)
             p = score(model, x.reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(p)], names=[*keep, "score"])
@@ -190,6 +197,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
 def drop_low_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of docs that the classifier predicts as label 1, with all their columns."""
     model = train(docs, labels, rows)
-    whole = texts_of(docs, whole_rows=True).select("row", "text")
+    whole = texts_of(docs, whole_rows=True)
+    inside = next(i for i, name in enumerate(docs.columns) if name.lower() == "text")
+    if docs.schema[inside].dataType == T.StringType():
+        whole = whole.select("row")
+    else:
+        whole, inside = whole.select("row", "text"), None
     kind = T.StructType([whole.schema["row"], T.StructField("score", T.DoubleType())])
-    return whole.mapInArrow(_scorer(model, ["row"]), kind).where("score >= 0.5").select("row.*")
+    return whole.mapInArrow(_scorer(model, ["row"], inside), kind).where("score >= 0.5").select("row.*")

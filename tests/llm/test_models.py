@@ -7,6 +7,7 @@ from collections import Counter
 
 import corpus
 import numpy as np
+import pyarrow as pa
 import pytest
 import tokenizers
 from hypothesis import given, settings
@@ -56,6 +57,24 @@ def test_quality_without_labels(spark, docs):
     assert quality.quality_scores(corpus.frame(spark, []), none).count() == 0
 
 
+def test_rows_are_scored_once_and_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SLICE_BYTES", 1000)
+    model = quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0))
+    rows = pa.array([{"id": i, "text": None if i % 7 == 0 else "ab " * i} for i in range(60)])
+    batch = pa.RecordBatch.from_arrays([rows.slice(3)], names=["row"])
+    parts = list(quality._scorer(model, ["row"], 1)(iter([batch])))
+    assert len(parts) > 4 and all(sum(len(r["text"] or "") for r in p.column("row").to_pylist()) < 1200 for p in parts)
+    assert [r for p in parts for r in p.column("row").to_pylist()] == rows.slice(3).to_pylist()
+    docs = spark.createDataFrame([(1, "a", None), (2, None, b"b"), (None, "c", b"c")], "doc_id long, Text string, raw binary")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    for some in (docs, docs.drop("Text").withColumnRenamed("raw", "text")):
+        left = quality.drop_low_quality(some, none)
+        assert left.schema == some.schema and sorted(map(str, left.collect())) == sorted(map(str, some.collect()))
+    plan = quality.drop_low_quality(docs, none)._jdf.queryExecution().analyzed().toString()
+    sent = plan.split("MapInArrow")[1].split("Project [")[1].split("]")[0]
+    assert sent.startswith("row#") and "," not in sent  # the text is not sent beside the row
+
+
 def test_bare_words_count_in_every_place():
     at = quality.FEATURES.index("bare_words")
     table = " ".join(["key"] + ["17"] * 6) + " "
