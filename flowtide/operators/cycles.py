@@ -13,7 +13,7 @@ of its nodes per sink. Here a graph is made smaller first:
 * ``reachable`` runs the frontier rounds on what is left, one node per
   component, and hands the answers back to all nodes placed there.
 
-Rounds therefore follow the longest way between branching nodes in what is
+Nodes are numbered first, so that rounds move longs. Rounds therefore follow the longest way between branching nodes in what is
 left, not the length of rings and chains. Every round is a written table.
 
 Defined results: steps from a node to itself and repeated steps change
@@ -41,22 +41,44 @@ def links_of(steps: DataFrame) -> DataFrame:
     return whole.select(end("src").alias("a"), end("dst").alias("b")).where("a <> b").distinct()
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """name, v: a number for each node, so that rounds move and compare longs. nodes: v, repeats allowed."""
+    return cut(nodes.distinct().select(C("v").alias("name"), F.monotonically_increasing_id().alias("v")), "nodes")
+
+
+def renamed(frame: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """frame with the named nodes in these columns as numbers."""
+    for column in columns:
+        number = names.select(C("name").alias(column), C("v").alias("_v"))
+        frame = frame.join(number, column).drop(column).withColumnRenamed("_v", column)
+    return frame
+
+
 def chain_ends(pointers: DataFrame) -> DataFrame:
     """v, to, ring, top for pointers (v, to) with distinct v, each followed to its end.
 
     ring: the pointers lead into a ring and have no end; top is then the largest
     node on the way, which for the nodes of the ring is the ring's largest.
+
+    Only pointers that are still under way are followed on. One that passed its largest node twice has been
+    around a ring (first and last: the steps at which it did), and one that meets a pointer with a known end shares it.
     """
-    known = cut(pointers.select("v", "to", C("to").alias("top"), F.lit(True).alias("ring")), "pointers")
-    # After as many doublings, pointers have gone further than there are nodes; one more round notices.
-    for _ in range(known.count().bit_length() + 1):
-        p, q = known.alias("p"), known.alias("q")
-        known = cut(p.join(q, C("p.to") == C("q.v"), "left").select(
-            "p.v", F.coalesce("q.to", "p.to").alias("to"), F.greatest("p.top", "q.top").alias("top"),
-            C("q.v").isNotNull().alias("ring")), "pointers")
-        if known.where("ring").isEmpty():
-            break
-    return known
+    pointers = cut(pointers.select("v", "to"), "pointers")
+    starts = pointers.select(C("v").alias("_v"))
+    state = cut(pointers.join(starts, C("to") == C("_v"), "left").select(
+        "v", "to", C("to").alias("top"), F.lit(1).cast("long").alias("first"), F.lit(1).cast("long").alias("last"),
+        C("_v").isNull().alias("done"), F.lit(False).alias("ring")), "pointers")
+    ended, under_way, steps = [state.where("done")], state.where("not done"), 1
+    while not under_way.isEmpty():
+        p, q = under_way.alias("p"), reduce(DataFrame.unionByName, ended, under_way).alias("q")
+        ahead = [F.when(C("p.top") >= C("q.top"), C("p.first")).otherwise(C("q.first") + steps).alias("first"),
+                 F.when(C("p.top") > C("q.top"), C("p.last")).otherwise(C("q.last") + steps).alias("last")]
+        twice = C("first") < C("last")
+        state = p.join(q, C("p.to") == C("q.v")).select("p.v", "q.to", F.greatest("p.top", "q.top").alias("top"), *ahead, "q.done", "q.ring")
+        state = cut(state.withColumn("ring", F.when(C("done"), C("ring")).otherwise(twice)).withColumn("done", C("done") | C("ring")), "pointers")
+        ended.append(state.where("done"))
+        under_way, steps = state.where("not done"), 2 * steps
+    return reduce(DataFrame.unionByName, ended).select("v", "to", "ring", "top")
 
 
 def shortened(links: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -139,6 +161,15 @@ def _phases(links: DataFrame) -> list[DataFrame]:
 def components(links: DataFrame) -> DataFrame:
     """v, root of every node that lies on a cycle; equal roots are one component."""
     links = cut(links.where("a <> b").distinct(), "links")
+    names = numbered(links.select(C("a").alias("v")).unionByName(links.select(C("b").alias("v"))))
+    found = cut(_components(renamed(links, names, "a", "b")), "found")
+    roots = names.select(C("name").alias("_root"), C("v").alias("root"))
+    return found.join(names, "v").join(roots, "root").select(C("name").alias("v"), C("_root").alias("root"))
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """``components`` of distinct links among numbered nodes."""
+    links = cut(links, "links")
     degrees = links.select(C("a").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i"), C("b").alias("to"), F.lit(None).cast(links.schema["a"].dataType).alias("fro"))
     degrees = degrees.unionByName(links.select(C("b").alias("v"), F.lit(0).alias("o"), F.lit(1).alias("i"), F.lit(None).cast(links.schema["a"].dataType).alias("to"), C("a").alias("fro")))
     inner = cut(degrees.groupBy("v").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.max("to").alias("to"), F.max("fro").alias("fro"))
@@ -162,32 +193,54 @@ def components(links: DataFrame) -> DataFrame:
     return rooted.unionByName(held).unionByName(rings)
 
 
-def _reached(sinks: DataFrame, links: DataFrame) -> DataFrame:
-    """sink_id, v of all nodes that lead to the sink, itself included. sinks: sink_id, v."""
+def _reached(sinks: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """places (v, at) of the nodes that were moved, and sink_id, at of all other nodes that lead to the sink, itself included.
+
+    sinks: sink_id, v.
+    """
     places, links = shortened(links, sinks.select("v"))
-    groups = cut(components(links), "groups")
+    groups = cut(_components(links), "groups")
     ga, gb = groups.select(C("v").alias("a"), C("root").alias("ra")), groups.select(C("v").alias("b"), C("root").alias("rb"))
     small = links.join(ga, "a", "left").join(gb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    steps = small.where("a <> b").distinct().select(
-        C("a.scope").alias("src_scope"), C("a.node").alias("src"), C("b.scope").alias("dst_scope"), C("b.node").alias("dst"))
-    starts = sinks.join(groups, "v", "left").select("sink_id", F.coalesce("root", "v").alias("v"))
-    found = backward_reach(starts.select("sink_id", "v.scope", "v.node").distinct(), steps, with_path=False)
-    found = cut(found.select("sink_id", F.struct("scope", "node").alias("at")), "found")
+    scope = F.lit("")
+    steps = small.where("a <> b").distinct().select(scope.alias("src_scope"), C("a").alias("src"), scope.alias("dst_scope"), C("b").alias("dst"))
+    starts = sinks.join(groups, "v", "left").select("sink_id", scope.alias("scope"), F.coalesce("root", "v").alias("node"))
+    found = backward_reach(starts.distinct(), steps, with_path=False)
+    found = cut(found.select("sink_id", C("node").alias("at")), "found")
     inside = found.join(groups.select(C("root").alias("at"), "v"), "at", "left").select("sink_id", F.coalesce("v", "at").alias("at"))
-    inside = cut(inside, "inside")
-    return inside.withColumnRenamed("at", "v").unionByName(inside.join(places, "at").select("sink_id", "v"))
+    return places, cut(inside, "inside")
 
 
 def reachable(sinks: DataFrame, steps: DataFrame) -> DataFrame:
     """sink_id, scope, node, gated: the pairs of ``backward_reach`` without length and path.
 
     With gates (dst_gate) a pair is ungated if steps that leave no gate lead
-    there, so the steps are followed twice: those without gates, then all.
+    there, so the steps are followed twice: those without gates, then all. Both
+    answers meet at the places of a node, before it gets a row per sink.
     """
     ends = cut(sinks.dropna(subset=["scope", "node"]).select("sink_id", F.struct("scope", "node").alias("v")).distinct(), "ends")
-    every = _reached(ends, links_of(steps)).withColumn("gated", F.lit(False))
-    if "dst_gate" in steps.columns:
-        free = _reached(ends, links_of(steps.where("not dst_gate"))).withColumn("gated", F.lit(False))
-        both = free.unionByName(every.withColumn("gated", F.lit(True)))
-        every = both.groupBy("sink_id", "v").agg(F.min("gated").alias("gated"))
-    return every.select("sink_id", "v.scope", "v.node", "gated")
+    gated = "dst_gate" in steps.columns
+    # A step is free of gates if one of its copies is.
+    held = steps.withColumn("held", F.coalesce("dst_gate", F.lit(True)) if gated else F.lit(False))
+    end = lambda side: F.struct(C(f"{side}_scope").alias("scope"), C(side).alias("node"))
+    whole = held.dropna(subset=["src_scope", "src", "dst_scope", "dst"]).select(end("src").alias("a"), end("dst").alias("b"), "held")
+    whole = cut(whole.where("a <> b").groupBy("a", "b").agg(F.min("held").alias("held")), "links")
+    names = numbered(whole.select(C("a").alias("v")).unionByName(whole.select(C("b").alias("v"))).unionByName(ends.select("v")))
+    links, ends = cut(renamed(whole, names, "a", "b"), "links"), cut(renamed(ends, names, "v"), "ends")
+
+    def placed(nodes, places, name):
+        moved = places.select("v", C("at").alias("_at"), F.lit(True).alias("_moved"))
+        return nodes.join(moved, "v", "left").withColumn(name, F.when(C("_moved"), C("_at")).otherwise(C("v"))).drop("_at", "_moved")
+
+    places, every = _reached(ends, links.select("a", "b"))
+    nodes = placed(names, places, "at")
+    if gated:
+        places, free = _reached(ends, links.where("not held").select("a", "b"))
+        nodes = cut(placed(nodes, places, "free_at"), "placed")
+    found = nodes.join(every, "at")
+    if gated:
+        open_ = free.select("sink_id", C("at").alias("free_at"), F.lit(True).alias("_open"))
+        found = found.join(open_, ["sink_id", "free_at"], "left").withColumn("gated", C("_open").isNull())
+    else:
+        found = found.withColumn("gated", F.lit(False))
+    return found.select("sink_id", "name.scope", "name.node", "gated")

@@ -70,3 +70,20 @@ def test_nothing(spark):
     assert [tuple(r) for r in cycles.reachable(sinks, steps).collect()] == [("k", "f", "a", False)]
     assert cycles.components(cycles.links_of(steps)).count() == 0
     assert cycles.reachable(sinks.limit(0), steps).count() == 0
+
+
+def test_chain_ends_rounds_follow_the_longest_ring(spark):
+    written = []
+    for n in (4, 4096):
+        # Rings of four, a way of two into each of them, and a chain that ends.
+        ring = spark.range(n).selectExpr("id v", "if(id % 4 = 3, id - 3, id + 1) to")
+        ways = spark.range(n // 4).selectExpr("id + 100000 v", "id + 200000 to").union(spark.range(n // 4).selectExpr("id + 200000", "id * 4 + 1"))
+        before = len(session.WRITTEN)
+        found = cycles.chain_ends(ring.union(ways).union(spark.createDataFrame([(-1, -2), (-2, -3)], "v long, to long")))
+        rows = {r.v: r for r in found.collect()}
+        assert len(rows) == n + 2 * (n // 4) + 2
+        assert all(rows[v].ring and rows[v].top == v // 4 * 4 + 3 for v in range(n))
+        assert all(rows[v].ring and rows[v].top == 200000 + v - 100000 for v in range(100000, 100000 + n // 4))
+        assert [(rows[v].to, rows[v].ring) for v in (-1, -2)] == [(-3, False), (-3, False)]
+        written.append(len(session.WRITTEN) - before)
+    assert written[0] == written[1]
