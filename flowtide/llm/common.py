@@ -7,6 +7,7 @@ input, whatever they are called, therefore never clash with working columns.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -64,6 +65,14 @@ def bytes_column(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return column.cast(kind).to_pylist()
 
 
+def give_back() -> None:
+    """Hand the freed memory of this worker back to the system, so that idle workers do not hold the peak of their last task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], n_bytes: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about n_bytes of text, so that working arrays stay small."""
     for batch in batches:
@@ -73,3 +82,4 @@ def slices(batches: Iterator[pa.RecordBatch], n_bytes: int) -> Iterator[pa.Recor
         for a, b in zip(edges, edges[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+                give_back()

@@ -38,6 +38,7 @@ BUCKET_BYTES = 8 << 20  # of packed strings
 HOT_RUNS = 16_384  # entries of the dealing hint at most: 128 KB
 SLICE_BYTES = 6 << 20  # of text that a task handles at a time
 CHUNK = 1 << 20
+PAIRS = 1 << 14  # windows compared at a time
 LEVEL = 5  # of compression for what travels
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
@@ -99,6 +100,7 @@ class Batch:
         lengths = np.array([len(lists[i]) for i in self.docs], np.int64)
         self.buffer = b"\n".join(b" ".join(lists[i]) for i in self.docs)
         self.offsets = np.concatenate(([0], np.cumsum(lengths)))
+        del lists  # the words take several times the text
         if not self.docs:
             return
         array = np.frombuffer(self.buffer, np.uint8)
@@ -247,11 +249,13 @@ def repeated(buffer: bytes, owner_first: np.ndarray, starts, ends, known: np.nda
     order = np.argsort(hashes)
     at, hashes = at[order], hashes[order]
     same = np.concatenate((hashes[1:] == hashes[:-1], [False]))
-    # Equal hashes: compare the bytes of neighbours.
+    # Equal hashes: compare the bytes of neighbours, some at a time, as lists of numbers are large.
     left, right = at[:-1][same[:-1]], at[1:][same[:-1]]
-    a0, a1 = starts[left].tolist(), ends[left + size - 1].tolist()
-    b0, b1 = starts[right].tolist(), ends[right + size - 1].tolist()
-    equal = np.array([buffer[p:q] == buffer[r:s] for p, q, r, s in zip(a0, a1, b0, b1)], bool)
+    equal = np.zeros(len(left), bool)
+    for i in range(0, len(left), PAIRS):
+        a, b = left[i:i + PAIRS], right[i:i + PAIRS]
+        bounds = (x.tolist() for x in (starts[a], ends[a + size - 1], starts[b], ends[b + size - 1]))
+        equal[i:i + PAIRS] = [buffer[p:q] == buffer[r:s] for p, q, r, s in zip(*bounds)]
     out = np.zeros(n, bool)
     out[left[equal]] = True
     out[right[equal]] = True
@@ -291,6 +295,7 @@ def _count(size: int):
             bodies.append(raw[8 + 13 * rows:])
         uid, position, known = (np.concatenate(x) for x in (uids, positions, flags))
         buffer = b"\n".join(bodies)
+        del uids, positions, flags, bodies, raw
         array = np.frombuffer(buffer, np.uint8)
         starts, ends = word_bounds(array)
         owner_first = np.searchsorted(starts, np.concatenate(([0], np.flatnonzero(array == 10) + 1)))

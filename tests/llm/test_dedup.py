@@ -6,9 +6,10 @@ from collections import Counter
 
 import corpus
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from flowtide.llm import exact, lines, simhash, substring
+from flowtide.llm import common, exact, lines, simhash, substring
 from flowtide.llm.common import texts_of
 
 PAIRS = corpus.awkward()
@@ -171,3 +172,20 @@ def test_lines_edge_rows(spark, none):
     assert rows[5][0].n_removed > 0 and rows[5][0].text.startswith("top\n") and rows[None][0].n_removed > 0
     assert (rows[7][0].n_lines, rows[7][0].text) == (1, "") and rows[9][0].text == rows[10][0].text == "one line"
     assert lines.dedup_lines(none).count() == 0
+
+
+def test_repeated_windows_are_compared_in_parts(monkeypatch):
+    words = [b"%d" % i for i in range(300)]
+    buffer = b"\n".join([b" ".join(words)] * 2)
+    starts, ends = substring.word_bounds(np.frombuffer(buffer, np.uint8))
+    monkeypatch.setattr(substring, "PAIRS", 7)
+    marked = substring.repeated(buffer, np.array([0, 300]), starts, ends, np.zeros(2, bool), 35)
+    assert np.flatnonzero(~marked).tolist() == [*range(266, 300), *range(566, 600)]
+
+
+def test_slices_hand_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 10] * 6})
+    assert [b.num_rows for b in common.slices(iter([batch]), 20)] == [1, 2, 2, 1]
+    assert len(given) == 4
