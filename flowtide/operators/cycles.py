@@ -55,7 +55,7 @@ def renamed(frame: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
 
 
 def chain_ends(pointers: DataFrame) -> DataFrame:
-    """v, to, ring, top for pointers (v, to) with distinct v, each followed to its end.
+    """v, to, ring, top, hops for pointers (v, to) with distinct v, each followed to its end in that many steps.
 
     ring: the pointers lead into a ring and have no end; top is then the largest
     node on the way, which for the nodes of the ring is the ring's largest.
@@ -67,18 +67,19 @@ def chain_ends(pointers: DataFrame) -> DataFrame:
     starts = pointers.select(C("v").alias("_v"))
     state = cut(pointers.join(starts, C("to") == C("_v"), "left").select(
         "v", "to", C("to").alias("top"), F.lit(1).cast("long").alias("first"), F.lit(1).cast("long").alias("last"),
-        C("_v").isNull().alias("done"), F.lit(False).alias("ring")), "pointers")
+        F.lit(1).cast("long").alias("hops"), C("_v").isNull().alias("done"), F.lit(False).alias("ring")), "pointers")
     ended, under_way, steps = [state.where("done")], state.where("not done"), 1
     while not under_way.isEmpty():
         p, q = under_way.alias("p"), reduce(DataFrame.unionByName, ended, under_way).alias("q")
         ahead = [F.when(C("p.top") >= C("q.top"), C("p.first")).otherwise(C("q.first") + steps).alias("first"),
                  F.when(C("p.top") > C("q.top"), C("p.last")).otherwise(C("q.last") + steps).alias("last")]
         twice = C("first") < C("last")
-        state = p.join(q, C("p.to") == C("q.v")).select("p.v", "q.to", F.greatest("p.top", "q.top").alias("top"), *ahead, "q.done", "q.ring")
+        state = p.join(q, C("p.to") == C("q.v")).select("p.v", "q.to", F.greatest("p.top", "q.top").alias("top"), *ahead,
+                                                              (C("p.hops") + C("q.hops")).alias("hops"), "q.done", "q.ring")
         state = cut(state.withColumn("ring", F.when(C("done"), C("ring")).otherwise(twice)).withColumn("done", C("done") | C("ring")), "pointers")
         ended.append(state.where("done"))
         under_way, steps = state.where("not done"), 2 * steps
-    return reduce(DataFrame.unionByName, ended).select("v", "to", "ring", "top")
+    return reduce(DataFrame.unionByName, ended).select("v", "to", "ring", "top", "hops")
 
 
 def shortened(links: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:

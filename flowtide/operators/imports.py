@@ -4,9 +4,8 @@ Statements are read with patterns over whole texts. A relative specifier is
 folded against the folder of its file, then meets the existing files under the
 endings and index files it may stand for, in one join. Names that a file only
 passes on are pointers from (file, name) to (file, name); a chain of pointers
-is followed by doubling: each round joins every pointer with the pointer at its
-end, so a chain of n re-exports takes log2(n) rounds. A pointer that goes on after as many steps as
-there are pointers runs in a cycle and has no end.
+is followed by doubling: each round joins every pointer under way with the pointer at its
+end, so a chain of n re-exports takes log2(n) rounds. A pointer that runs into a cycle has no end (``cycles.chain_ends``).
 
 Defined results: a null text has no statements; specifiers that name no file of
 the table (packages, missing files) give no rows; names compare as written, but
@@ -21,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtide.functions import paths
+from flowtide.operators.cycles import chain_ends, numbered, renamed
 from flowtide.session import cut
 
 # What a specifier without an ending may stand for, first match wins.
@@ -117,15 +117,20 @@ def normalised(folder: Column, specifier: Column) -> Column:
 
 
 def with_files(named: DataFrame, files: DataFrame) -> DataFrame:
-    """named (file_path, specifier) with source_file, for relative specifiers that name a file."""
-    places = named.select("file_path", "specifier").distinct().where(F.col("specifier").startswith("."))
+    """named (file_path, specifier) with source_file, for relative specifiers that name a file.
+
+    A file stands under each place that an ending may lead from, so a specifier meets it in one join.
+    """
+    file = F.col("file_path")
+    stems = F.array(*[F.when(file.endswith(e), F.struct(
+        F.substring(file, F.lit(1), F.length(file) - len(e)).alias("_place"), F.lit(n).alias("_nth"))) for n, e in enumerate(ENDINGS)])
+    known = files.select(file).distinct().select(F.col("file_path").alias("_file"), F.explode(F.filter(stems, lambda s: s.isNotNull())).alias("_s"))
+    best = known.groupBy("_s._place").agg(F.min(F.struct("_s._nth", "_file")).alias("_best")).select(
+        "_place", F.col("_best._file").alias("source_file"))
     place = normalised(paths.dirname(F.col("file_path")), F.col("specifier"))
-    tries = places.withColumn("_place", place).select(
-        "file_path", "specifier", F.posexplode(F.array(*[F.concat("_place", F.lit(e)) for e in ENDINGS])).alias("_nth", "_try"))
-    known = files.select(F.col("file_path").alias("_try")).distinct()
-    found = tries.join(known, "_try").groupBy("file_path", "specifier").agg(
-        F.min(F.struct("_nth", "_try")).alias("_best")).select("file_path", "specifier", F.col("_best._try").alias("source_file"))
-    return named.join(found, ["file_path", "specifier"])
+    placed = named.where(F.col("specifier").startswith(".")).withColumn("_place", place)
+    rest = [c for c in named.columns if c not in ("file_path", "specifier")]
+    return placed.join(best, "_place").select("file_path", "specifier", *rest, "source_file")
 
 
 def follow(pointers: DataFrame) -> DataFrame:
@@ -134,22 +139,14 @@ def follow(pointers: DataFrame) -> DataFrame:
     pointers: file_path, name, to_file, to_name, one row per (file_path, name).
     Pointers that run into a cycle are left out.
     """
-    state = cut(pointers.select("file_path", "name", "to_file", "to_name", F.lit(1).cast("long").alias("hops")), "pointers")
-    total, reach = state.count(), 1
-    while True:
-        ends = state.select(
-            F.col("file_path").alias("to_file"), F.col("name").alias("to_name"), F.col("to_file").alias("_file"),
-            F.col("to_name").alias("_name"), F.col("hops").alias("_hops"))
-        stepped = state.join(ends, ["to_file", "to_name"], "left")
-        if reach > total:
-            return stepped.where("_hops IS NULL").select(
-                "file_path", "name", F.col("to_file").alias("end_file"), F.col("to_name").alias("end_name"), "hops")
-        state = cut(stepped.select(
-            "file_path", "name", F.coalesce("_file", "to_file").alias("to_file"), F.coalesce("_name", "to_name").alias("to_name"),
-            (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.col("_hops").isNotNull().alias("moved")), "pointers")
-        if not state.where("moved").limit(1).count():
-            reach = total
-        state, reach = state.drop("moved"), 2 * reach
+    pointers = cut(pointers.select(
+        F.struct("file_path", "name").alias("v"), F.struct(F.col("to_file").alias("file_path"), F.col("to_name").alias("name")).alias("to")), "pointers")
+    names = numbered(pointers.select("v").unionByName(pointers.select(F.col("to").alias("v"))))
+    found = chain_ends(renamed(pointers, names, "v", "to")).where("not ring").select("v", "to", "hops")
+    ends = names.select(F.col("name").alias("_end"), F.col("v").alias("to"))
+    return found.join(names, "v").join(ends, "to").select(
+        F.col("name.file_path").alias("file_path"), F.col("name.name").alias("name"),
+        F.col("_end.file_path").alias("end_file"), F.col("_end.name").alias("end_name"), "hops")
 
 
 def star_reach(stars: DataFrame) -> DataFrame:

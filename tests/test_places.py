@@ -2,7 +2,7 @@
 
 import random
 
-from flowtide import Engine
+from flowtide import Engine, session
 from flowtide.operators import imports, intervals, resolve, search
 
 MODULES = {
@@ -121,3 +121,16 @@ def test_engine_follows_imports_on_request(spark):
     assert Engine.from_sources(files).resolutions.count() == 0
     found = Engine.from_sources(files, follow_imports=True).resolutions.collect()
     assert [(r.file_path, r.tier, r.confidence) for r in found] == [("src/app.ts", 2, 0.95)]
+
+
+def test_follow_rounds_do_not_count_pointers(spark):
+    # Two names that pass each other on for ever, beside few or many pointers that end at once.
+    written = []
+    for n in (2, 4096):
+        ring = spark.createDataFrame([("a", "f", "b", "f"), ("b", "f", "a", "f"), ("c", "f", "d", "f")], "file_path string, name string, to_file string, to_name string")
+        more = spark.range(n).selectExpr("concat('x', id)", "'f'", "'end'", "'f'")
+        before = len(session.WRITTEN)
+        found = {tuple(r) for r in imports.follow(ring.union(more)).where("end_file <> 'end'").collect()}
+        assert found == {("c", "f", "d", "f", 1)}
+        written.append(len(session.WRITTEN) - before)
+    assert written[0] == written[1]
