@@ -19,6 +19,9 @@ from flowtide.functions.ids import node_id
 from flowtide.session import cut
 
 SINK = ["sink_id", "scope", "node"]
+# Rounds of more rows are never broadcast: written tables shrink so much that their size on disk says little about
+# their rows, which all pass through the driver.
+BROADCAST_ROWS = 50_000
 
 
 def flow_steps(edges: DataFrame) -> DataFrame:
@@ -84,13 +87,18 @@ def moves(frontier: DataFrame, steps: DataFrame) -> DataFrame:
     """frontier (aliased f) joined with the steps (aliased s) that end in it.
 
     The strategy is left to the engine, which measures both sides: a small
-    frontier is sent to the steps, a large one is shuffled, and the partitions
+    frontier is sent to the steps, a large one is shuffled (see ``shuffled``), and the partitions
     of a node with very many incoming steps are split.
     """
     same = [F.col("f.scope") == F.col("s.dst_scope"), F.col("f.node") == F.col("s.dst")]
     return frontier.alias("f").join(steps.alias("s"), same)
 
 
+def shuffled(frame: DataFrame, *rows: int) -> DataFrame:
+    """frame, to be joined by a shuffle if each of the sides that could be broadcast has many rows."""
+    return frame.hint("merge") if min(rows) > BROADCAST_ROWS else frame
+
+
 class Known:
     """What the rounds have found, in few written tables.
 
@@ -162,9 +170,11 @@ def all_ways(sinks: DataFrame, steps: DataFrame, max_depth: int | None = None, w
         ).distinct()
     )
     known, depth = Known(frontier), 0
+    n_steps, n_known = steps.count(), frontier.count()
+    n_frontier = n_known
     while max_depth is None or depth < max_depth:
         depth += 1
-        found = moves(frontier, steps).select(
+        found = moves(shuffled(frontier, n_frontier, n_steps), steps).select(
             "f.sink_id", F.col("s.src_scope").alias("scope"), F.col("s.src").alias("node"),
             (F.col("f.gated") | F.col("s.dst_gate")).alias("gated"), F.col("f.path"),
         )
@@ -180,10 +190,12 @@ def all_ways(sinks: DataFrame, steps: DataFrame, max_depth: int | None = None, w
         before = known.all().select("sink_id", "scope", "node", "gated")
         same = [F.col(f"b.{c}") == F.col(f"k.{c}") for c in ("sink_id", "scope", "node")]
         beaten = same + [F.col("k.gated") <= F.col("b.gated")]
-        frontier = cut(best.alias("b").join(before.alias("k"), beaten, "left_anti"))
-        if frontier.isEmpty():
+        frontier = cut(best.alias("b").join(shuffled(before, n_known).alias("k"), beaten, "left_anti"))
+        n_frontier = frontier.count()
+        if not n_frontier:
             break
         known.add(frontier)
+        n_known += n_frontier
     return known.all()
 
 

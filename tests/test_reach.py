@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from flowtide import session
 from flowtide.functions.ids import node_id
 from flowtide.operators import reach, resolve
 
@@ -162,3 +163,22 @@ def test_reach_ends_by_itself_on_a_deep_cycle(spark):
     found = {r.node: r.depth for r in reach.backward_reach(sinks, steps, with_path=False).collect()}
     assert found == {**{f"r{i}": (20 - i) % 20 for i in range(20)}, **{f"leaf{i}": 14 for i in range(30)}}
     assert reach.backward_reach(sinks, steps, max_depth=3, with_path=False).count() == 4
+
+
+def test_many_rows_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def kept(df, *label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return session.cut(df, *label)
+
+    monkeypatch.setattr(reach, "cut", kept)
+    steps = spark.range(1, 32).selectExpr("'' src_scope", "cast(id as string) src", "'' dst_scope", "cast(id div 2 as string) dst")
+    sinks = spark.createDataFrame([("k", "", "0")], "sink_id string, scope string, node string")
+    got = []
+    for rows in (reach.BROADCAST_ROWS, 0):
+        plans.clear()
+        monkeypatch.setattr(reach, "BROADCAST_ROWS", rows)
+        got.append({tuple(r) for r in reach.backward_reach(sinks, steps, with_path=False).select("node", "depth").collect()})
+    assert got[0] == got[1] == {("0", 0), *((str(i), i.bit_length()) for i in range(1, 32))}
+    assert not any("BroadcastHashJoin" in p for p in plans)
