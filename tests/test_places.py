@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from flowtide import Engine, session
 from flowtide.operators import imports, intervals, resolve, search
 
@@ -98,6 +100,29 @@ def test_find_lines_and_excerpts(spark):
         (x.flow_id, x.doc_id) for x in search.flow_excerpts(df, flows, context=2, limit=90).collect()}
 
 
+def test_long_words_are_found_at_every_place(spark):
+    # Words of every gram size, at every distance from the listed places, beside letters of two units and beside each other.
+    words = ["xy", "xyz", "uvwxyz", "tuvwxyz", "é\U0001f600tuvwxyz é\U0001f600", "mnopqrstuvwxyz", "lmnopqrstuvwxyz", "ab" * 20, "no such words at all", "aaaaaaaa\U0001f600"]
+    lines = [pad * n + w + tail for w in words[:-2] for pad in "a\U0001f600" for n in range(17) for tail in ("", "a", w)] + ["a" * 40, ""]
+    df = spark.createDataFrame([(0, "\n".join(lines)), (1, None), (None, lines[40])], "doc_id long, text string")
+    got = {tuple(x) for x in search.find_lines(df, spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    want = {(w, d, n + 1) for d, held in ((0, lines), (None, lines[40:41])) for w in words for n, line in enumerate(held) if w in line}
+    assert got == want and {w for w, _, _ in want} == set(words[:-2])
+
+
+def test_lines_are_not_listed_at_every_character(spark):
+    texts = spark.createDataFrame([(0, "the same letters over and over again\n" * 50)], "doc_id long, text string")
+    lines = search.text_lines(texts)
+    asked = spark.createDataFrame([("letters over and",), ("letters",)], "word string")
+    every = lines.select(F.explode(F.concat(*[search.runs(F.col("line"), n) for n in (4, 8)])).alias("gram"))
+    pieces = every.select(F.length("gram").alias("size"), F.xxhash64("gram").alias("gram")).distinct()
+    held = search.postings(lines, pieces)
+    assert set(held.columns) == {"doc_id", "line_no", "gram"} and held.count() == 50 * (36 // 4 + 36 // 8)
+    chosen = search.rarest_grams(lines, asked).collect()
+    assert {(r.word, r.size) for r in chosen} == {("letters over and", 8), ("letters", 4)} and len(chosen) <= 12
+    assert search.find_lines(texts, asked).count() == 100
+
+
 def test_enclosing_intervals(spark):
     r = random.Random(7)
     functions = [(f"f{r.randrange(3)}", f"F{i}", s, s + r.choice([0, 1, 7, 64, 1000, 10**6])) for i in range(150) for s in [r.randrange(3000)]]
