@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtide.functions.match import once
+from flowtide.session import cut
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -129,31 +130,43 @@ SQL_SINK_TYPE = "case sink " + " ".join(
 ) + " end"
 
 
-def raw_flows(spark: SparkSession, folder: str) -> DataFrame:
-    """One flow per line item whose call target is sensitive, without ids."""
+def sensitive_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The line items whose call target is sensitive, with its kind and the file: what ``described`` cannot tell by itself."""
     from flowtide.functions import calls
     from flowtide.functions.match import keep_classified
 
-    # Classifying targets is the dear part, so rows are dealt out before it.
-    lines = read(spark, folder, "lineitem").select(*LINE_ORDER, "l_returnflag", "l_linestatus").repartition("l_orderkey")
+    lines = read(spark, folder, "lineitem").select(
+        *LINE_ORDER, "l_returnflag", "l_linestatus", target_of(F.col("l_partkey"), F.col("l_linenumber")).alias("sink"))
+    # Classifying is the dear part, so each target once. Written, so that few targets are sent to the lines.
+    kinds = cut(keep_classified(lines.select("sink").distinct(), "sink_type", calls.sink_type(F.col("sink"))), "kinds")
     parts = files(spark, folder).select(F.col("p_partkey").alias("l_partkey"), F.col("file_path").alias("file"))
-    flows = lines.select(
-        *LINE_ORDER, pick(SOURCES, F.col("l_suppkey")).alias("source"),
-        target_of(F.col("l_partkey"), F.col("l_linenumber")).alias("sink"),
-        (F.col("l_returnflag") == "R").alias("validated"),
-        F.when(F.col("l_linestatus") == "O", F.array(F.lit("OP_COERCION")))
-        .otherwise(F.array().cast("array<string>")).alias("operations"),
-    )
-    flows = keep_classified(flows, "sink_type", calls.sink_type(F.col("sink")))
+    return lines.join(kinds, "sink").drop("sink").join(parts, "l_partkey").select(
+        *LINE_ORDER, "l_returnflag", "l_linestatus", "sink_type", "file")
+
+
+def described(lines: DataFrame) -> DataFrame:
+    """Sensitive lines as flows: all columns that follow from the row itself."""
+    flows = lines.withColumns({
+        "source": pick(SOURCES, F.col("l_suppkey")), "sink": target_of(F.col("l_partkey"), F.col("l_linenumber")),
+        "validated": F.col("l_returnflag") == "R",
+        "operations": F.when(F.col("l_linestatus") == "O", F.array(F.lit("OP_COERCION")))
+        .otherwise(F.array().cast("array<string>")),
+    })
     labels = F.array("source", F.col("l_suppkey").cast("string"), F.col("sink"))
-    return flows.join(parts, "l_partkey").select(
+    return flows.select(
         *LINE_ORDER, "source", "sink", "sink_type", "validated", "operations", "file",
         F.col("l_linenumber").alias("line"), labels.alias("path_labels"),
         F.array(F.concat(F.lit("VAR_"), F.col("l_suppkey").cast("string"))).alias("expressions"),
         F.concat("file", F.lit("::"), "sink").alias("sink_fnid"),
+        *[c for c in lines.columns if c == "id"],
     )
 
 
+def raw_flows(spark: SparkSession, folder: str) -> DataFrame:
+    """One flow per line item whose call target is sensitive, without ids."""
+    return described(sensitive_lines(spark, folder))
+
+
 SQL_FLOWS = f"""{SQL_FILES},
 calls as (
   select {SQL_LINE_ORDER}, {sql_pick(SOURCES, 'l_suppkey')} as source, {SQL_TARGET} as sink,
@@ -168,9 +181,11 @@ flows as (
 
 
 def numbered_flows(spark: SparkSession, folder: str) -> DataFrame:
+    """The flows with ids, read from the table that the numbering has written."""
     from flowtide.operators.ordered import sequential_ids
 
-    return sequential_ids(raw_flows(spark, folder), LINE_ORDER, "id", "flow-")
+    # Numbered before they are described: what follows from a row is neither sorted nor written.
+    return described(sequential_ids(sensitive_lines(spark, folder), LINE_ORDER, "id", "flow-"))
 
 
 SQL_NUMBERED = f"""{SQL_FLOWS},

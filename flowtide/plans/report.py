@@ -171,18 +171,18 @@ def security_dot(graph) -> DataFrame:
     ).distinct()
     flows = graph.flows
     source, sink = text(c("id"), "_source"), text(c("id"), "_sink")
-    ends = flows.select(F.explode(F.array(
-        node(source, text("SOURCE ", c("source")), "lightpink"),
+    # Selected before they become rows, as a generator computes what a line repeats anew each time.
+    ends = flows.select(
+        node(source, text("SOURCE ", c("source")), "lightpink").alias("a"),
         node(sink, text("SINK ", c("sink"), " (", c("sink_type"), ")", F.when(c("validated"), " [SANITIZED]").otherwise("")),
-             F.when(c("validated"), green).otherwise(orange)),
-    )).alias("line"))
+             F.when(c("validated"), green).otherwise(orange)).alias("b"),
+    ).select(F.explode(F.array("a", "b")).alias("line"))
     # Steps between both ends: each step is linked with the one before it.
     inner = F.slice("path_labels", 2, F.greatest(F.size("path_labels") - 2, F.lit(0)))
-    chain = F.concat(F.array(source), F.transform(inner, lambda s: F.concat(c("id"), F.lit("_"), s)), F.array(sink))
-    links = flows.select(chain.alias("chain")).select(
-        F.posexplode(F.arrays_zip(F.slice("chain", 1, F.size("chain") - 1).alias("a"), F.slice("chain", 2, F.size("chain") - 1).alias("b")))
-        .alias("pos", "x")
-    ).select(text(_quoted(dot_id(c("x.a"))), " -> ", _quoted(dot_id(c("x.b"))), ";").alias("line"))
+    links = flows.select("id", inner.alias("inner")).select("id", "inner", F.explode(F.sequence(F.lit(0), F.size("inner"))).alias("at"))
+    before = F.when(c("at") == 0, source).otherwise(text(c("id"), "_", F.get("inner", c("at") - 1)))
+    after = F.when(c("at") == F.size("inner"), sink).otherwise(text(c("id"), "_", F.get("inner", c("at"))))
+    links = links.select(text(_quoted(dot_id(before)), " -> ", _quoted(dot_id(after)), ";").alias("line"))
     parts = [safe, unsafe, database, network, ends, links]
     frames = [p.select(F.lit(i).alias("part"), "line") for i, p in enumerate(parts, 1)]
     result = frames[0]

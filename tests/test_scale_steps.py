@@ -1,6 +1,15 @@
 """Steps that large tables go through: how often rows are sorted, and what is found once per file."""
 
+import os
+import re
+
+from pyspark.sql import functions as F
+
+from flowtide import session
+from flowtide.lens import common, reports
 from flowtide.operators import reach, resolve
+from flowtide.operators.security import SecurityGraph
+from flowtide.plans import report
 
 STEP = "src_scope string, src string, dst_scope string, dst string, dst_gate boolean"
 
@@ -58,3 +67,66 @@ def test_roles_are_found_once_per_file(spark, monkeypatch):
     found = {r.call_id: (r.tier, r.resolved_fn_id, r.n_candidates) for r in resolve.resolve_calls(calls, functions).collect()}
     assert found == {"c1": (1, "f1", 1), "c2": (5, "f1", 2), "c3": (4, "f3", 1), "c4": (4, "f3", 1), "c5": (6, "f4", 1)}
     assert [label for label, columns in written if {"_dir", "_role"} <= set(columns)] == ["calls"]
+
+
+def flow_tables(spark, folder):
+    """Line items of which some repeat, some have no part, and some have no key; a part that comes twice; a few customers."""
+    lines = [(n // 7, n % 40 if n % 31 else None, n % 11 if n % 29 else None, n % 7 + 1, float(n % 5), float(n), "RAN"[n % 3], "OF"[n % 2]) for n in range(600)]
+    lines += lines[:50] + [(None, 3, 4, 5, 6.0, 7.0, None, None)]
+    frames = {
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string"),
+        "part": spark.createDataFrame([(k % 30, f"part {k}", f"Brand#{k}", "TYPE", k % 24) for k in range(33)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int"),
+        "customer": spark.createDataFrame([(k, f"C{k}", "BUILDING") for k in range(9)], "c_custkey long, c_name string, c_mktsegment string"),
+        "orders": spark.createDataFrame([(k, k % 5, "1-URGENT" if k % 2 else "5-LOW") for k in range(9)], "o_orderkey long, o_custkey long, o_orderpriority string"),
+    }
+    for name, df in frames.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def written_since(n):
+    return [re.match("flowtide-([a-z-]*)-", os.path.basename(path)).group(1) for path in session.WRITTEN[n:]]
+
+
+def test_flows_are_numbered_before_they_are_described(spark, tmp_path):
+    folder, n = flow_tables(spark, tmp_path), len(session.WRITTEN)
+    flows = common.numbered_flows(spark, folder)
+    assert written_since(n) == ["kinds", "ordered", "runs"]
+    for path in session.WRITTEN[n:]:
+        assert not {"source", "sink_fnid", "operations", "path_labels", "expressions"} & set(spark.read.parquet(path).columns)
+    plain = common.raw_flows(spark, folder)
+    assert flows.columns == [*plain.columns, "id"]
+    rows = [r.asDict() for r in flows.collect()]
+    assert sorted(int(r["id"][5:]) for r in rows) == list(range(len(rows)))
+    key = lambda r: [(r[c] is not None, r[c] or 0) for c in common.LINE_ORDER]
+    assert [key(r) for r in sorted(rows, key=lambda r: int(r["id"][5:]))] == sorted(map(key, rows))
+    assert sorted(repr({c: r[c] for c in plain.columns}) for r in rows) == sorted(repr(r.asDict()) for r in plain.collect())
+
+
+def test_targets_are_classified_once(spark, tmp_path):
+    folder, n = flow_tables(spark, tmp_path), len(session.WRITTEN)
+    flows = common.raw_flows(spark, folder)
+    targets = {t: k for t, k in common.TARGETS.items() if k}
+    kinds = [tuple(r) for r in spark.read.parquet(session.WRITTEN[n]).select("sink", "sink_type").collect()]
+    assert len(kinds) == len(set(kinds)) and dict(kinds) == targets
+    assert {(r.sink, r.sink_type) for r in flows.collect()} <= set(targets.items())
+
+
+def test_security_dot_reads_the_numbered_flows(spark, tmp_path):
+    folder, n = flow_tables(spark, tmp_path), len(session.WRITTEN)
+    assert reports.security_dot(spark, folder).count() > 0
+    assert written_since(n) == ["kinds", "ordered", "runs"]
+
+
+def test_steps_of_a_flow_are_linked_in_order(spark):
+    paths = [("f0", None), ("f1", []), ("f2", ["s"]), ("f3", ["s", "k"]), ("f4", ["s", 'a"b', "k"]), ("f5", ["s", "a", None, "c", "k"])]
+    flows = spark.createDataFrame(paths, "id string, path_labels array<string>").select(
+        "*", F.lit("s").alias("source"), F.lit("k").alias("sink"), F.lit("SINK_FILE").alias("sink_type"), F.lit(True).alias("validated"))
+    none = spark.createDataFrame([], "route string, source string, operation string, validated boolean, function string, file string")
+    dot = report.security_dot(SecurityGraph(flows, none, none, none, none))
+    want = []
+    for name, path in paths[1:]:
+        chain = [f"{name}_source", *[None if s is None else f"{name}_{s}".replace('"', "'") for s in path[1:-1]], f"{name}_sink"]
+        want += [None if a is None or b is None else f'"{a}" -> "{b}";' for a, b in zip(chain, chain[1:])]
+    assert sorted(str(r.line) for r in dot.where("part = 6").collect()) == sorted(map(str, want))
+    assert dot.where("part = 5").count() == 2 * len(paths)
