@@ -240,7 +240,7 @@ r as (select *, row_number() over (partition by rule order by pos) as rank from
 s as (select rule, string_agg(place, ', ' order by rank) filter (where rank <= 6) as shown, greatest(count(*) - 6, 0) as more from r group by 1)
 select h.*, s.shown, s.more from h join s using (rule)""")
 def finding_groups(spark, sf):
-    return report.grouped_findings(flow_findings(spark, sf), "number")
+    return report.grouped_findings(flow_findings(spark, sf), "number", stored=True)
 
 
 @query("findings_by_file", f"""

@@ -23,22 +23,25 @@ def simple_findings(findings: DataFrame) -> DataFrame:
     )
 
 
-def grouped_findings(findings: DataFrame, order: str, limit: int = 6) -> DataFrame:
+def grouped_findings(findings: DataFrame, order: str, limit: int = 6, stored: bool = False) -> DataFrame:
     """Per rule: count, first title and severity, the first ``limit`` distinct
     places in order, and how many more there are.
 
     findings: rule, title, severity, places (array) and a unique order column.
     Places are reduced to one row per (rule, place) before anything is listed,
-    and at most ``limit`` of them are gathered.
+    and at most ``limit`` of them are gathered. Findings are read twice, so they
+    are written first unless what they are read from is ``stored`` already.
     """
-    findings = cut(findings.select("rule", "title", "severity", "places", order), "findings")
+    findings = findings.select("rule", "title", "severity", "places", order)
+    findings = findings if stored else cut(findings, "findings")
     heads = findings.groupBy("rule").agg(
         F.count(F.lit(1)).alias("findings"),
         F.min_by(F.struct("title", "severity"), order).alias("first"),
     )
     seen = findings.select("rule", order, F.posexplode("places").alias("sub", "place"))
     seen = seen.groupBy("rule", "place").agg(F.min(F.struct(order, "sub")).alias("at"))
-    totals = seen.groupBy("rule").agg(F.count(F.lit(1)).alias("n_places"))
+    # Counted by their positions, as both uses are then one plan and its shuffle is made once.
+    totals = seen.groupBy("rule").agg(F.count("at").alias("n_places"))
     listed = top_per_key(seen, ["rule"], ["at"], limit).groupBy("rule").agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("rank", "place"))), lambda x: x.place), ", "

@@ -130,3 +130,22 @@ def test_steps_of_a_flow_are_linked_in_order(spark):
         want += [None if a is None or b is None else f'"{a}" -> "{b}";' for a, b in zip(chain, chain[1:])]
     assert sorted(str(r.line) for r in dot.where("part = 6").collect()) == sorted(map(str, want))
     assert dot.where("part = 5").count() == 2 * len(paths)
+
+
+def test_places_of_groups_are_gathered_once(spark, tmp_path):
+    rows = [("a", "t2", "low", ["x", None, "y"], 2), ("a", "t1", "high", ["y", "y", "z"], 1), ("b", "t3", "high", [], 3), ("b", "t4", "low", None, 4),
+            (None, "t5", "low", ["x"], 5), ("c", "t6", "low", [f"p{k}" for k in range(9)], 6), ("c", "t7", "high", ["p8", "p0"], 7)]
+    findings = spark.createDataFrame(rows, "rule string, title string, severity string, places array<string>, number long")
+    want = {("a", 2, "t1", "high", "y, z, x", 0), ("b", 2, "t3", "high", "", 0), (None, 1, "t5", "low", "", 0),
+            ("c", 2, "t6", "low", "p0, p1, p2, p3, p4, p5", 3)}
+    n = len(session.WRITTEN)
+    for stored in (True, False):
+        groups = report.grouped_findings(findings, "number", stored=stored)
+        groups.write.format("noop").mode("overwrite").save()
+        assert {tuple(r) for r in groups.collect()} == want
+        # Both the totals and the listed places come from one aggregation.
+        assert executed(groups).split("Initial Plan")[0].count("Generate posexplode") == 1
+    assert written_since(n) == ["findings"]
+    folder, n = flow_tables(spark, tmp_path), len(session.WRITTEN)
+    assert reports.finding_groups(spark, folder).count() > 0
+    assert written_since(n) == ["kinds", "ordered", "runs"]
