@@ -149,3 +149,14 @@ def test_places_of_groups_are_gathered_once(spark, tmp_path):
     folder, n = flow_tables(spark, tmp_path), len(session.WRITTEN)
     assert reports.finding_groups(spark, folder).count() > 0
     assert written_since(n) == ["kinds", "ordered", "runs"]
+
+
+def test_rules_read_the_numbered_flows(spark, tmp_path):
+    folder, n = flow_tables(spark, tmp_path), len(session.WRITTEN)
+    found = reports.rule_findings(spark, folder).collect()
+    assert written_since(n) == ["kinds", "ordered", "runs"]
+    flows = spark.read.parquet(session.WRITTEN[-1])
+    unchecked = [r for r in found if r.rule == "unvalidated-source-to-sink"]
+    assert 0 < len(unchecked) < flows.count() and len({r.flow_id for r in unchecked}) == len(unchecked)
+    assert all(r.source and r.sink and r.file and r.description.startswith(f"{r.source} arrives at {r.sink}") for r in unchecked if r.source)
+    assert {r.rule for r in found} >= {"missing-authentication", "database-write-without-validation", "ssrf-dynamic-url", "path-traversal"}
