@@ -160,3 +160,27 @@ def test_rules_read_the_numbered_flows(spark, tmp_path):
     assert 0 < len(unchecked) < flows.count() and len({r.flow_id for r in unchecked}) == len(unchecked)
     assert all(r.source and r.sink and r.file and r.description.startswith(f"{r.source} arrives at {r.sink}") for r in unchecked if r.source)
     assert {r.rule for r in found} >= {"missing-authentication", "database-write-without-validation", "ssrf-dynamic-url", "path-traversal"}
+
+
+def test_cut_drops_what_it_shuffled(spark):
+    import time
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f.getName() for f in (files.apply(i) for files in [disk.getAllFiles()] for i in range(files.size()))
+                        if f.getName().startswith("shuffle_")}
+    before, was = shuffled(), spark.conf.get(session.DROP_SHUFFLES, None)
+    written = session.cut(spark.range(1000).repartition("id"))
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(session.DROP_SHUFFLES, None) == was
+    assert written.count() == 1000
+
+
+def test_known_merges_eight_rounds(spark):
+    known = reach.Known(session.cut(spark.range(1)))
+    for i in range(1, 17):
+        known.add(session.cut(spark.range(i, i + 1)))
+    assert [rounds for rounds, _ in known.parts] == [8, 8, 1]
+    assert sorted(r.id for r in known.all().collect()) == list(range(17))
