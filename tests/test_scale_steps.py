@@ -184,3 +184,19 @@ def test_known_merges_eight_rounds(spark):
         known.add(session.cut(spark.range(i, i + 1)))
     assert [rounds for rounds, _ in known.parts] == [8, 8, 1]
     assert sorted(r.id for r in known.all().collect()) == list(range(17))
+
+
+def test_paths_are_looked_through_by_number(spark, monkeypatch):
+    written, cut = [], reach.cut
+
+    def noted(df, label="cut"):
+        written.append((label, set(df.columns)))
+        return cut(df, label)
+
+    monkeypatch.setattr(reach, "cut", noted)
+    edges = spark.createDataFrame([("f", "S", "G", "arg"), ("f", "G", "K", "arg")], "file_path string, source_id string, target_id string, transform string")
+    tags = spark.createDataFrame([("S", "SOURCE_ENV", "f"), ("G", "VALIDATION_GATE", "f"), ("G", "OP_COERCION", "f")], "node_id string, kind string, file_path string")
+    sinks = spark.createDataFrame([("f", "K", 1, "db.query", "SINK_DATABASE")], "file_path string, node_id string, uid long, sink_target string, sink_type string")
+    (row,) = reach.taint_paths(sinks, edges, tags, mode="local").collect()
+    assert (row.path_node_ids, row.sanitizer_node_ids, row.operation_tags, row.sanitized) == (["S", "G", "K"], ["G"], ["OP_COERCION"], True)
+    assert [label for label, columns in written if "_row" in columns] == ["found"] and "_row" not in row
