@@ -6,8 +6,8 @@ import re
 from pyspark.sql import functions as F
 
 from flowtide import session
-from flowtide.lens import common, reports
-from flowtide.operators import reach, resolve
+from flowtide.lens import chain, common, reports
+from flowtide.operators import labels, reach, resolve
 from flowtide.operators.security import SecurityGraph
 from flowtide.plans import report
 
@@ -200,3 +200,21 @@ def test_paths_are_looked_through_by_number(spark, monkeypatch):
     (row,) = reach.taint_paths(sinks, edges, tags, mode="local").collect()
     assert (row.path_node_ids, row.sanitizer_node_ids, row.operation_tags, row.sanitized) == (["S", "G", "K"], ["G"], ["OP_COERCION"], True)
     assert [label for label, columns in written if "_row" in columns] == ["found"] and "_row" not in row
+
+
+def test_node_rows_carry_their_place_once(spark):
+    kind = "file_path string, uid long, node_id string, kind string, name string, target string, path array<string>, line int, stmt_line int, slot string, text string"
+    nodes = spark.createDataFrame([
+        ("b", 1, "n", "IRCall", None, "late", [], 5, 5, "body", None), ("a", 2, "n", "IRCall", None, "first", [], 4, 4, "body", None),
+        ("a", 3, "v", "IRAssign", None, "x.y", [], 7, 7, "body", None)], kind)
+    index = labels.node_index(nodes)
+    found = {r.node_id: (r.label, r.registered, r.file_path, r.line) for r in index.collect()}
+    assert found["n"] == ("first(...)", "late(...)", "a", 4) and found["v"] == ("x.y = ...", "x.y = ...", "a", 7)
+    assert "_by(" not in index._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nodes_of_the_summary_are_written_once(spark, tmp_path, monkeypatch):
+    written, cut = [], chain.cut
+    monkeypatch.setattr(chain, "cut", lambda df, label="cut": written.append(label) or cut(df, label))
+    assert chain.security_summary(spark, flow_tables(spark, tmp_path)).count() == 1
+    assert written == ["nodes"]
