@@ -218,3 +218,36 @@ def test_nodes_of_the_summary_are_written_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(chain, "cut", lambda df, label="cut": written.append(label) or cut(df, label))
     assert chain.security_summary(spark, flow_tables(spark, tmp_path)).count() == 1
     assert written == ["nodes"]
+
+
+def test_places_of_calls_are_numbers_and_clashes_are_numbered_anew(spark, monkeypatch):
+    functions = spark.createDataFrame(
+        [(f"f{i}", f"src/{d}/x{i}.js", name, i) for i, (d, name) in enumerate([("a", "go"), ("a", "run"), ("b", "go"), ("c", "db.run")])],
+        "fn_id string, file_path string, name string, ord int")
+    rows = [(f"src/{d}/y.js", f"c{i}", target, i, None, text, None)
+            for i, (d, target, text) in enumerate((d, t, x) for d in "abc" for t in ("go", "run") for x in (None, "db"))]
+    calls = spark.createDataFrame(
+        rows, "file_path string, call_id string, target string, uid long, receiver_kind string, receiver_text string, receiver_root string")
+    # An import counts in its own file only, even if a tab makes the same key of another file and name.
+    imports = spark.createDataFrame([("src/c/y.js", "go", "src/a/x1.js", "RUN"), ("src", "b/y.js\tgo", "src/a/x1.js", "run")],
+                                    "file_path string, local_name string, source_file string, exported_name string")
+    facts = lambda: sorted((r.call_id, r.tier, r.resolved_fn_id, r.n_candidates) for r in resolve.resolve_calls(calls, functions, imports).collect())
+    plain, number, salts = facts(), resolve._place_number, []
+    assert ("c8", 2, "f1", 1) in plain and ("c4", 5, "f2", 1) in plain and len(plain) == 12
+
+    def few(salt, place):
+        salts.append(salt)
+        return F.pmod(number(salt, place), F.lit(2)) if salt == 0 else number(salt, place)
+
+    monkeypatch.setattr(resolve, "_place_number", few)
+    assert facts() == plain and salts == [0, 1]
+
+
+def test_steps_before_the_next_join_are_dropped(spark, monkeypatch):
+    functions = spark.createDataFrame([("f", "src/a.js", "go", 0)], "fn_id string, file_path string, name string, ord int")
+    calls = spark.createDataFrame(
+        [("src/b.js", "c", "go", 0, None, None, None)],
+        "file_path string, call_id string, target string, uid long, receiver_kind string, receiver_text string, receiver_root string")
+    before = set(session.WRITTEN)
+    assert resolve.resolve_calls(calls, functions).count() == 1
+    assert [p.split("/")[-1].split("-")[1] for p in session.WRITTEN if p not in before] == ["places", "near"]
